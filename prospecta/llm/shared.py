@@ -51,3 +51,16 @@ def uniform(seed: str, *keys: Column) -> Column:
     """A number in [0, 1) that only ``seed`` and ``keys`` decide: 52 bits of an md5."""
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.concat_ws(":", *[F.coalesce(k.cast("string"), F.lit("")) for k in keys])))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long").cast("double") / F.lit(float(2**52))
+
+
+#: A table under this many bytes may be sent to every task.
+SMALL_BYTES = 8 << 20
+
+
+def checked(df: DataFrame, most: int = SMALL_BYTES) -> DataFrame:
+    """``df`` (a written table) with a broadcast hint if its rows take ``most`` bytes at most, else as it is, to be shuffled."""
+    row = F.lit(0)
+    for name, kind in df.dtypes:
+        c = F.col(f"`{name}`")
+        row = row + F.coalesce(F.octet_length(c), F.lit(0)) + 8 if kind in ("string", "binary") else row + (F.coalesce(F.size(c), F.lit(0)) * 16 if kind.startswith("array") else 8)
+    return F.broadcast(df) if (df.agg(F.sum(row.cast("long"))).first()[0] or 0) <= most else df
