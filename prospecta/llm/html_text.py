@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from prospecta.llm.shared import checked, written
 
 SUPPORT, LEAST_PAGES = 0.5, 5
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(script|style|template|noscript|textarea|title|svg|iframe|select|math)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S | re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(script|style|template|noscript|textarea|title|svg|iframe|select|math)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|[^<]+|<", re.S | re.I)
 _NAMED = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -45,7 +45,6 @@ _OUT_WORDS = frozenset(
 )
 _ARTICLE = ("article", "main")
 _FRAME = frozenset("html body div section article main table tbody tr td center dl".split())
-_SPACES = re.compile(r"\s+")
 
 
 def _out(tag: str, attributes: str, inside: bool) -> bool:
@@ -75,7 +74,7 @@ def blocks(html: str) -> tuple[list[tuple[str, str, bool, bool]], Counter]:
 
     def close() -> None:
         if parts:
-            text = _SPACES.sub(" ", entities.unescape("".join(parts))).strip()
+            text = " ".join(entities.unescape("".join(parts)).split())
             parts.clear()
             if text:
                 frame = next(s for s in reversed(stack) if s[4])
