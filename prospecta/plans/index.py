@@ -1,0 +1,44 @@
+"""Substring scoring of many queries against many profiles as equi-joins (the default plan).
+
+Tokens hold a-z and 0-9 only, so an occurrence never crosses a word's end, and a token's count in a text is the sum
+over the text's distinct words of (how often the word occurs) x (how often the token occurs in the word). Words are
+counted per profile once (``postings``, which can be stored); the substrings of the distinct words meet the distinct
+tokens in an equi-join; the pairs (token, word) that are left are joined with the postings.
+
+Substrings are made row by row, up to the length of the longest token, so a long word costs its length times that
+length and never sits in one array. The tokens are broadcast by Spark's own size check, as are small sides elsewhere.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from prospecta.functions.text import occurrences, words
+
+FIELDS = {"summary": "research_summary", "name": "name", "title": "title", "department": "department"}
+
+
+def postings(profiles: DataFrame, id_col: str = "id") -> DataFrame:
+    """(id, word, summary, name, title, department): how often each field of a profile has each word."""
+    def counted(field: str):
+        return lambda w: F.struct(w.alias("word"), *[F.lit(int(field == g)).cast("long").alias(g) for g in FIELDS])
+
+    each = [F.transform(words(F.col(c)), counted(f)) for f, c in FIELDS.items()]
+    rows = profiles.select(F.col(id_col).alias("id"), F.explode(F.concat(*each)).alias("w")).select("id", "w.*")
+    return rows.groupBy("id", "word").agg(*[F.sum(f).alias(f) for f in FIELDS])
+
+
+def tokens_in_words(vocabulary: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(token, word, times) for each of ``tokens`` that is part of a word of ``vocabulary``."""
+    longest = tokens.agg(F.coalesce(F.max(F.length("token")), F.lit(0)).alias("longest"))
+    starts = vocabulary.crossJoin(F.broadcast(longest)).filter("length(word) >= 2 and longest >= 2").select("word", "longest", F.explode(F.sequence(F.lit(1), F.length("word") - 1)).alias("at"))
+    parts = starts.withColumn("n", F.explode(F.sequence(F.lit(2), F.greatest(F.lit(2), F.least(F.col("longest"), F.length("word") - F.col("at") + 1)))))
+    found = parts.select("word", F.expr("substring(word, at, n)").alias("token")).join(tokens.select("token").distinct(), "token").distinct()
+    return found.withColumn("times", occurrences(F.col("token"), F.col("word")).cast("long"))
+
+
+def token_counts(posted: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(token, id, summary, name, title, department): how often each field of a profile has each token."""
+    inside = tokens_in_words(posted.select("word").distinct(), tokens)
+    return posted.join(inside, "word").groupBy("token", "id").agg(*[F.sum(F.col(f) * F.col("times")).alias(f) for f in FIELDS])
