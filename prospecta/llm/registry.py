@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prospecta.llm import decontaminate, exact_dedup, html_text, language_id, mixing, ngram_join, quality, sharding, warc
+from prospecta.llm import decontaminate, exact_dedup, html_text, language_id, line_dedup, mixing, ngram_join, quality, sharding, warc
 from prospecta.llm.shared import table
 
 
@@ -37,6 +37,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.classes(table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -52,7 +56,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_exact_dedup, op3_warc, op4_html_extraction, op5_mixing, op6_quality, op8_sharding, op9_decontaminate, op10_ngram_join)
+    for f in (op1_language_id, op2_exact_dedup, op3_warc, op4_html_extraction, op5_mixing, op6_quality, op7_line_dedup, op8_sharding, op9_decontaminate, op10_ngram_join)
 }
 
 ORACLE_SQL: dict[str, str] = {
