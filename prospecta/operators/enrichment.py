@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from prospecta.functions.lists import FILLER, HEADING_TOPIC, MENU_TOPIC
 from prospecta.functions.text import dept_label, empty_to_null, join_list, last_name, or_empty, stable_choice, strip
 
+
 def _texts(c: Column) -> Column:
     return F.coalesce(c, F.array().cast("array<string>"))
 
