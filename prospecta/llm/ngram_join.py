@@ -32,10 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prospecta.llm.components import components
+from prospecta.llm.components import components, extended
 from prospecta.llm.shared import checked, written
 
-WORDS, PERCENT, BLOCK, SKETCH_BITS, SLICES = 5, 80, 256, 20, 64
+WORDS, PERCENT, BLOCK, SKETCH_BITS, SLICES = 5, 80, 256, 22, 64
 
 _U = np.uint64
 _SPACE = np.zeros(256, dtype=bool)
@@ -94,7 +94,7 @@ def _count_shingles(batches, bits: int):
 
 
 def frequencies(docs: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
-    """How often each of ``2 ** bits`` classes of shingles occurs over all documents: 4 MB, whatever their number."""
+    """How often each of ``2 ** bits`` classes of shingles occurs over all documents: 16 MB, whatever their number."""
     import pandas as pd
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -119,7 +119,7 @@ def prefix_size(n: int, percent: int) -> int:
 
 def sets_of(docs: DataFrame, counts: np.ndarray, percent: int, bits: int = SKETCH_BITS) -> DataFrame:
     """id, n, digest of the set, prefix: its first shingles in the global order, and which of them are common."""
-    shared = docs.sparkSession.sparkContext.broadcast((np.ceil(np.log2(counts.astype(np.float64) + 1)).astype(np.uint8), counts > 4 * counts.mean() + 64))
+    shared = docs.sparkSession.sparkContext.broadcast((np.round(2048 * np.log2(counts + 1.0)).astype(np.uint16), counts > 4 * counts.mean() + 64))
 
     def make(batches):
         rank, common = shared.value
@@ -234,8 +234,8 @@ _LINK = "100 * overlap >= {0} * (n_key + n_other - overlap)"
 _DISTANCE = "1d - cast(overlap as double) / (n_key + n_other - overlap)"
 
 
-def links(docs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links (a, b) between different sets that join all that link: every pair of linked sets is in one component of them."""
+def linked(docs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(node, component) of the sets that link with another one."""
     is_link, slack = _LINK.format(percent), 1 - percent / 100 + 1e-9
     lists = written(index(sets), "ngram-index")
     # The leader of a list: the same set leads wherever it can, by a hash of its id.
@@ -244,12 +244,11 @@ def links(docs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame
     pairs = written(near.filter("key <> other").filter(_needs(percent)).select("key", "other").distinct(), "ngram-pairs")
     first = written(compare(docs, pairs).withColumn("linked", F.expr(is_link)).withColumn("d", F.expr(_DISTANCE)).withColumns({c: F.when(F.col("linked"), F.col(c)).otherwise(F.array().cast("array<long>")) for c in ("removed", "added")}), "ngram-first")
     star_links = first.filter("linked")
-    found = star_links.select(F.col("key").alias("a"), F.col("other").alias("b"))
     # A leader with members is the centre of its star; another set belongs to the least centre that it links with.
     centres = star_links.select(F.col("key").alias("other")).distinct()
     members = star_links.join(centres, "other", "left_anti").groupBy("other").agg(F.min_by(F.struct("key", "d", F.col("n_other").alias("n"), "removed", "added"), F.col("key")).alias("m"))
     members = written(members.select(F.col("m.key").alias("star"), F.col("other").alias("member"), "m.d", "m.n", "m.removed", "m.added"), "ngram-stars")
-    joined = written(components(found), "ngram-joined")
+    joined = components(star_links, "key", "other")
 
     # Lists again, by star: those of one component are skipped, others are read block by block.
     of = lists.join(members.select(F.col("member").alias("rep"), "star"), "rep", "left").withColumn("star", F.coalesce("star", "rep"))
@@ -265,30 +264,29 @@ def links(docs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame
     known = first.filter("not linked").select(F.least("key", "other").alias("star1"), F.greatest("key", "other").alias("star2"))
     met = written(met.join(known.withColumn("known", F.lit(True)).distinct(), ["star1", "star2"], "left").filter("known is null or far1 > 0 or far2 > 0").drop("known"), "ngram-met")
     if met.isEmpty():
-        return found
+        return joined
     leaders = written(compare(docs, met.select(F.col("star1").alias("key"), F.col("star2").alias("other"))).drop("removed", "added").withColumn("linked", F.expr(is_link)).withColumn("d", F.expr(_DISTANCE)), "ngram-leaders")
-    found = found.union(leaders.filter("linked").select(F.col("key").alias("a"), F.col("other").alias("b")))
+    joined = extended(joined, leaders.filter("linked"), "key", "other")
 
     # Leaders that don't link, of stars whose members could: leader 1 against the members of star 2, from its overlap with leader 2.
     open_ = leaders.filter("not linked").join(met.select(F.col("star1").alias("key"), F.col("star2").alias("other"), "far1", "far2"), ["key", "other"]).filter(f"d <= {slack} + far1 + far2")
-    open_ = written(_apart(open_, components(found), "key", "other"), "ngram-open")
+    open_ = written(_apart(open_, joined, "key", "other"), "ngram-open")
     if open_.isEmpty():
-        return found
+        return joined
     from_leader = open_.withColumnRenamed("d", "d12").join(members, F.col("other") == F.col("star")).filter(f"d12 <= {slack} + d + far1")
     asked = from_leader.select("key", F.col("member").alias("other"), "n", F.col("overlap").alias("base"), "removed", "added")
     second = written(compare(docs, asked).drop("removed", "added").withColumn("linked", F.expr(is_link)).withColumn("d", F.expr(_DISTANCE)), "ngram-second")
-    found = found.union(second.filter("linked").select(F.col("key").alias("a"), F.col("other").alias("b")))
+    joined = extended(joined, second.filter("linked"), "key", "other")
 
     # And the members of star 1 against the leader and members of star 2, from leader 1's overlap with those.
     stars = members.select("star", F.col("member").alias("node"))
     answers = second.filter("not linked").select("key", F.col("other").alias("node"), "overlap", "d", F.col("n_other").alias("n_node")).union(open_.select("key", "other", "overlap", "d", "n_other"))
     last = answers.withColumnRenamed("d", "d1").join(members, F.col("key") == F.col("star")).filter(f"d1 <= {slack} + d and 100 * least(n, n_node) >= {percent} * greatest(n, n_node)")
     last = last.select(F.col("node").alias("key"), F.col("member").alias("other"), "n", F.col("overlap").alias("base"), "removed", "added")
-    last = written(_apart(last, components(found), "key", "other"), "ngram-last")
+    last = written(_apart(last, joined, "key", "other"), "ngram-last")
     if last.isEmpty():
-        return found
-    third = compare(docs, last).filter(is_link)
-    return found.union(written(third.select(F.col("key").alias("a"), F.col("other").alias("b")), "ngram-third"))
+        return joined
+    return extended(joined, compare(docs, last).filter(is_link), "key", "other")
 
 
 def _apart(pairs: DataFrame, joined: DataFrame, a: str, b: str) -> DataFrame:
@@ -307,11 +305,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     reps = some.groupBy("digest").agg(F.min("id").alias("rep"))
     of = written(sets.select("id", "n", "digest").join(reps.filter("rep is not null"), "digest", "left").select("id", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep")), "ngram-members")
     one_each = some.join(reps, (some["digest"] == reps["digest"]) & (some["id"] == reps["rep"]), "left_semi")
-    found = links(rows.filter("id is not null"), one_each, percent)
+    found = linked(rows.filter("id is not null"), one_each, percent)
     # Rows that share an id may have several sets, which the id joins.
     twice = of.filter("rep is not null").groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo <> hi").select("id", "lo")
-    linked = components(found.union(of.join(twice, "id").select("rep", "lo")))
-    joined = of.join(linked, F.col("rep") == F.col("node"), "left")
+    found = extended(found, of.join(twice, "id").select("rep", "lo"), "rep", "lo")
+    joined = of.join(found, F.col("rep") == F.col("node"), "left")
     return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
 
 
