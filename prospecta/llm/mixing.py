@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prospecta.llm.shared import WORD, uniform, written
+from prospecta.llm.shared import WORD, checked, uniform, written
 
 SEED, MOST = "mix-1", 3.0
 
@@ -62,10 +62,12 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight_of=None, most: float = MOST, seed: str = SEED) -> DataFrame:
     """The mixed corpus: each row of ``docs`` as often as its source's rate says, all columns kept.
 
-    The rate is joined by source, so texts don't move for it; a document's copies are made where it lies.
+    The rates, one row per source, are broadcast if a check of their size allows it, so texts don't move; a document's
+    copies are made where it lies.
     """
     sized = written(docs.groupBy(F.col(f"`{source_col}`").alias("_source")).agg(F.sum(words(F.col(f"`{text_col}`"))).alias("_size")), "mix-sources")
-    rates = targets(sized, weight_of, most).select("_target_source", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("_rate"))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    rates = checked(written(targets(sized, weight_of, most).select("_target_source", rate.alias("_rate")), "mix-rates"))
     copies = F.floor("_rate") + (uniform(seed, F.col(f"`{id_col}`")) < F.col("_rate") - F.floor("_rate")).cast("long")
     return (
         docs.join(rates, F.col(f"`{source_col}`").eqNullSafe(F.col("_target_source")))
