@@ -36,12 +36,13 @@ def pieces(text: str | None) -> list[bytes]:
 
 
 def build_dictionary(texts: list[str]) -> bytes:
-    """A trained dictionary, or the texts themselves where there are too few to train on."""
+    """A trained dictionary, or, where training finds too little to fill half of one, the texts' own last bytes."""
     samples = [p for t in texts for p in pieces(t)]
     try:
-        return zstandard.train_dictionary(DICT_BYTES, samples, level=LEVEL).as_bytes()
+        trained = zstandard.train_dictionary(DICT_BYTES, samples, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(samples)[-DICT_BYTES:]
+        trained = b""
+    return trained if len(trained) * 2 >= DICT_BYTES else b"".join(samples)[-DICT_BYTES:]
 
 
 class Scorer:
