@@ -40,20 +40,28 @@ _INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i im
 _OUT = frozenset("nav footer aside form button dialog menu input option object audio video canvas head".split())
 _OUT_WORDS = frozenset(
     "nav navbar navigation menu menubar header masthead topbar footer bottom sidebar aside rail notice notices alert banner cookie cookies consent gdpr ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion "
-    "comment comments reply replies respond discussion disqus newsletter subscribe subscription signup login search form related recommended recommendations share sharing social breadcrumb breadcrumbs pagination pager widget popup modal "
+    "comment comments commentlist reply replies respond responses discussion talkback disqus newsletter subscribe subscription signup login search form related recommended recommendations share sharing social breadcrumb breadcrumbs pagination pager widget popup modal "
     "overlay copyright legal disclaimer contentinfo complementary toolbar skip".split()
 )
+#: A name with one of these tells of a layout (has-sidebar, no-header), not of the element itself.
+_ABOUT = frozenset("has with no is without".split())
+_HIDDEN = re.compile(r"""(?:^|\s)hidden(?=\s|=|/|$)|style\s*=\s*["'][^"']*display\s*:\s*none""", re.I)
 _ARTICLE = ("article", "main")
+_WHOLE = ("article", "main", "body", "html")
 _FRAME = frozenset("html body div section article main table tbody tr td center dl".split())
 
 
 def _out(tag: str, attributes: str, inside: bool) -> bool:
-    if tag in _OUT or (tag == "header" and not inside):
+    """Whether an element is no part of an article, by its kind or a word in its names. A header inside an article holds its title and stays."""
+    if tag in _WHOLE:
+        return False
+    if tag in _OUT or (tag == "header" and not inside) or _HIDDEN.search(attributes):
         return True
     for m in _NAMED.finditer(attributes):
         for name in (m[1] or m[2] or m[3] or "").split():
-            if not _OUT_WORDS.isdisjoint(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower())):
-                return not inside or tag not in ("article", "main", "body", "html")
+            held = set(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()))
+            if not held & _ABOUT and not _OUT_WORDS.isdisjoint(held - {"header"} if inside else held):
+                return True
     return False
 
 

@@ -120,6 +120,12 @@ def test_html_main_text(spark):
     assert got[3].n_chars == len(got[3].text)
 
 
+def test_html_names_and_hidden_parts():
+    page = """<body class="page menu-open"><div class="layout has-sidebar"><header><p>x</p></header><article><header class="entry-header"><h1>T</h1></header><p>a<p>b</p>
+<div hidden>h</div><div style="display: none">q</div><div class="commentList"><p>c</p></div><ul><li>one<li>two</ul></article></div><div id="sidebar">s</div></body>"""
+    assert html_text._main(page, frozenset(), None) == "T\na\nb\none\ntwo"
+
+
 def test_html_without_article_uses_the_host_s_largest_slot(spark):
     pages = [(i, f"https://p.example.com/{i}", PLAIN.format(a=f"long text {i} " * 20, b=f"other text {i} " * 20, n=f"box {i}")) for i in range(8)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
