@@ -1,79 +1,106 @@
-"""WARC archives, index first.
+"""WARC archives with an index: offset, length, URL and digest of every record.
 
-The index is computed before a byte is written: a record's length follows from its columns, its offset is the sum
-of the lengths before it in its archive, and URL and digest stand beside them. The archives are then written by
-Spark's text writer with the record end (CRLF CRLF) as line separator, one file per archive, in the index's order,
-so a lost executor's file is simply written again. Reading sorts the wanted records by archive and offset, joins
-neighbours into ranges of about ``RANGE`` bytes, fetches each range once and cuts its records out; every digest is
-checked against the bytes that were read.
+Each task writes its rows as gzip members, one per record, to archives of its own in the shared folder, and returns
+an index row for each; the index is a Parquet table, so a task that is lost and run again leaves only the rows of the
+run that counts (its first archive stays behind unread). Reading starts from the index: the wanted records are sorted
+by archive and offset, neighbours are joined into ranges of about ``RANGE`` bytes, each range is fetched once and its
+records are cut out; every digest is checked against the bytes that were read.
 
 Of records with equal payloads of at least ``least`` bytes, that with the smallest id is a response, the others are
-revisits, which carry no payload. An archive is chosen by a hash of the record, so that archives are of one size
-whatever the order of ids; only sizes and digests, no payloads, are grouped to find revisits.
+revisits, which carry no payload. Only digests are grouped to find revisits; payloads are never shuffled unless the
+table of repeated digests is too large to be broadcast (checked).
 
-Defined results: a null payload is empty; a null URL is left out, and control characters and spaces in URLs are
-percent-encoded; equal rows become equal records (all responses if theirs is the smallest id); records with null id
-never are referred to; an empty table gives no archives and an empty result. Extra columns are ignored.
+Defined results: a null payload is empty; a null URL is left out, and control characters, spaces and ``%`` in URLs are
+percent-encoded; equal rows become equal records (all responses if theirs is the smallest id); records with a null id
+never are referred to; an empty table gives no records and an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
+import re
+import uuid
 from urllib.parse import unquote
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prospecta.llm.shared import checked, new_path, written
 
-ARCHIVE, LEAST_ARCHIVES, RANGE, GAP, LEAST_PAYLOAD = 256 << 20, 64, 4 << 20, 64 << 10, 100
+ARCHIVE, RANGE, GAP, LEAST_PAYLOAD = 1 << 30, 4 << 20, 64 << 10, 100
 DATE = "2024-01-01T00:00:00Z"
 END = "\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _READ = "page_id long, url string, record_type string, payload string, payload_bytes long, payload_digest string, refers_to long"
-
-
-def _header(revisit: Column, date: str) -> Column:
-    """The record's head, up to and with the empty line."""
-    uri = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">\r\n"))
-    url = F.regexp_replace(F.regexp_replace(F.regexp_replace("url", "%", "%25"), " ", "%20"), r"[\x00-\x1F\x7F]", "%0A")
-    return F.concat(
-        F.lit("WARC/1.1\r\nWARC-Type: "), F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")), F.lit(f"\r\nWARC-Date: {date}\r\n"),
-        F.when(F.col("page_id").isNotNull(), F.concat(F.lit("WARC-Record-ID: "), uri(F.col("page_id")))).otherwise(F.lit("")),
-        F.when(F.col("url").isNotNull(), F.concat(F.lit("WARC-Target-URI: "), url, F.lit("\r\n"))).otherwise(F.lit("")),
-        F.lit("WARC-Payload-Digest: sha256:"), F.col("digest"), F.lit("\r\n"),
-        F.when(revisit, F.concat(F.lit(f"WARC-Profile: {_PROFILE}\r\nWARC-Refers-To: "), uri(F.col("refers_to")))).otherwise(F.lit("")),
-        F.lit("Content-Type: text/html\r\nContent-Length: "), F.when(revisit, F.lit("0")).otherwise(F.col("bytes").cast("string")), F.lit(END),
-    )
-
-
-def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = LEAST_PAYLOAD, archive_bytes: int = ARCHIVE, date: str = DATE) -> tuple[str, DataFrame]:
-    """Writes a record per row; returns the archives' folder and the index: archive, file, offset, length, page_id, url, digest, bytes, refers_to."""
-    spark = pages.sparkSession
+_INDEX = "file string, offset long, length long, page_id long, url string, digest string, record_type string"
+
+
+def _urn(page_id: int) -> str:
+    return f"<urn:page:{page_id}>"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str = DATE) -> bytes:
+    """A whole record, not compressed."""
+    fields = {
+        "WARC-Type": "response" if refers_to is None else "revisit",
+        "WARC-Date": date,
+        "WARC-Record-ID": None if page_id is None else _urn(page_id),
+        "WARC-Target-URI": None if url is None else re.sub(r"[\x00-\x20\x7f%]", lambda m: f"%{ord(m[0]):02X}", url),
+        "WARC-Payload-Digest": f"sha256:{digest}",
+        "WARC-Profile": None if refers_to is None else _PROFILE,
+        "WARC-Refers-To": None if refers_to is None else _urn(refers_to),
+        "Content-Type": "text/html",
+        "Content-Length": str(len(payload) if refers_to is None else 0),
+    }
+    head = "WARC/1.1\r\n" + "\r\n".join(f"{k}: {v}" for k, v in fields.items() if v is not None) + END
+    return head.encode() + (payload if refers_to is None else b"") + END.encode()
+
+
+def _number(x) -> int | None:
+    return None if pd.isna(x) else int(x)
+
+
+def _writer(folder: str, archive_bytes: int, date: str):
+    def write(batches):
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        store, path = fs.FileSystem.from_uri(folder)
+        store.create_dir(path, recursive=True)
+        part, out, name, at, count = TaskContext.get().partitionId(), None, "", 0, 0
+        try:
+            for pdf in batches:
+                rows = []
+                for page_id, url, payload, digest, refers_to in zip(pdf["page_id"], pdf["url"], pdf["payload"], pdf["digest"], pdf["refers_to"], strict=True):
+                    if out is None or at >= archive_bytes:
+                        if out is not None:
+                            out.close()
+                        name, at, count = f"part-{part:05d}-{count:03d}-{uuid.uuid4().hex}.warc.gz", 0, count + 1
+                        out = store.open_output_stream(f"{path}/{name}", compression=None)
+                    page_id, refers_to = _number(page_id), _number(refers_to)
+                    member = gzip.compress(record(page_id, url, payload.encode(), digest, refers_to, date), 6, mtime=0)
+                    out.write(member)
+                    rows.append((f"{folder}/{name}", at, len(member), page_id, url, digest, "response" if refers_to is None else "revisit"))
+                    at += len(member)
+                yield pd.DataFrame(rows, columns=["file", "offset", "length", "page_id", "url", "digest", "record_type"]).astype({"page_id": "Int64"})
+        finally:
+            if out is not None:
+                out.close()
+
+    return write
+
+
+def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = LEAST_PAYLOAD, archive_bytes: int = ARCHIVE, date: str = DATE) -> DataFrame:
+    """Writes a record per row; returns the index, a written table: file, offset, length, page_id, url, digest, record_type."""
     payload = F.coalesce(F.col(f"`{payload_col}`"), F.lit(""))
     base = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").alias("url"), payload.alias("payload")).withColumns({"digest": F.sha2("payload", 256), "bytes": F.octet_length("payload").cast("long")})
-    sized = written(base.drop("payload"), "warc-sizes")
-    firsts = sized.filter(F.col("bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1 and refers_to is not null").drop("n")
-    firsts = written(firsts, "warc-firsts")
-    revisits = lambda df: df.join(checked(firsts), "digest", "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("refers_to")), F.col("refers_to")))
-    total = sized.agg(F.sum("bytes")).first()[0] or 0
-    archives = max(LEAST_ARCHIVES, -(-total // archive_bytes))
-    head = _header(F.col("refers_to").isNotNull(), date)
-    placed = lambda df: revisits(df).withColumn("archive", F.pmod(F.xxhash64("page_id", "url", "digest"), F.lit(archives)).cast("int"))
-    order = ["page_id", "url", "digest"]
-    length = F.octet_length(head) + F.when(F.col("refers_to").isNotNull(), F.lit(0)).otherwise(F.col("bytes")) + len(END)
-    before = Window.partitionBy("archive").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    index = placed(sized).withColumn("length", length.cast("long")).withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long"))
-    index = written(index.select("archive", "offset", "length", *order, "bytes", "refers_to"), "warc-index")
-    folder = new_path(spark, "warc")
-    record = F.concat(head, F.when(F.col("refers_to").isNotNull(), F.lit("")).otherwise(F.col("payload")))
-    (placed(base).repartition(archives, "archive").sortWithinPartitions("archive", *order).select("archive", record.alias("value")).write.partitionBy("archive").option("lineSep", END).text(folder))
-    if not total and index.isEmpty():
-        return folder, index.withColumn("file", F.lit(""))
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.col("path").alias("file"), F.col("length").alias("_length"))
-    files = files.filter("_length > 0").withColumn("archive", F.regexp_extract("file", r"/archive=(\d+)/", 1).cast("int")).drop("_length")
-    return folder, index.join(files, "archive")
+    firsts = base.filter(F.col("bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1 and refers_to is not null").drop("n")
+    firsts = checked(written(firsts, "warc-firsts"))
+    marked = base.join(firsts, "digest", "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("refers_to")), F.col("refers_to")))
+    folder = new_path(pages.sparkSession, "warc")
+    return written(marked.select("page_id", "url", "payload", "digest", "refers_to").mapInPandas(_writer(folder, archive_bytes, date), _INDEX), "warc-index")
 
 
 def _record(raw: bytes) -> dict:
@@ -97,7 +124,7 @@ def _fetch(batches):
             with store.open_input_file(path) as f:
                 got = f.read_at(end - start, start)
             for r in records:
-                x = _record(got[r["offset"] - start : r["offset"] - start + r["length"]])
+                x = _record(gzip.decompress(got[r["offset"] - start : r["offset"] - start + r["length"]]))
                 digest, revisit = x["WARC-Payload-Digest"].removeprefix("sha256:"), x["WARC-Type"] == "revisit"
                 if not revisit and hashlib.sha256(x["payload"]).hexdigest() != digest:
                     raise ValueError(f"{file}: the record at {r['offset']} doesn't have its digest")
@@ -117,12 +144,14 @@ def ranges(selected: DataFrame, size: int = RANGE, gap: int = GAP) -> DataFrame:
 
 def read_records(selected: DataFrame, size: int = RANGE, gap: int = GAP) -> DataFrame:
     """Reads the records that ``selected`` (rows of an index) names; revisits have null payload and size."""
-    return ranges(selected, size, gap).select("file", "start", "end", "records").mapInPandas(_fetch, _READ)
+    total = selected.agg(F.sum("length")).first()[0] or 0
+    parts = max(8, -(-total // (4 * size)))  # a task's share, so that small index rows don't put all reads in one task
+    return ranges(selected, size, gap).select("file", "start", "end", "records").repartition(parts, "file", "start").mapInPandas(_fetch, _READ)
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = LEAST_PAYLOAD) -> DataFrame:
     """Writes ``pages``, reads all archives back and resolves revisits: page_id, payload_bytes, payload_digest, record_type, refers_to, url."""
-    _, index = write_archives(pages, id_col, url_col, payload_col, least)
+    index = write_archives(pages, id_col, url_col, payload_col, least)
     read = written(read_records(index).drop("payload"), "warc-read")
     held = read.filter("record_type = 'response'").select(F.col("page_id").alias("_page"), F.col("payload_digest").alias("_digest"), F.col("payload_bytes").alias("_bytes"))
     # A revisit takes its size from the response that it names, checked by digest.
