@@ -35,16 +35,21 @@ def clean_topics(summary: Column) -> Column:
     return first_spellings(kept)
 
 
+def _with_lowered(items: Column, pick) -> Column:
+    """``pick(items, lowered items)``, with both arrays bound to variables, so that each is made once and not once an item."""
+    lowered = lambda xs: F.get(F.transform(F.array(F.transform(xs, F.lower)), lambda lows: pick(xs, lows)), F.lit(0))
+    return F.get(F.transform(F.array(items), lowered), F.lit(0))
+
+
 def first_spellings(items: Column) -> Column:
-    """Each item once, ignoring case. The list is bound to a variable, so it is made once."""
-    once = lambda xs: F.filter(xs, lambda x, i: F.array_position(F.transform(xs, F.lower), F.lower(x)) == i + 1)
-    return F.get(F.transform(F.array(items), once), F.lit(0))
+    """Each item once, ignoring case."""
+    return _with_lowered(items, lambda xs, lows: F.filter(xs, lambda x, i: F.array_position(lows, F.lower(x)) == i + 1))
 
 
 def most_specific(topics: Column) -> Column:
     """Topics that aren't part of another one."""
-    once = lambda xs: F.filter(xs, lambda t: ~F.exists(xs, lambda o: (F.lower(o) != F.lower(t)) & F.contains(F.lower(o), F.lower(t))))
-    return F.get(F.transform(F.array(topics), once), F.lit(0))
+    inside_another = lambda lows, i: F.exists(lows, lambda o: (o != F.get(lows, i)) & F.contains(o, F.get(lows, i)))
+    return _with_lowered(topics, lambda xs, lows: F.filter(xs, lambda _, i: ~inside_another(lows, i)))
 
 
 def keyword_style(topics: Column) -> Column:
