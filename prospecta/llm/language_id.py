@@ -123,9 +123,16 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
         machines += [(f"in {f}", a, b) for i, a in enumerate(own) for b in own[i + 1 :]]
 
     def vectors(batches):
+        columns = ["level", "a", "b", "y", "x"]
         for pdf in batches:
-            out = [(level, a, b, 1.0 if a in (k, family_of(k)) else -1.0, features(t).tobytes()) for t, k in zip(pdf["_text"], pdf["_lang"], strict=True) for level, a, b in machines if (family_of(k) if level == "family" else k) in (a, b)]
-            yield pd.DataFrame(out, columns=["level", "a", "b", "y", "x"])
+            out = []
+            for t, k in zip(pdf["_text"], pdf["_lang"], strict=True):
+                x, family = features(t).tobytes(), family_of(k)
+                out += [(level, a, b, 1.0 if a in (k, family) else -1.0, x) for level, a, b in machines if (family if level == "family" else k) in (a, b)]
+                if len(out) >= 512:
+                    yield pd.DataFrame(out, columns=columns)
+                    out = []
+            yield pd.DataFrame(out, columns=columns)
 
     def train_one(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = np.array([np.frombuffer(v, dtype=np.float32) for v in pdf["x"]]), pdf["y"].to_numpy()

@@ -118,8 +118,8 @@ def _fetch(batches):
     from pyarrow import fs
 
     for pdf in batches:
-        out = []
         for file, start, end, records in zip(pdf["file"], pdf["start"], pdf["end"], pdf["records"], strict=True):
+            out = []
             store, path = fs.FileSystem.from_uri(file)
             with store.open_input_file(path) as f:
                 got = f.read_at(end - start, start)
@@ -130,8 +130,9 @@ def _fetch(batches):
                     raise ValueError(f"{file}: the record at {r['offset']} doesn't have its digest")
                 url = x.get("WARC-Target-URI")
                 out.append((_page(x.get("WARC-Record-ID")), None if url is None else unquote(url), x["WARC-Type"], None if revisit else x["payload"].decode(), None if revisit else len(x["payload"]), digest, _page(x.get("WARC-Refers-To"))))
-        frame = pd.DataFrame(out, columns=["page_id", "url", "record_type", "payload", "payload_bytes", "payload_digest", "refers_to"])
-        yield frame.astype({"page_id": "Int64", "payload_bytes": "Int64", "refers_to": "Int64"})
+            # A range at a time: no more than that is held.
+            frame = pd.DataFrame(out, columns=["page_id", "url", "record_type", "payload", "payload_bytes", "payload_digest", "refers_to"])
+            yield frame.astype({"page_id": "Int64", "payload_bytes": "Int64", "refers_to": "Int64"})
 
 
 def ranges(selected: DataFrame, size: int = RANGE, gap: int = GAP) -> DataFrame:
