@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from prospecta.llm.components import components, extended
 from prospecta.llm.shared import checked, written
 
-WORDS, PERCENT, BLOCK, SKETCH_BITS, SLICES = 5, 80, 256, 22, 64
+WORDS, PERCENT, BLOCK, SKETCH_BITS, SLICES = 5, 80, 256, 21, 64
 
 _U = np.uint64
 _SPACE = np.zeros(256, dtype=bool)
@@ -81,28 +81,42 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(_mix(h))
 
 
+def _small(batches, rows: int = 256):
+    """Batches of few rows: their shingles take a multiple of the texts' memory."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _count_shingles(batches, bits: int):
     counts = np.zeros(1 << bits, dtype=np.int32)
     shift = _U(64 - bits)
-    for batch in batches:
+    for batch in _small(batches):
         held = [shingles(t.as_py()) for t in batch.column(0)]
         if held:
-            np.add(counts, np.bincount((np.concatenate(held) >> shift).astype(np.int64), minlength=1 << bits), out=counts, casting="unsafe")
+            at, times = np.unique(np.concatenate(held) >> shift, return_counts=True)
+            counts[at.astype(np.int64)] += times.astype(np.int32)
     step = (1 << bits) // SLICES
     cut = [counts[i * step : (i + 1) * step].tobytes() for i in range(SLICES)]
     yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(cut, pa.binary())], names=["slice", "counts"])
 
 
-def frequencies(docs: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
-    """How often each of ``2 ** bits`` classes of shingles occurs over all documents: 16 MB, whatever their number."""
-    import pandas as pd
+def _add_counts(batches):
+    """The sum of each slice's counts, added up as they come."""
+    totals: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for at, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            part = np.frombuffer(counts.as_buffer(), dtype=np.int32)
+            totals[at] = part.astype(np.int64) if at not in totals else totals[at] + part
+    names = sorted(totals)
+    yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([np.minimum(totals[k], 2**31 - 1).astype(np.int32).tobytes() for k in names], pa.binary())], names=["slice", "counts"])
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(c, dtype=np.int32).astype(np.int64) for c in pdf["counts"])
-        return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "counts": [np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()]})
 
-    per_task = docs.select("text").mapInArrow(lambda it: _count_shingles(it, bits), "slice int, counts binary")
-    parts = per_task.groupBy("slice").applyInPandas(add, "slice int, counts binary").collect()
+def frequencies(docs: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
+    """How often each of ``2 ** bits`` classes of shingles occurs over all documents: 8 MB, whatever their number."""
+    schema = "slice int, counts binary"
+    per_task = docs.select("text").mapInArrow(lambda it: _count_shingles(it, bits), schema)
+    parts = per_task.repartition(SLICES, "slice").mapInArrow(_add_counts, schema).collect()
     return np.concatenate([np.frombuffer(r["counts"], dtype=np.int32) for r in sorted(parts, key=lambda r: r["slice"])] or [np.zeros(1 << bits, dtype=np.int32)])
 
 
@@ -124,7 +138,7 @@ def sets_of(docs: DataFrame, counts: np.ndarray, percent: int, bits: int = SKETC
     def make(batches):
         rank, common = shared.value
         shift = _U(64 - bits)
-        for batch in batches:
+        for batch in _small(batches):
             held = [shingles(t.as_py()) for t in batch.column(1)]
             first = []
             for h in held:
@@ -219,7 +233,7 @@ def compare(docs: DataFrame, todo: DataFrame) -> DataFrame:
     visits = written(visits.groupBy("rep", part.alias("part")).agg(F.collect_list("to").alias("to")).drop("part"), "ngram-visits")
 
     def make(batches):
-        for batch in batches:
+        for batch in _small(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists([shingles(t.as_py()) for t in batch.column(1)]), batch.column(2)], names=["rep", "tokens", "to"])
 
     sets = docs.join(checked(visits), F.col("id") == F.col("rep")).select("rep", "text", "to").mapInArrow(make, "rep long, tokens array<long>, to array<struct<key:long,block:int,role:int>>")
@@ -238,8 +252,11 @@ def linked(docs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFram
     """(node, component) of the sets that link with another one."""
     is_link, slack = _LINK.format(percent), 1 - percent / 100 + 1e-9
     lists = written(index(sets), "ngram-index")
-    # The leader of a list: the same set leads wherever it can, by a hash of its id.
-    lead = lists.groupBy("token").agg(F.min(F.struct(F.xxhash64("rep").alias("h"), "rep", "n", "pos")).alias("lead"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo <> hi").select("token", "lead")
+    # The leader of a list is its most central set, that which shares most of its prefix with others; so the same sets
+    # lead wherever they can, and what an original's copies changed doesn't stand between it and them.
+    central = lists.groupBy("rep").agg((F.count(F.lit(1)) / F.max("n")).alias("share"))
+    lists = written(lists.join(central, "rep"), "ngram-lists")
+    lead = lists.groupBy("token").agg(F.max(F.struct("share", F.xxhash64("rep").alias("h"), "rep", "n", "pos")).alias("lead"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo <> hi").select("token", "lead")
     near = lists.join(lead, "token").select(F.col("lead.rep").alias("key"), F.col("rep").alias("other"), F.col("lead.n").alias("n1"), F.col("n").alias("n2"), (F.col("lead.n") - F.col("lead.pos")).alias("rest1"), (F.col("n") - F.col("pos")).alias("rest2"))
     pairs = written(near.filter("key <> other").filter(_needs(percent)).select("key", "other").distinct(), "ngram-pairs")
     first = written(compare(docs, pairs).withColumn("linked", F.expr(is_link)).withColumn("d", F.expr(_DISTANCE)).withColumns({c: F.when(F.col("linked"), F.col(c)).otherwise(F.array().cast("array<long>")) for c in ("removed", "added")}), "ngram-first")
@@ -302,9 +319,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     sets = written(sets_of(rows, frequencies(rows), percent), "ngram-sets")
     some = sets.filter("n > 0 and id is not null")
-    reps = some.groupBy("digest").agg(F.min("id").alias("rep"))
-    of = written(sets.select("id", "n", "digest").join(reps.filter("rep is not null"), "digest", "left").select("id", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep")), "ngram-members")
-    one_each = some.join(reps, (some["digest"] == reps["digest"]) & (some["id"] == reps["rep"]), "left_semi")
+    # Sets that occur once stand for themselves; the others are joined from a table of their own, so that a set of very many rows can be split over tasks.
+    copies = checked(written(some.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").drop("copies"), "ngram-copies"))
+    known = sets.select("id", "n", "digest").join(copies, "digest", "left")
+    of = written(known.select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep")), "ngram-members")
+    one_each = some.join(copies, "digest", "left").filter("rep is null or rep = id").drop("rep")
     found = linked(rows.filter("id is not null"), one_each, percent)
     # Rows that share an id may have several sets, which the id joins.
     twice = of.filter("rep is not null").groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo <> hi").select("id", "lo")
@@ -315,6 +334,6 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that lead their component (its smallest id), all columns; rows with a null id stay."""
-    kept = join(docs, id_col, text_col, percent).filter(f"{id_col} = component_id").select(F.col(id_col).alias("_kept_id")).distinct()
-    kept = checked(written(kept, "ngram-kept"))
-    return docs.join(kept, F.col(f"`{id_col}`") == F.col("_kept_id"), "left_semi").unionByName(docs.filter(F.col(f"`{id_col}`").isNull()))
+    gone = join(docs, id_col, text_col, percent).filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone_id")).distinct()
+    gone = checked(written(gone, "ngram-gone"))
+    return docs.join(gone, F.col(f"`{id_col}`") == F.col("_gone_id"), "left_anti")
