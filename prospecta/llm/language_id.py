@@ -57,18 +57,20 @@ def features(text: str) -> np.ndarray:
 
 
 def train_svm(x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, cost: float = 1.0) -> np.ndarray:
-    """Weights (the last is the bias) of a linear SVM with squared hinge loss, by dual coordinate descent."""
-    x = np.hstack([x, np.ones((len(x), 1), dtype=x.dtype)])
-    w, alpha, rng = np.zeros(x.shape[1]), np.zeros(len(x)), np.random.default_rng(7)
-    norm = (x * x).sum(1) + 0.5 / cost
+    """Weights (the last is the bias) of a linear SVM with squared hinge loss, by dual coordinate descent. Rows are read one by one and may be half floats."""
+    w, bias, alpha, rng = np.zeros(x.shape[1], dtype=np.float32), 0.0, np.zeros(len(x)), np.random.default_rng(7)
+    norm = [float(np.square(row.astype(np.float32)).sum()) + 1 + 0.5 / cost for row in x]
     for _ in range(epochs):
         for i in rng.permutation(len(x)):
-            grad = y[i] * (x[i] @ w) - 1 + alpha[i] * 0.5 / cost
+            row = x[i].astype(np.float32)
+            grad = y[i] * (float(row @ w) + bias) - 1 + alpha[i] * 0.5 / cost
             new = max(alpha[i] - grad / norm[i], 0.0)
             if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
+                step = (new - alpha[i]) * y[i]
+                w += np.float32(step) * row
+                bias += step
                 alpha[i] = new
-    return w.astype(np.float32)
+    return np.append(w, np.float32(bias))
 
 
 class Model:
@@ -127,7 +129,7 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
         for pdf in batches:
             out = []
             for t, k in zip(pdf["_text"], pdf["_lang"], strict=True):
-                x, family = features(t).tobytes(), family_of(k)
+                x, family = features(t).astype(np.float16).tobytes(), family_of(k)
                 out += [(level, a, b, 1.0 if a in (k, family) else -1.0, x) for level, a, b in machines if (family if level == "family" else k) in (a, b)]
                 if len(out) >= 512:
                     yield pd.DataFrame(out, columns=columns)
@@ -135,9 +137,10 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
             yield pd.DataFrame(out, columns=columns)
 
     def train_one(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = np.array([np.frombuffer(v, dtype=np.float32) for v in pdf["x"]]), pdf["y"].to_numpy()
-        order = np.lexsort((x[:, 1], x[:, 0], y))  # the rows' order doesn't matter to the result
-        return pd.DataFrame([(pdf["level"][0], pdf["a"][0], pdf["b"][0], train_svm(x[order], y[order]).tobytes())], columns=["level", "a", "b", "w"])
+        # The rows' order doesn't matter to the result; half floats keep a machine's rows small.
+        pdf = pdf.sort_values(["y", "x"], ignore_index=True)
+        x, y = np.frombuffer(b"".join(pdf["x"]), dtype=np.float16).reshape(len(pdf), -1), pdf["y"].to_numpy()
+        return pd.DataFrame([(pdf["level"][0], pdf["a"][0], pdf["b"][0], train_svm(x, y).tobytes())], columns=["level", "a", "b", "w"])
 
     found = []
     if machines:
