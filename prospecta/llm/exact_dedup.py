@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prospecta.llm.shared import one_space, written
+from prospecta.llm.shared import checked, one_space, written
 
 MIN_CHUNK, MAX_CHUNK = 1024, 4096
 #: A sentence end in a few scripts closes a chunk.
@@ -58,9 +58,13 @@ def recipes(docs: DataFrame, text_col: str, identify=chunk_id, tries: int = 8) -
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", identify=chunk_id) -> DataFrame:
     """One row per row of ``docs``: its id, keep_id, group_size, kept, text_sha256."""
     listed = recipes(docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text")), "_text", identify)
-    groups = listed.groupBy("_recipe").agg(F.min("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return listed.join(groups, "_recipe").select(
-        F.col("_id").alias(id_col), "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("_sha256").alias("text_sha256")
+    # Only recipes that occur twice or more are joined back, from a table of their own: a recipe of very many rows is
+    # then one that Spark can split over tasks, or needs no shuffle at all where that table is small.
+    groups = listed.groupBy("_recipe").agg(F.min("_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    joined = listed.join(checked(written(groups, "recipe-groups")), "_recipe", "left")
+    keep = F.when(F.col("n").isNull(), F.col("_id")).otherwise(F.col("first"))
+    return joined.select(
+        F.col("_id").alias(id_col), keep.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), F.col("_id").eqNullSafe(keep).alias("kept"), F.col("_sha256").alias("text_sha256")
     )
 
 
