@@ -4,13 +4,15 @@ Lines that are equal are one line from the start. A line's signature is ``BANDS
 shingles of ``SIGNED_CHARS`` characters that begin at a word's start (all of ``CHARS`` where a script has few words'
 starts); longer ones than are compared, so that common words don't fill the buckets. Lines that agree in all rows of a
 band are candidates. Two lines at the threshold share about 0.7 of these, and are found with a probability of 0.995.
-In a band's bucket all lines are compared with its leader; those that don't link with it are dealt out to the parts of
-the bucket that agree in one more minimum, which have leaders of their own. A comparison is exact: the Jaccard similarity of the
-sets of all ``CHARS``-character shingles. Union-find joins the links, and of each component the first line stays.
+In a band's bucket all lines are compared with its leader, then, round by round, with 16, 256, ... further leaders, those
+nearest to the first one first, until a bucket is one component or all its lines have led. Left out are only pairs that are in one
+component by then, and pairs that can't link: by their sets' sizes, or by the triangle inequality with the first leader. So every
+pair of candidates is decided. A comparison is exact: the Jaccard similarity of the sets of all ``CHARS``-character shingles.
+Union-find joins the links, and of each component the first line stays.
 
 Minima are summed up by Spark's aggregation before anything is shuffled, and texts only move for lines that are
-candidates. A bucket of n lines costs about n comparisons, its leader is found by partial minima, and its members
-are joined with their leader, so no task holds a bucket.
+candidates. A bucket of n lines that link with a few of its leaders costs some n comparisons; one of lines that neither link
+nor are told apart by the bounds costs n * n / 2. The first leader is found by partial minima, and members are joined with leaders.
 
 Defined results: a null text has no lines; spaces, tabs and CR at a line's ends don't count; blank lines are no
 duplicates of anything and always stay (their class is null); lines shorter than a shingle are one shingle; the
@@ -20,13 +22,15 @@ lines of one place, which stay or go together.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prospecta.llm.components import components
+from prospecta.llm.components import components, extended
 from prospecta.llm.shared import checked, written
 
 CHARS, SIGNED_CHARS, BANDS, ROWS, PERCENT = 5, 8, 8, 2, 80
+#: Leaders of a bucket in the second round; as many times more in each that follows.
+LEADERS = 16
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -57,39 +61,50 @@ def signatures(lines: DataFrame, chars: int = SIGNED_CHARS, bands: int = BANDS,
     return hashed.groupBy("h", "g").agg(*[F.min(F.col("s").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(marks)]).withColumn("line_id", F.monotonically_increasing_id())
 
 
-def links(docs_lines: DataFrame, signed: DataFrame, chars: int = CHARS, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT) -> DataFrame:
-    """(a, b) of distinct lines that link."""
+def linked(docs_lines: DataFrame, signed: DataFrame, chars: int = CHARS, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT) -> DataFrame:
+    """(node, component) of distinct lines that link with others."""
     keys = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * rows + r}") for r in range(rows)]) for b in range(bands)])
     members = signed.select("line_id", F.explode(keys).alias("bucket"))
     leaders = members.groupBy("bucket").agg(F.min("line_id").alias("leader"), F.max("line_id").alias("last")).filter("leader <> last").select("bucket", "leader")
-    bucketed = written(members.join(leaders, "bucket").select("bucket", "line_id", "leader"), "line-buckets")
-    wanted = written(bucketed.select("line_id").distinct().join(signed.select("line_id", "h", "g"), "line_id"), "line-wanted")
+    bucketed = written(members.join(leaders, "bucket").filter("leader <> line_id").select("bucket", "line_id", "leader"), "line-buckets")
+    pairs = written(bucketed.select(F.col("leader").alias("a"), F.col("line_id").alias("b")).distinct(), "line-pairs")
+    wanted = written(pairs.select(F.col("a").alias("line_id")).union(pairs.select("b")).distinct().join(signed.select("line_id", "h", "g"), "line_id"), "line-wanted")
     found = docs_lines.select("h", "g", "line").join(checked(wanted), ["h", "g"])
     texts = written(found.groupBy("line_id", "line").agg(F.lit(1).alias("_")).select("line_id", "line"), "line-texts")
-    first = _compare(bucketed, texts, chars, percent)
-    # What didn't link with its leader is dealt out anew: to the parts of its bucket that agree in one more minimum.
-    left = bucketed.join(first.filter("not linked").select("leader", "line_id"), ["leader", "line_id"], "left_semi").select("bucket", "line_id").join(signed, "line_id")
-    more = F.array(*[F.xxhash64("bucket", F.lit(i), F.col(f"m{i}")) for i in range(bands * rows)])
-    parts = left.select("line_id", F.explode(F.array_distinct(more)).alias("bucket"))
-    again = parts.groupBy("bucket").agg(F.min("line_id").alias("leader"), F.max("line_id").alias("last")).filter("leader <> last").select("bucket", "leader")
-    second = _compare(written(parts.join(again, "bucket").select("bucket", "line_id", "leader").join(first.select("leader", "line_id"), ["leader", "line_id"], "left_anti"), "line-parts"), texts, chars, percent)
-    return first.union(second).filter("linked").select(F.col("leader").alias("a"), F.col("line_id").alias("b"))
-
-
-def _compare(bucketed: DataFrame, texts: DataFrame, chars: int, percent: int) -> DataFrame:
-    """(leader, line_id, linked) of each line with its leader, by their whole sets, which are made where the pair is: a line takes an eighth of its set's room."""
-    pairs = bucketed.filter("leader <> line_id").select("leader", "line_id").distinct()
-    both = pairs.join(texts.withColumnRenamed("line", "x"), "line_id").join(texts.select(F.col("line_id").alias("leader"), F.col("line").alias("y")), "leader")
-    sets = both.select("leader", "line_id", shingles(F.col("x"), chars).alias("x"), shingles(F.col("y"), chars).alias("y"))
-    compared = sets.select("leader", "line_id", F.size(F.array_intersect("x", "y")).alias("n"), (F.size("x") + F.size("y")).alias("all"))
-    return written(compared.select("leader", "line_id", F.expr(f"100 * n >= {percent} * (all - n)").alias("linked")), "line-compared")
+    first = _compare(pairs, texts, chars, percent)
+    joined = components(first.filter("linked"))
+    # A leader is done with its bucket. All others go on, with how far they are from it.
+    left = bucketed.join(first.select(F.col("a").alias("leader"), F.col("b").alias("line_id"), "apart", "size"), ["leader", "line_id"]).select("bucket", "line_id", "apart", "size")
+    far, most = 1 - percent / 100 + 1e-9, LEADERS
+    while True:
+        placed = written(left.join(joined.withColumnRenamed("node", "line_id"), "line_id", "left").withColumn("component", F.coalesce("component", "line_id")), "line-placed")
+        open_ = placed.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("bucket")
+        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("apart", "line_id"))
+        left = written(placed.join(open_, "bucket", "left_semi").withColumn("rank", rank), "line-left")
+        if left.isEmpty():
+            return joined
+        heads = left.filter(F.col("rank") <= most).select("bucket", *[F.col(c).alias(f"_{c}") for c in ("line_id", "apart", "size", "component", "rank")])
+        can_link = (F.abs(F.col("apart") - F.col("_apart")) <= far) & (100 * F.least("size", "_size") >= percent * F.greatest("size", "_size"))
+        across = heads.join(left, "bucket").filter((F.col("_rank") < F.col("rank")) & (F.col("_component") != F.col("component")) & can_link)
+        pairs = written(across.select(F.least("line_id", "_line_id").alias("a"), F.greatest("line_id", "_line_id").alias("b")).distinct(), "line-pairs")
+        joined = extended(joined, _compare(pairs, texts, chars, percent).filter("linked"))
+        left = left.filter(F.col("rank") > most).select("bucket", "line_id", "apart", "size")
+        most *= LEADERS
+
+
+def _compare(pairs: DataFrame, texts: DataFrame, chars: int, percent: int) -> DataFrame:
+    """(a, b, linked, apart, size) of pairs (a, b), by their whole sets, which are made where the pair is: a line takes an eighth of its set's room. ``apart`` is their Jaccard distance, ``size`` that of b's set."""
+    both = pairs.join(texts.select(F.col("line_id").alias("b"), F.col("line").alias("x")), "b").join(texts.select(F.col("line_id").alias("a"), F.col("line").alias("y")), "a")
+    sets = both.select("a", "b", shingles(F.col("x"), chars).alias("x"), shingles(F.col("y"), chars).alias("y"))
+    compared = sets.select("a", "b", F.size(F.array_intersect("x", "y")).alias("n"), (F.size("x") + F.size("y")).alias("all"), F.size("x").alias("size"))
+    return written(compared.select("a", "b", F.expr(f"100 * n >= {percent} * (all - n)").alias("linked"), F.expr("1 - n / (all - n)").alias("apart"), "size"), "line-compared")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars: int = CHARS, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT) -> DataFrame:
     """One row per line: id, line_no, class_id (null for blank lines), class_size, keep_id, keep_line, kept."""
     lines = lines_of(docs, id_col, text_col)
     signed = written(signatures(lines, SIGNED_CHARS, bands, rows), "line-signatures")
-    joined = components(links(lines, signed, chars, bands, rows, percent))
+    joined = linked(lines, signed, chars, bands, rows, percent)
     named = signed.select("line_id", "h", "g").join(joined, F.col("line_id") == F.col("node"), "left").select("h", "g", F.coalesce("component", "line_id").alias("class_id"))
     placed = written(lines.select("doc", "line_no", F.when(F.col("line") != "", F.col("h")).alias("h"), "g").join(named, ["h", "g"], "left").select("doc", "line_no", "class_id"), "line-places")
     place = F.struct(F.col("doc").isNull().alias("unknown"), "doc", "line_no")

@@ -232,6 +232,37 @@ def test_line_dedup(spark):
     assert rows_of(line_dedup.cleaned(documents(spark, [(1, "a line\n\nb line"), (2, "b line\nc line")])), "doc_id", "text") == [(1, "a line\n\nb line"), (2, "c line")]
 
 
+def classes_of(links):
+    group = {}
+    for t in links:
+        todo = [] if t in group else [t]
+        while todo:
+            x = todo.pop()
+            if x not in group:
+                group[x] = t
+                todo += links[x]
+    return group
+
+
+def test_line_dedup_decides_every_pair_of_a_bucket(spark):
+    r = random.Random(5)
+    words = lambda n: " ".join("".join(r.choice("abcdefghijkl") for _ in range(7)) for _ in range(n))
+    base = words(20)
+
+    def variant():
+        t = list(base)
+        for at in r.sample(range(len(t)), r.choice((2, 3, 3))):
+            t[at] = r.choice("QRSTUVW")
+        return "".join(t)
+
+    lines = list(dict.fromkeys([variant() for _ in range(300)] + [base] + [base[:60] + words(12) for _ in range(60)]))
+    r.shuffle(lines)
+    got = {g.doc_id: g.class_id for g in line_dedup.classes(documents(spark, list(enumerate(lines)))).collect()}
+    sets = [char_sets(t) for t in lines]
+    want = classes_of({i: [j for j, y in enumerate(sets) if 100 * len(x & y) >= 80 * len(x | y)] for i, x in enumerate(sets)})
+    assert len({(got[i], want[i]) for i in got}) == len(set(got.values())) == len(set(want.values()))
+
+
 # 8
 
 def test_sharding(spark):
