@@ -1,9 +1,11 @@
 """Fuzzy line de-duplication by MinHash (DataFrame functions only).
 
 Lines that are equal are one line from the start. A line's signature is ``BANDS * ROWS`` minima over the hashes of its
-shingles of ``SIGNED_CHARS`` characters that begin at a word's start (all of ``CHARS`` where a script has few words'
-starts); longer ones than are compared, so that common words don't fill the buckets. Lines that agree in all rows of a
-band are candidates. Two lines at the threshold share about 0.7 of these, and are found with a probability of 0.995.
+shingles. Lines under ``SHORT`` characters, and those where words' starts are few, are signed by all shingles of ``CHARS``
+characters; longer ones by those of ``SIGNED_CHARS`` that begin at a word's start, so that common words don't fill the
+buckets. Lines near the border (up to a quarter longer, few or much repeated words) have both signatures, so that a pair
+across it meets too. Lines that agree in all rows of a band are candidates: at the threshold with a probability of 0.9997
+by all shingles; long lines share about 0.7 of theirs there, which makes 0.995.
 In a band's bucket all lines are compared with its leader, then, round by round, with 16, 256, ... further leaders, those
 nearest to the first one first, until a bucket is one component or all its lines have led. Left out are only pairs that are in one
 component by then, and pairs that can't link: by their sets' sizes, or by the triangle inequality with the first leader. So every
@@ -29,6 +31,8 @@ from prospecta.llm.components import components, extended
 from prospecta.llm.shared import checked, written
 
 CHARS, SIGNED_CHARS, BANDS, ROWS, PERCENT = 5, 8, 8, 2, 80
+#: Lines from this length on may be signed at words' starts alone.
+SHORT = 164
 #: Leaders of a bucket in the second round; as many times more in each that follows.
 LEADERS = 16
 
@@ -45,30 +49,43 @@ def shingles(line: Column, chars: int = CHARS) -> Column:
     return F.array_distinct(F.transform(F.when(F.length(line) >= chars, every).otherwise(F.array(line)), lambda s: F.xxhash64(s)))
 
 
-def anchored(line: Column, chars: int = SIGNED_CHARS) -> Column:
-    """The ``chars`` characters from each word's start; every run of ``CHARS`` characters, where words are few or long."""
+def signed_shingles(line: Column, chars: int = SIGNED_CHARS) -> Column:
+    """(extra, s): what a line is signed by. ``extra`` is 1 for the second signature of a line that has two."""
     starts = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{chars}}}))\\S++\\s*+"), F.lit(1))
     every = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{CHARS}}}))"), F.lit(1))
-    choose = lambda s: F.when((F.size(s) > 0) & (F.size(s) * 16 >= F.length(line)), s).when(F.length(line) >= CHARS, every).otherwise(F.array(line))
+    named = lambda array, extra: F.transform(array, lambda s: F.struct(F.lit(extra).alias("extra"), s.alias("s")))
+
+    def choose(s):
+        words = F.size(F.array_distinct(s))
+        wordy = (F.length(line) >= SHORT) & (F.size(s) * 16 >= F.length(line))
+        both = (F.length(line) * 4 < SHORT * 5) | (words * 10 < F.length(line)) | ((F.length(line) < 400) & (words * 10 < F.size(s) * 9))
+        return F.when(wordy & both, F.concat(named(s, 0), named(every, 1))).when(wordy, named(s, 0)).when(F.length(line) >= CHARS, named(every, 0)).otherwise(named(F.array(line), 0))
+
     return F.get(F.transform(F.array(starts), choose), 0)
 
 
 def signatures(lines: DataFrame, chars: int = SIGNED_CHARS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(line_id, h, g, m0, m1, ...): one row per distinct line that isn't blank."""
-    hashed = lines.filter("line <> ''").select("h", "g", F.explode(anchored(F.col("line"), chars)).alias("s")).select("h", "g", F.xxhash64("s").alias("s"))
+    """(line_id, h, g, extra, m0, m1, ...): one row per distinct line that isn't blank, and another one, extra, with another id, for each second signature."""
+    hashed = lines.filter("line <> ''").select("h", "g", F.explode(signed_shingles(F.col("line"), chars)).alias("s")).select("h", "g", "s.extra", F.xxhash64("s.s").alias("s"))
     # Each minimum is over the hashes in another order: by distance from another number.
     marks = [(i * 0x9E3779B97F4A7C15) % 2**64 - 2**63 for i in range(1, bands * rows + 1)]
-    return hashed.groupBy("h", "g").agg(*[F.min(F.col("s").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(marks)]).withColumn("line_id", F.monotonically_increasing_id())
+    return hashed.groupBy("h", "g", "extra").agg(*[F.min(F.col("s").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(marks)]).withColumn("line_id", F.monotonically_increasing_id())
+
+
+def buckets(signed: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(line_id, bucket): one row for each band of each signature."""
+    keys = F.explode(F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * rows + r}") for r in range(rows)]) for b in range(bands)])).alias("bucket")
+    own = signed.filter("extra = 0").select("line_id", "h", "g")
+    return signed.filter("extra = 0").select("line_id", keys).union(signed.filter("extra = 1").drop("line_id").join(own, ["h", "g"]).select("line_id", keys))
 
 
 def linked(docs_lines: DataFrame, signed: DataFrame, chars: int = CHARS, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT) -> DataFrame:
     """(node, component) of distinct lines that link with others."""
-    keys = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * rows + r}") for r in range(rows)]) for b in range(bands)])
-    members = signed.select("line_id", F.explode(keys).alias("bucket"))
+    members = buckets(signed, bands, rows)
     leaders = members.groupBy("bucket").agg(F.min("line_id").alias("leader"), F.max("line_id").alias("last")).filter("leader <> last").select("bucket", "leader")
     bucketed = written(members.join(leaders, "bucket").filter("leader <> line_id").select("bucket", "line_id", "leader"), "line-buckets")
     pairs = written(bucketed.select(F.col("leader").alias("a"), F.col("line_id").alias("b")).distinct(), "line-pairs")
-    wanted = written(pairs.select(F.col("a").alias("line_id")).union(pairs.select("b")).distinct().join(signed.select("line_id", "h", "g"), "line_id"), "line-wanted")
+    wanted = written(pairs.select(F.col("a").alias("line_id")).union(pairs.select("b")).distinct().join(signed.filter("extra = 0").select("line_id", "h", "g"), "line_id"), "line-wanted")
     found = docs_lines.select("h", "g", "line").join(checked(wanted), ["h", "g"])
     texts = written(found.groupBy("line_id", "line").agg(F.lit(1).alias("_")).select("line_id", "line"), "line-texts")
     first = _compare(pairs, texts, chars, percent)
@@ -105,7 +122,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cha
     lines = lines_of(docs, id_col, text_col)
     signed = written(signatures(lines, SIGNED_CHARS, bands, rows), "line-signatures")
     joined = linked(lines, signed, chars, bands, rows, percent)
-    named = signed.select("line_id", "h", "g").join(joined, F.col("line_id") == F.col("node"), "left").select("h", "g", F.coalesce("component", "line_id").alias("class_id"))
+    named = signed.filter("extra = 0").select("line_id", "h", "g").join(joined, F.col("line_id") == F.col("node"), "left").select("h", "g", F.coalesce("component", "line_id").alias("class_id"))
     placed = written(lines.select("doc", "line_no", F.when(F.col("line") != "", F.col("h")).alias("h"), "g").join(named, ["h", "g"], "left").select("doc", "line_no", "class_id"), "line-places")
     place = F.struct(F.col("doc").isNull().alias("unknown"), "doc", "line_no")
     first = placed.filter("class_id is not null").groupBy("class_id").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("class_size")).filter("class_size > 1")

@@ -263,6 +263,18 @@ def test_line_dedup_decides_every_pair_of_a_bucket(spark):
     assert len({(got[i], want[i]) for i in got}) == len(set(got.values())) == len(set(want.values()))
 
 
+def test_line_dedup_finds_short_lines_and_pairs_at_the_border(spark):
+    r = random.Random(6)
+    words = lambda n: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(n))
+    han = lambda n: "".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(n))
+    pairs = [("Advertisement", "-Advertisement"), ("understanding responsibilities", "xunderstanding responsibilities")]
+    pairs += [(t, "-" + t) for t in (han(n) for n in range(8, 17) for _ in range(4)) if len(t) > 8]
+    pairs += [(t, t + " " + words(4)) for t in (words(26) for _ in range(10))] + [(t, f"{t} {t[:60]}") for t in (words(26) for _ in range(10))]
+    got = line_dedup.classes(documents(spark, [(i, "\n".join(p)) for i, p in enumerate(pairs)])).collect()
+    want = {i for i, (a, b) in enumerate(pairs) if 100 * len(char_sets(a) & char_sets(b)) >= 80 * len(char_sets(a) | char_sets(b))}
+    assert {g.doc_id for g in got if not g.kept} == want and len(want) > 40
+
+
 # 8
 
 def test_sharding(spark):
