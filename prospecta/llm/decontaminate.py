@@ -1,7 +1,9 @@
 """Benchmark decontamination by template windows (DataFrame functions only).
 
 Texts are canonicalised word by word: numbers, units after numbers, and names (capitalised words inside a sentence)
-become typed placeholders, the rest lower case. Windows of ``WINDOW`` canonical words of benchmark items are joined
+become typed placeholders, the rest lower case. In a second form every capitalised word is a name wherever it stands, but for
+``OPENERS``, so that names that open a sentence are placeholders and a sentence reads the same whatever precedes it; items
+and documents are looked up in both, and each form is verified by itself. Windows of ``WINDOW`` canonical words of benchmark items are joined
 by hash with those of all documents, so a question with other numbers or names still meets its template. Matches are
 aligned (document position minus item position); on each alignment the words are compared in full and the slots must
 be consistent: one value of the item's slots always stands for one value of the document's. What the consistent
@@ -32,6 +34,13 @@ UNITS = (
     "dollar dollars cent cents euro euros percent degrees celsius fahrenheit kmh mph hz khz mhz ghz kb mb gb tb w kw mw v volt volts watt watts joule joules"
 )
 _DIGITS = r"\p{N}+(?:[.,]\p{N}+)*"
+#: Names inside a sentence; and capitalised words wherever they stand, but for common words that open sentences.
+_NAME_INSIDE = r"\p{Lu}(?<=[\p{Ll}\p{N},;:][ \t]\p{Lu})\p{Ll}[\p{L}\p{M}]*"
+OPENERS = (
+    "A After All Also An And Another Are As Assume At Based Because Before Both But By Calculate Can Compute Consider Determine Did Do Does During Each Every Explain Find For From Give Given Had Has Have He Her His How However If In Into Is It Its Let "
+    "Many Most My No Not Of On One Or Other Our Over Several She Should Simplify Since So Solve Some Suppose That The Their Them Then There These They This Those Three Through To Two Under Until Use Was We Were What When Where Which While Who Whom Whose Why Will With Would Write You Your"
+)
+_NAME_ANYWHERE = rf"(?<![\p{{L}}\p{{M}}])(?!(?:{'|'.join(OPENERS.split())})(?![\p{{L}}\p{{M}}]))\p{{Lu}}\p{{Ll}}[\p{{L}}\p{{M}}]*"
 
 
 def plain(text: Column) -> Column:
@@ -44,9 +53,9 @@ def raw_words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(rf"[\p{{L}}\p{{M}}]+|{_DIGITS}"), F.lit(0))
 
 
-def canonical_words(text: Column) -> Column:
+def canonical_words(text: Column, name: str = _NAME_INSIDE) -> Column:
     """As many words as ``raw_words``, each a placeholder or in lower case."""
-    named = F.regexp_replace(text, r"\p{Lu}(?<=[\p{Ll}\p{N},;:][ \t]\p{Lu})\p{Ll}[\p{L}\p{M}]*", NAME)
+    named = F.regexp_replace(text, name, NAME)
     counted = F.regexp_replace(named, _DIGITS, NUMBER)
     measured = F.regexp_replace(counted, rf"(?i)({NUMBER}\s?)(?:{'|'.join(UNITS.split())})(?![\p{{L}}\p{{M}}])", f"$1{UNIT}")
     return F.regexp_extract_all(F.lower(measured), F.lit(rf"[\p{{L}}\p{{M}}]+|[{NUMBER}-{UNIT}]"), F.lit(0))
@@ -60,6 +69,17 @@ def windows(words: Column, window: int = WINDOW) -> Column:
     return F.get(F.transform(F.array(hashed), lambda h: F.when(F.size(h) > 0, cut(h)).otherwise(F.array().cast("array<bigint>"))), 0)
 
 
+def _forms(text: Column) -> list[Column]:
+    """The words of a text in each form that is looked up; as many in each."""
+    return [canonical_words(text, name) for name in (_NAME_INSIDE, _NAME_ANYWHERE)]
+
+
+def _looked_up(texts: DataFrame, window: int) -> DataFrame:
+    """(doc, pos, hash) of the windows of all forms."""
+    each = F.explode(F.array(*[windows(form, window) for form in _forms(F.col("text"))])).alias("hashes")
+    return texts.select("doc", each).select("doc", F.posexplode("hashes").alias("pos", "hash"))
+
+
 def _is_slot(word: Column) -> Column:
     return word.isin(NUMBER, NAME, UNIT)
 
@@ -68,29 +88,31 @@ def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     """One row per document and item that it gives away: id, item, item_words, covered, slots, changed (slots with another value)."""
     texts = docs.select(F.col(f"`{id_col}`").alias("doc"), plain(F.col(f"`{text_col}`")).alias("text")).filter("doc is not null")
     known = items.select(F.col(f"`{item_col}`").alias("item"), plain(F.col(f"`{item_text_col}`")).alias("text")).filter("item is not null")
-    known = written(known.select("item", raw_words(F.col("text")).alias("item_raw"), canonical_words(F.col("text")).alias("item_words")).filter(F.size("item_words") > 0), "bench-items")
-    looked_up = known.select("item", "item_words", F.posexplode(windows(F.col("item_words"), window)).alias("at", "hash"))
+    known = written(known.select("item", raw_words(F.col("text")).alias("item_raw"), F.array(*_forms(F.col("text"))).alias("item_forms")).filter(F.size("item_raw") > 0), "bench-items")
+    looked_up = known.select("item", F.explode("item_forms").alias("item_words")).select("item", "item_words", F.posexplode(windows(F.col("item_words"), window)).alias("at", "hash"))
     literal = F.size(F.filter(F.slice("item_words", F.col("at") + 1, window), lambda w: ~_is_slot(w)))
-    looked_up = written(looked_up.filter((literal * 2 >= window) | (F.size("item_words") <= window)).select("hash", "item", "at", F.least(F.size("item_words"), F.lit(window)).alias("len")), "bench-windows")
-    found = [texts.select("doc", F.posexplode(windows(canonical_words(F.col("text")), window)).alias("pos", "hash")).join(checked(looked_up.filter(F.col("len") == window)), "hash")]
+    looked_up = written(looked_up.filter((literal * 2 >= window) | (F.size("item_words") <= window)).select("hash", "item", "at", F.least(F.size("item_words"), F.lit(window)).alias("len")).distinct(), "bench-windows")
+    found = [_looked_up(texts, window).join(checked(looked_up.filter(F.col("len") == window)), "hash")]
     # Items shorter than a window: documents are cut in windows of that length too, one pass for each length there is.
     for (short,) in looked_up.filter(F.col("len") < window).select("len").distinct().collect():
         own = checked(written(looked_up.filter(F.col("len") == short), "bench-short"))
-        found.append(texts.select("doc", F.posexplode(windows(canonical_words(F.col("text")), short)).alias("pos", "hash")).join(own, "hash"))
+        found.append(_looked_up(texts, short).join(own, "hash"))
     matched = found[0]
     for more in found[1:]:
         matched = matched.union(more)
     aligned = matched.select("doc", "item", (F.col("pos") - F.col("at")).alias("shift"), "at", "len").groupBy("doc", "item", "shift").agg(F.collect_set("at").alias("at"), F.max("len").alias("len"))
     aligned = written(aligned, "bench-aligned")
     named = checked(written(aligned.select(F.col("doc").alias("_doc")).distinct(), "bench-docs"))
-    again = texts.join(named, F.col("doc") == F.col("_doc")).select("doc", raw_words(F.col("text")).alias("doc_raw"), canonical_words(F.col("text")).alias("doc_words"))
-    side = aligned.join(checked(known), "item").withColumn("covered", F.array_distinct(F.flatten(F.transform("at", lambda a: F.sequence(a, a + F.col("len") - 1)))))
-    side = side.join(again, "doc")
+    again = texts.join(named, F.col("doc") == F.col("_doc")).select("doc", raw_words(F.col("text")).alias("doc_raw"), F.array(*_forms(F.col("text"))).alias("doc_forms"))
     here = lambda array, p: F.get(F.col(array), p + F.col("shift"))
-    same = F.forall("covered", lambda p: here("doc_words", p).eqNullSafe(F.get("item_words", p)))
+    side = aligned.join(checked(known), "item").join(again, "doc").select("doc", "item", "shift", "at", "len", "item_raw", "doc_raw", "doc_forms", F.posexplode("item_forms").alias("form", "item_words"))
+    side = side.withColumn("doc_words", F.get("doc_forms", F.col("form")))
+    # Each form is held against the words by itself: the windows that are equal in it, and its own slots.
+    same = lambda a: F.forall(F.sequence(a, a + F.col("len") - 1), lambda p: here("doc_words", p).eqNullSafe(F.get("item_words", p)))
+    side = side.withColumn("covered", F.array_distinct(F.flatten(F.transform(F.filter("at", same), lambda a: F.sequence(a, a + F.col("len") - 1)))))
     slots = F.filter("covered", lambda p: _is_slot(F.get("item_words", p)))
     pairs = F.array_distinct(F.transform(slots, lambda p: F.struct(F.lower(F.get("item_raw", p)).alias("b"), F.lower(here("doc_raw", p)).alias("d"))))
-    checked_pairs = side.filter(same).select("doc", "item", "covered", F.size("item_words").alias("total"), slots.alias("slots"), pairs.alias("pairs"), F.transform(F.filter(slots, lambda p: F.lower(F.get("item_raw", p)) != F.lower(here("doc_raw", p))), lambda p: p).alias("changed"))
+    checked_pairs = side.filter(F.size("covered") > 0).select("doc", "item", "covered", F.size("item_words").alias("total"), slots.alias("slots"), pairs.alias("pairs"), F.transform(F.filter(slots, lambda p: F.lower(F.get("item_raw", p)) != F.lower(here("doc_raw", p))), lambda p: p).alias("changed"))
     consistent = checked_pairs.filter(F.size(F.array_distinct(F.transform("pairs", lambda x: x["b"]))) == F.size("pairs"))
     union = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c))))
     per_item = consistent.groupBy("doc", "item").agg(F.first("total").alias("item_words"), union("covered").alias("covered"), union("slots").alias("slots"), union("changed").alias("changed"))

@@ -313,6 +313,15 @@ def test_decontamination(spark):
     assert decontaminate.hits(documents(spark, []), items).count() == decontaminate.hits(documents(spark, ODD), items.limit(0)).count() == 0
 
 
+def test_decontamination_of_names_and_words_that_open_sentences(spark):
+    sold = "Natalia sold 48 clips in April. Weng earns 12 dollars an hour. Natalia spent 7 of them. How much is left for Weng?"
+    items = spark.createDataFrame([(1, "What is the capital of France?"), (2, "Alice has 3 apples. Bob has 4 apples. How many apples in total?"), (3, sold)], "item_id long, text string")
+    rows = [(1, "Question: What is the capital of France?"), (2, "they asked What is the capital of France?"), (3, "Carol has 5 apples. Dave has 9 apples. How many apples in total?"), (4, "So: Carol has 5 apples. Dave has 9 apples. How many apples in total?")]
+    rows += [(5, sold.replace("Natalia", "Rosa").replace("Weng", "Ivan").replace("48", "50")), (7, "Paris is the capital of France."), (8, "Carol has 5 pears.")]
+    got = set(rows_of(decontaminate.hits(documents(spark, rows), items), "doc_id", "item_id"))
+    assert got == {(1, 1), (2, 1), (3, 2), (4, 2), (5, 3)}
+
+
 def test_decontamination_finds_all_copied_items(spark):
     docs, items = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet"), spark.read.parquet(f"{DATA}/sf0.01/benchmark.parquet")
     got = set(rows_of(decontaminate.hits(docs, items), "doc_id", "item_id"))
