@@ -14,7 +14,8 @@ are small enough to be broadcast (checked); beyond that the join shuffles hashes
 read a second time, to compare words.
 
 Defined results: null and empty texts match nothing; an item under ``WINDOW`` words is one window, of all its words;
-windows with fewer than half literal words are not looked up, unless the item is one window; rows that share a
+windows with fewer than half literal words are looked up by their words as they are (the third form: lower case, values
+included), so that exact copies are found, unless the item is one window, which is looked up by its template; rows that share a
 doc_id are compared each; rows with a null doc_id or item_id can't be named and match nothing. Extra columns pass
 through ``clean``.
 """
@@ -42,6 +43,9 @@ OPENERS = (
 )
 _NAME_ANYWHERE = rf"(?<![\p{{L}}\p{{M}}])(?!(?:{'|'.join(OPENERS.split())})(?![\p{{L}}\p{{M}}]))\p{{Lu}}\p{{Ll}}[\p{{L}}\p{{M}}]*"
 
+#: The form, among ``_forms``, of the words as they are.
+AS_IS = 2
+
 
 def plain(text: Column) -> Column:
     """``text`` without the characters that stand for placeholders."""
@@ -71,7 +75,7 @@ def windows(words: Column, window: int = WINDOW) -> Column:
 
 def _forms(text: Column) -> list[Column]:
     """The words of a text in each form that is looked up; as many in each."""
-    return [canonical_words(text, name) for name in (_NAME_INSIDE, _NAME_ANYWHERE)]
+    return [*(canonical_words(text, name) for name in (_NAME_INSIDE, _NAME_ANYWHERE)), raw_words(F.lower(text))]
 
 
 def _looked_up(texts: DataFrame, window: int) -> DataFrame:
@@ -89,9 +93,11 @@ def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     texts = docs.select(F.col(f"`{id_col}`").alias("doc"), plain(F.col(f"`{text_col}`")).alias("text")).filter("doc is not null")
     known = items.select(F.col(f"`{item_col}`").alias("item"), plain(F.col(f"`{item_text_col}`")).alias("text")).filter("item is not null")
     known = written(known.select("item", raw_words(F.col("text")).alias("item_raw"), F.array(*_forms(F.col("text"))).alias("item_forms")).filter(F.size("item_raw") > 0), "bench-items")
-    looked_up = known.select("item", F.explode("item_forms").alias("item_words")).select("item", "item_words", F.posexplode(windows(F.col("item_words"), window)).alias("at", "hash"))
-    literal = F.size(F.filter(F.slice("item_words", F.col("at") + 1, window), lambda w: ~_is_slot(w)))
-    looked_up = written(looked_up.filter((literal * 2 >= window) | (F.size("item_words") <= window)).select("hash", "item", "at", F.least(F.size("item_words"), F.lit(window)).alias("len")).distinct(), "bench-windows")
+    looked_up = known.select("item", "item_forms", F.posexplode("item_forms").alias("form", "item_words")).select("item", "item_forms", "form", "item_words", F.posexplode(windows(F.col("item_words"), window)).alias("at", "hash"))
+    literal = lambda array, a: F.size(F.filter(F.slice(array, a + 1, window), lambda w: ~_is_slot(w))) * 2 >= window
+    sparse = lambda a: ~literal(F.get("item_forms", F.lit(0)), a) & (F.size("item_words") > window)
+    wanted = F.when(F.col("form") == AS_IS, sparse(F.col("at"))).otherwise(literal("item_words", F.col("at")) | (F.size("item_words") <= window))
+    looked_up = written(looked_up.filter(wanted).select("hash", "item", "at", F.least(F.size("item_words"), F.lit(window)).alias("len")).distinct(), "bench-windows")
     found = [_looked_up(texts, window).join(checked(looked_up.filter(F.col("len") == window)), "hash")]
     # Items shorter than a window: documents are cut in windows of that length too, one pass for each length there is.
     for (short,) in looked_up.filter(F.col("len") < window).select("len").distinct().collect():
@@ -105,11 +111,11 @@ def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     named = checked(written(aligned.select(F.col("doc").alias("_doc")).distinct(), "bench-docs"))
     again = texts.join(named, F.col("doc") == F.col("_doc")).select("doc", raw_words(F.col("text")).alias("doc_raw"), F.array(*_forms(F.col("text"))).alias("doc_forms"))
     here = lambda array, p: F.get(F.col(array), p + F.col("shift"))
-    side = aligned.join(checked(known), "item").join(again, "doc").select("doc", "item", "shift", "at", "len", "item_raw", "doc_raw", "doc_forms", F.posexplode("item_forms").alias("form", "item_words"))
+    side = aligned.join(checked(known), "item").join(again, "doc").select("doc", "item", "shift", "at", "len", "item_raw", "doc_raw", "doc_forms", "item_forms", F.posexplode("item_forms").alias("form", "item_words"))
     side = side.withColumn("doc_words", F.get("doc_forms", F.col("form")))
     # Each form is held against the words by itself: the windows that are equal in it, and its own slots.
     same = lambda a: F.forall(F.sequence(a, a + F.col("len") - 1), lambda p: here("doc_words", p).eqNullSafe(F.get("item_words", p)))
-    side = side.withColumn("covered", F.array_distinct(F.flatten(F.transform(F.filter("at", same), lambda a: F.sequence(a, a + F.col("len") - 1)))))
+    side = side.withColumn("covered", F.array_distinct(F.flatten(F.transform(F.filter("at", lambda a: same(a) & ((F.col("form") != AS_IS) | sparse(a))), lambda a: F.sequence(a, a + F.col("len") - 1)))))
     slots = F.filter("covered", lambda p: _is_slot(F.get("item_words", p)))
     pairs = F.array_distinct(F.transform(slots, lambda p: F.struct(F.lower(F.get("item_raw", p)).alias("b"), F.lower(here("doc_raw", p)).alias("d"))))
     checked_pairs = side.filter(F.size("covered") > 0).select("doc", "item", "covered", F.size("item_words").alias("total"), slots.alias("slots"), pairs.alias("pairs"), F.transform(F.filter(slots, lambda p: F.lower(F.get("item_raw", p)) != F.lower(here("doc_raw", p))), lambda p: p).alias("changed"))

@@ -322,6 +322,14 @@ def test_decontamination_of_names_and_words_that_open_sentences(spark):
     assert got == {(1, 1), (2, 1), (3, 2), (4, 2), (5, 3)}
 
 
+def test_decontamination_finds_exact_copies_that_are_mostly_slots(spark):
+    sums = "What is 12 + 7 * 3 - 5 / 2 + 8 - 1 * 4?"
+    items = spark.createDataFrame([(1, sums), (2, " ".join(map(str, range(1, 15))))], "item_id long, text string")
+    rows = [(1, f"Some text first. {sums} And more."), (2, sums.replace("12", "13").replace("7", "9")), (3, "so 1 2 3 4 5 6 7 8 9 10 11 12 13 14 go"), (4, "7 " * 20), (5, sums.upper())]
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.hits(documents(spark, rows), items).collect()}
+    assert set(got) == {(1, 1), (3, 2), (5, 1)} and got[(1, 1)].covered == 10 and got[(1, 1)].slots == 8 and got[(1, 1)].changed == 0
+
+
 def test_decontamination_finds_all_copied_items(spark):
     docs, items = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet"), spark.read.parquet(f"{DATA}/sf0.01/benchmark.parquet")
     got = set(rows_of(decontaminate.hits(docs, items), "doc_id", "item_id"))
