@@ -9,6 +9,9 @@ A page's main text is what fills the slots inside the article: an ``article`` or
 one, else that frame element of the host whose slots hold most text. Elements whose kind or name says menu, header,
 footer, sidebar, notice, advert, form or comments are no slots of the article.
 
+Copies count once: of a host's pages with the same article (equal blocks in the article, or outside menus and the like
+where there is none) only that with the least id is observed.
+
 Vectors are never gathered: a class is known by the sum of a hash of (page, count) over pages, which Spark adds up
 by host and token with partial sums, so a host may have any number of pages. Only tokens that enough pages share
 are joined back, by host; that table is broadcast if a check of its size allows it.
@@ -22,7 +25,9 @@ from __future__ import annotations
 
 import hashlib
 import html as entities
+import json
 import re
+import zlib
 from collections import Counter
 
 import pandas as pd
@@ -130,19 +135,29 @@ def blocks(html: str) -> tuple[list[tuple[str, str, bool, bool]], Counter]:
     return found, tags
 
 
-def _observe(batches):
-    """(host, token, is text, count, a hash of page and count, text length) of every page."""
+def _parse(batches):
+    """(host, content, key, tokens) of every page: a hash of its article's blocks, and its tokens, packed."""
     for pdf in batches:
         out = []
         for host, key, html in zip(pdf["host"], pdf["key"], pdf["html"], strict=True):
             found, tags = blocks(html)
+            kept = [t for _, t, inside, gone in found if inside and not gone] or [t for _, t, _, gone in found if not gone]
             texts = Counter(_hash(p, t) for p, t, _, _ in found)
             held = Counter()
             for p, t, inside, gone in found:
                 if not inside and not gone:
                     held[p] += len(t)
-            out += [(host, "", token, True, n, _hash(key, str(n)) >> 20, 0) for token, n in texts.items()]
-            out += [(host, path, _hash(path), False, n, _hash(key, str(n)) >> 20, held[path]) for path, n in tags.items()]
+            tokens = [("", token, True, n, 0) for token, n in texts.items()] + [(path, _hash(path), False, n, held[path]) for path, n in tags.items()]
+            out.append((host, _hash(*kept), key, zlib.compress(json.dumps(tokens).encode())))
+        yield pd.DataFrame(out, columns=["host", "content", "key", "tokens"])
+
+
+def _observe(batches):
+    """(host, path, token, is text, count, a hash of page and count, text length) of every token of a page."""
+    for pdf in batches:
+        out = []
+        for host, key, tokens in zip(pdf["host"], pdf["key"], pdf["tokens"], strict=True):
+            out += [(host, path, token, is_text, n, _hash(key, str(n)) >> 20, held) for path, token, is_text, n, held in json.loads(zlib.decompress(tokens))]
         yield pd.DataFrame(out, columns=["host", "path", "token", "is_text", "n", "mark", "held"])
 
 
@@ -151,9 +166,11 @@ def deduce(pages: DataFrame, support: float = SUPPORT, least_pages: int = LEAST_
 
     ``parent`` is the class of the nearest frame above a class's first token, null for the outermost.
     """
-    seen = pages.mapInPandas(_observe, "host string, path string, token long, is_text boolean, n long, mark long, held long")
+    parsed = pages.mapInPandas(_parse, "host string, content long, key string, tokens binary")
+    apart = written(parsed.groupBy("host", "content").agg(F.min(F.struct("key", "tokens")).alias("page")).select("host", "page.key", "page.tokens"), "template-pages")
+    seen = apart.mapInPandas(_observe, "host string, path string, token long, is_text boolean, n long, mark long, held long")
     per = seen.groupBy("host", "token", "is_text").agg(F.count(F.lit(1)).alias("pages"), F.sum("mark").alias("vector"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("path").alias("path"), F.sum("held").alias("held"))
-    sizes = pages.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
+    sizes = apart.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
     enough = (F.col("pages") >= least_pages) & (F.col("pages") >= F.col("host_pages") * support) & (F.col("least") == F.col("most"))
     held = per.join(sizes, "host").withColumn("valid", enough)
     classes = written(held.filter("valid or held > 0"), "template-tokens")

@@ -136,6 +136,13 @@ def test_html_without_article_uses_the_host_s_largest_slot(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_html_copies_of_an_article_are_no_template(spark):
+    one = "<body><nav><p>menu {n}</p></nav><article><p>Text of {a}</p><p>More of {a}</p><p>Subscribe now</p></article></body>"
+    pages = [(i, f"https://c.example.com/{i}", one.format(n=i, a=0 if i < 6 else i)) for i in range(10)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Text of {0 if i < 6 else i}\nMore of {0 if i < 6 else i}" for i in got)
+
+
 # 5
 
 def fill(sizes, weights, most=3.0):
