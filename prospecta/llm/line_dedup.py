@@ -1,136 +1,278 @@
-"""Fuzzy line de-duplication by MinHash (DataFrame functions only).
-
-Lines that are equal are one line from the start. A line's signature is ``BANDS * ROWS`` minima over the hashes of its
-shingles. Lines under ``SHORT`` characters, and those where words' starts are few, are signed by all shingles of ``CHARS``
-characters; longer ones by those of ``SIGNED_CHARS`` that begin at a word's start, so that common words don't fill the
-buckets. Lines near the border (up to a quarter longer, few or much repeated words) have both signatures, so that a pair
-across it meets too. Lines that agree in all rows of a band are candidates: at the threshold with a probability of 0.9997
-by all shingles; long lines share about 0.7 of theirs there, which makes 0.995.
-In a band's bucket all lines are compared with its leader, then, round by round, with 16, 256, ... further leaders, those
-nearest to the first one first, until a bucket is one component or all its lines have led. Left out are only pairs that are in one
-component by then, and pairs that can't link: by their sets' sizes, or by the triangle inequality with the first leader. So every
-pair of candidates is decided. A comparison is exact: the Jaccard similarity of the sets of all ``CHARS``-character shingles.
-Union-find joins the links, and of each component the first line stays.
-
-Minima are summed up by Spark's aggregation before anything is shuffled, and texts only move for lines that are
-candidates. A bucket of n lines that link with a few of its leaders costs some n comparisons; one of lines that neither link
-nor are told apart by the bounds costs n * n / 2. The first leader is found by partial minima, and members are joined with leaders.
+"""Fuzzy line de-duplication by MinHash.
+
+Lines that are equal are one line from the start. A line's set is that of its ``CHARS``-character shingles, whatever its
+length, and its signature is a MinHash by one permutation: the hashes of the whole set in circular order. A band is
+a run of ``ROWS`` hashes from one of ``BANDS`` fixed marks on (of a set that has no more than ``BANDS``, from every hash
+on), so two lines share it with the probability that MinHash gives ``ROWS`` rows. Sets of up to ``FEW`` hashes also have
+bands of ``SHORT_ROWS``, since so few can't hold longer runs in common; the longer bands begin well below ``FEW``, so two similar
+sets always have a kind in common.
+
+Lines that share a band are candidates. In a band's bucket all lines are compared with its leader, then, round by round,
+with 16, 256, ... further leaders, those nearest to the first one first, until a bucket is one component or all its lines
+have led. Left out are only pairs that are in one component by then, and pairs that can't link: by their sets' sizes, or
+by the triangle inequality with the first leader. So every pair of candidates is decided. A comparison is exact: the
+Jaccard similarity of the sets. Union-find joins the links, and of each component the first line stays.
+
+Spark splits, groups and joins; numpy makes the bands and compares sets, a batch of rows at a time (the README says why
+this isn't made of DataFrame functions alone). Of a band that only one line has, nothing but the key is shuffled. Texts
+move for candidates alone. Members of a leader are dealt out in blocks of ``BLOCK``, each with a copy of the leader.
 
 Defined results: a null text has no lines; spaces, tabs and CR at a line's ends don't count; blank lines are no
 duplicates of anything and always stay (their class is null); lines shorter than a shingle are one shingle; the
 first line of a component is that with the least (doc_id, line_no), null ids last; rows repeated with one doc_id have
-lines of one place, which stay or go together.
+lines of one place, which stay or go together; a line's name is a 64-bit hash, and where two lines have the same one, it
+is that of the reversed line.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prospecta.llm.components import components, extended
 from prospecta.llm.shared import checked, written
 
-CHARS, SIGNED_CHARS, BANDS, ROWS, PERCENT = 5, 8, 8, 2, 80
-#: Lines from this length on may be signed at words' starts alone.
-SHORT = 164
+CHARS, BANDS, ROWS, PERCENT = 5, 14, 5, 80
+#: Sets of up to FEW hashes have bands of SHORT_ROWS; those of more than LONG_FROM have bands of ROWS.
+FEW, LONG_FROM, SHORT_ROWS = 24, 15, 2
 #: Leaders of a bucket in the second round; as many times more in each that follows.
 LEADERS = 16
+BLOCK = 256
+#: A table of keys or lines under this many bytes may be sent to every task.
+KEY_BYTES = 48 << 20
+
+_U = np.uint64
+_FACTORS = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1) ** 5 | 1) % 2**64 for i in range(64)], dtype=np.uint64)
+_BITS = 44
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> _U(27))) * _U(0x94D049BB133111EB)
+    return h ^ (h >> _U(31))
+
+
+def hashed(lines: list[str], chars: int = CHARS) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all shingles of ``lines``, one line's after the other's, and how many each line has. A shorter line is one shingle."""
+    points = np.frombuffer(("".join(lines) + "\0" * chars).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64) + _U(1)
+    lengths = np.array([len(t) for t in lines], dtype=np.int64)
+    counts = np.maximum(lengths - chars + 1, 1)
+    before = np.cumsum(counts) - counts
+    starts = np.cumsum(lengths) - lengths
+    every = np.zeros(len(points) - chars, dtype=np.uint64)
+    for j in range(chars):
+        every += points[j : len(every) + j] * _FACTORS[j]
+    h = every[np.arange(counts.sum()) + np.repeat(starts - before, counts)]
+    for i in np.flatnonzero(lengths < chars):
+        own = points[starts[i] : starts[i] + lengths[i]]
+        h[before[i]] = (own * _FACTORS[: len(own)]).sum(dtype=np.uint64) + _U(len(own))
+    return _mix(h), counts
+
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted and distinct; a plain sort is far quicker here than ``np.unique``."""
+    values = np.sort(values)
+    fresh = np.ones(len(values), dtype=bool)
+    np.not_equal(values[1:], values[:-1], out=fresh[1:])
+    return values[fresh]
 
-def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, line_no, line, h, g): the lines of all texts, from 0, with 128 bits of hash."""
-    cut = docs.select(F.col(f"`{id_col}`").alias("doc"), F.posexplode(F.split(F.col(f"`{text_col}`"), "\n")).alias("line_no", "line"))
-    return cut.withColumn("line", F.btrim("line", F.lit(" \t\r"))).withColumns({"h": F.xxhash64("line"), "g": F.xxhash64(F.lit(7), "line")})
 
+def _runs(sets: np.ndarray, first: np.ndarray, sizes: np.ndarray, start: np.ndarray, owner: np.ndarray, rows: int) -> np.ndarray:
+    """A key for each (start, owner): the ``rows`` hashes from there on, in the owner's circle."""
+    key = np.full(len(start), rows, dtype=np.uint64)
+    for j in range(rows):
+        key = _mix(key * _U(0xD6E8FEB86659FD93) + sets[first[owner] + (start - first[owner] + j) % sizes[owner]])
+    return key
 
-def shingles(line: Column, chars: int = CHARS) -> Column:
-    """All distinct shingles as hashes; a shorter line is one."""
-    every = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{chars}}}))"), F.lit(1))
-    return F.array_distinct(F.transform(F.when(F.length(line) >= chars, every).otherwise(F.array(line)), lambda s: F.xxhash64(s)))
 
+def bands(lines: list[str], chars: int = CHARS, marks: int = BANDS, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(size of the set by line; line, key: the bands of all lines)."""
+    h, counts = hashed(lines, chars)
+    line = np.repeat(np.arange(len(lines), dtype=np.uint64), counts)
+    every = _distinct(line << _U(_BITS) | h >> _U(64 - _BITS))
+    owner = (every >> _U(_BITS)).astype(np.int64)
+    sets = every & _U((1 << _BITS) - 1)
+    sizes = np.bincount(owner, minlength=len(lines))
+    first = np.cumsum(sizes) - sizes
+    many = np.flatnonzero(sizes > marks)
+    wanted = (np.repeat(many.astype(np.uint64), marks) << _U(_BITS)) + np.tile(np.arange(marks, dtype=np.uint64) * _U((1 << _BITS) // marks), len(many))
+    start, of = [np.searchsorted(every, wanted)], [np.repeat(many, marks)]
+    whole = np.flatnonzero(sizes[owner] <= marks)
+    start.append(whole)
+    of.append(owner[whole])
+    start, of = np.concatenate(start), np.concatenate(of)
+    long, few = sizes[of] > LONG_FROM, np.flatnonzero(sizes[owner] <= FEW)
+    keys = np.concatenate([_runs(sets, first, sizes, start[long], of[long], rows), _runs(sets, first, sizes, few, owner[few], SHORT_ROWS)])
+    return sizes, np.concatenate([of[long], owner[few]]), keys
 
-def signed_shingles(line: Column, chars: int = SIGNED_CHARS) -> Column:
-    """(extra, s): what a line is signed by. ``extra`` is 1 for the second signature of a line that has two."""
-    starts = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{chars}}}))\\S++\\s*+"), F.lit(1))
-    every = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{CHARS}}}))"), F.lit(1))
-    named = lambda array, extra: F.transform(array, lambda s: F.struct(F.lit(extra).alias("extra"), s.alias("s")))
 
-    def choose(s):
-        words = F.size(F.array_distinct(s))
-        wordy = (F.length(line) >= SHORT) & (F.size(s) * 16 >= F.length(line))
-        both = (F.length(line) * 4 < SHORT * 5) | (words * 10 < F.length(line)) | ((F.length(line) < 400) & (words * 10 < F.size(s) * 9))
-        return F.when(wordy & both, F.concat(named(s, 0), named(every, 1))).when(wordy, named(s, 0)).when(F.length(line) >= CHARS, named(every, 0)).otherwise(named(F.array(line), 0))
+def _sign(chars: int, marks: int, rows: int):
+    """(doc, text) to a row for each line: doc, line_no, h, g, size, keys; all null from h on for a blank line."""
 
-    return F.get(F.transform(F.array(starts), choose), 0)
+    def slices(batch, most: int = 1 << 20):
+        lo, held = 0, 0
+        for i, n in enumerate(pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).to_numpy()):
+            held += n
+            if held > most or i - lo >= 4096:
+                yield batch.slice(lo, i - lo + 1)
+                lo, held = i + 1, 0
+        yield batch.slice(lo)
 
+    def make(batches):
+        for batch in batches:
+            for part in slices(batch):
+                doc, number, lines = [], [], []
+                for i, text in enumerate(part.column(1).to_pylist()):
+                    if text is not None:
+                        own = [t.strip(" \t\r") for t in text.split("\n")]
+                        doc += [i] * len(own)
+                        number += range(len(own))
+                        lines += own
+                # A batch's equal lines are signed once.
+                distinct = dict.fromkeys(t for t in lines if t)
+                at = {t: i for i, t in enumerate(distinct)}
+                sizes, owner, keys = bands(list(distinct), chars, marks, rows) if distinct else (np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.uint64))
+                order = np.lexsort((keys, owner))
+                owner, keys = owner[order], keys[order]
+                fresh = np.ones(len(keys), dtype=bool)
+                fresh[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
+                owner, keys = owner[fresh], keys[fresh]
+                ends = np.cumsum(np.bincount(owner, minlength=len(distinct)))
+                names = [(xxhash.xxh64_intdigest(t.encode(), 42), xxhash.xxh64_intdigest(t[::-1].encode(), 42)) for t in distinct]
+                names = np.array(names, dtype=np.uint64).reshape(-1, 2).view(np.int64)
+                which = np.array([at.get(t, -1) for t in lines], dtype=np.int64)
+                blank = which < 0
+                leads = np.zeros(len(lines), dtype=bool)
+                leads[np.unique(which, return_index=True)[1]] = True
+                leads &= ~blank
+                spans = [keys[(ends[w - 1] if w else 0) : ends[w]] if lead else keys[:0] for w, lead in zip(which, leads, strict=True)]
+                offsets = np.zeros(len(lines) + 1, dtype=np.int32)
+                np.cumsum([len(s) for s in spans], out=offsets[1:])
+                flat = np.concatenate(spans) if spans else keys[:0]
+                pick = np.where(blank, 0, which)
+                column = lambda v, kind: pa.array(v[pick] if len(v) else np.zeros(len(lines), v.dtype), kind, mask=blank)  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(doc, pa.int64())), pa.array(number, pa.int32()), column(names[:, 0], pa.int64()), column(names[:, 1], pa.int64()), column(sizes.astype(np.int32), pa.int32()),
+                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))],
+                    names=["doc", "line_no", "h", "g", "size", "keys"],
+                )
 
-def signatures(lines: DataFrame, chars: int = SIGNED_CHARS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(line_id, h, g, extra, m0, m1, ...): one row per distinct line that isn't blank, and another one, extra, with another id, for each second signature."""
-    hashed = lines.filter("line <> ''").select("h", "g", F.explode(signed_shingles(F.col("line"), chars)).alias("s")).select("h", "g", "s.extra", F.xxhash64("s.s").alias("s"))
-    # Each minimum is over the hashes in another order: by distance from another number.
-    marks = [(i * 0x9E3779B97F4A7C15) % 2**64 - 2**63 for i in range(1, bands * rows + 1)]
-    return hashed.groupBy("h", "g", "extra").agg(*[F.min(F.col("s").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(marks)]).withColumn("line_id", F.monotonically_increasing_id())
+    return make
 
 
-def buckets(signed: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(line_id, bucket): one row for each band of each signature."""
-    keys = F.explode(F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * rows + r}") for r in range(rows)]) for b in range(bands)])).alias("bucket")
-    own = signed.filter("extra = 0").select("line_id", "h", "g")
-    return signed.filter("extra = 0").select("line_id", keys).union(signed.filter("extra = 1").drop("line_id").join(own, ["h", "g"]).select("line_id", keys))
+def signed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars: int = CHARS, marks: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
+    """A row for each line: doc, line_no, h (its name), size, keys (of one of a batch's equal lines); and the names that two lines had in common."""
+    of = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("text"))
+    schema = f"doc {of.schema['doc'].dataType.simpleString()}, line_no int, h long, g long, size int, keys array<long>"
+    signed = written(of.mapInArrow(_sign(chars, marks, rows), schema), "line-signatures")
+    shared = written(signed.groupBy("h").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo <> hi").select("h"), "line-clashes")
+    return _renamed(signed, shared).drop("g"), shared
 
 
-def linked(docs_lines: DataFrame, signed: DataFrame, chars: int = CHARS, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT) -> DataFrame:
+def _renamed(rows: DataFrame, shared: DataFrame) -> DataFrame:
+    """Rows (h, g): lines that share a name get that of the reversed line."""
+    if shared.isEmpty():
+        return rows
+    return rows.join(checked(shared.withColumn("_shared", F.lit(True))), "h", "left").withColumn("h", F.when(F.col("_shared"), F.col("g")).otherwise(F.col("h"))).drop("_shared")
+
+
+def texts_of(docs: DataFrame, wanted: DataFrame, shared: DataFrame, text_col: str = "text") -> DataFrame:
+    """(h, line): one row for each of the lines that ``wanted`` (h) names."""
+    lines = docs.select(F.explode(F.split(F.col(f"`{text_col}`"), "\n")).alias("line")).select(F.btrim("line", F.lit(" \t\r")).alias("line")).select(F.xxhash64("line").alias("h"), F.xxhash64(F.reverse("line")).alias("g"), "line")
+    found = _renamed(lines, shared).select("h", "line").join(checked(wanted, KEY_BYTES), "h")
+    return written(found.groupBy("h", "line").agg(F.lit(1).alias("_")).select("h", "line"), "line-texts")
+
+
+def linked(docs: DataFrame, signed: DataFrame, shared: DataFrame, text_col: str = "text", chars: int = CHARS, percent: int = PERCENT) -> DataFrame:
     """(node, component) of distinct lines that link with others."""
-    members = buckets(signed, bands, rows)
-    leaders = members.groupBy("bucket").agg(F.min("line_id").alias("leader"), F.max("line_id").alias("last")).filter("leader <> last").select("bucket", "leader")
-    bucketed = written(members.join(leaders, "bucket").filter("leader <> line_id").select("bucket", "line_id", "leader"), "line-buckets")
-    pairs = written(bucketed.select(F.col("leader").alias("a"), F.col("line_id").alias("b")).distinct(), "line-pairs")
-    wanted = written(pairs.select(F.col("a").alias("line_id")).union(pairs.select("b")).distinct().join(signed.filter("extra = 0").select("line_id", "h", "g"), "line_id"), "line-wanted")
-    found = docs_lines.select("h", "g", "line").join(checked(wanted), ["h", "g"])
-    texts = written(found.groupBy("line_id", "line").agg(F.lit(1).alias("_")).select("line_id", "line"), "line-texts")
+    keyed = signed.select("h", "size", F.explode("keys").alias("key"))
+    lead = keyed.groupBy("key").agg(F.min("h").alias("leader"), F.max("h").alias("last")).filter("leader <> last").select("key", "leader")
+    rows = written(keyed.join(checked(written(lead, "line-buckets"), KEY_BYTES), "key").distinct(), "line-members")
+    bucketed = rows.filter("h <> leader").select(F.col("key").alias("bucket"), F.col("h").alias("line_id"), "size", "leader")
+    leaders = rows.filter("h = leader").select("leader", F.col("size").alias("_size")).distinct()
+    fits = F.expr(f"100 * least(size, _size) >= {percent} * greatest(size, _size)")
+    pairs = written(bucketed.select("leader", "line_id", "size").distinct().join(leaders, "leader").filter(fits).select(F.col("leader").alias("a"), F.col("line_id").alias("b")), "line-pairs")
+    wanted = written(rows.select("h").distinct(), "line-wanted")
+    texts = texts_of(docs, wanted, shared, text_col)
     first = _compare(pairs, texts, chars, percent)
     joined = components(first.filter("linked"))
-    # A leader is done with its bucket. All others go on, with how far they are from it.
-    left = bucketed.join(first.select(F.col("a").alias("leader"), F.col("b").alias("line_id"), "apart", "size"), ["leader", "line_id"]).select("bucket", "line_id", "apart", "size")
+    # A leader is done with its bucket. All others go on, with how far they are from it, if it was compared.
+    left = bucketed.join(first.select(F.col("a").alias("leader"), F.col("b").alias("line_id"), "apart"), ["leader", "line_id"], "left").select("bucket", "line_id", "apart", "size")
     far, most = 1 - percent / 100 + 1e-9, LEADERS
     while True:
         placed = written(left.join(joined.withColumnRenamed("node", "line_id"), "line_id", "left").withColumn("component", F.coalesce("component", "line_id")), "line-placed")
         open_ = placed.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("bucket")
-        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("apart", "line_id"))
+        rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.col("apart").asc_nulls_last(), "line_id"))
         left = written(placed.join(open_, "bucket", "left_semi").withColumn("rank", rank), "line-left")
         if left.isEmpty():
             return joined
         heads = left.filter(F.col("rank") <= most).select("bucket", *[F.col(c).alias(f"_{c}") for c in ("line_id", "apart", "size", "component", "rank")])
-        can_link = (F.abs(F.col("apart") - F.col("_apart")) <= far) & (100 * F.least("size", "_size") >= percent * F.greatest("size", "_size"))
-        across = heads.join(left, "bucket").filter((F.col("_rank") < F.col("rank")) & (F.col("_component") != F.col("component")) & can_link)
+        near = F.coalesce(F.abs(F.col("apart") - F.col("_apart")) <= far, F.lit(True))
+        across = heads.join(left, "bucket").filter((F.col("_rank") < F.col("rank")) & (F.col("_component") != F.col("component")) & near & fits)
         pairs = written(across.select(F.least("line_id", "_line_id").alias("a"), F.greatest("line_id", "_line_id").alias("b")).distinct(), "line-pairs")
         joined = extended(joined, _compare(pairs, texts, chars, percent).filter("linked"))
         left = left.filter(F.col("rank") > most).select("bucket", "line_id", "apart", "size")
         most *= LEADERS
 
 
+def _jaccard(chars: int, percent: int):
+    """Rows sorted by (a, block, role), the leader first, to (a, b, linked, apart)."""
+
+    def make(batches):
+        at, lead = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            h, counts = hashed(batch.column(4).to_pylist(), chars)
+            sets = np.split(h, np.cumsum(counts)[:-1])
+            a, block, role, b = (batch.column(i).to_numpy() for i in range(4))
+            out = []
+            for i in range(batch.num_rows):
+                own = _distinct(sets[i])
+                if role[i] == 0:
+                    at, lead = (a[i], block[i]), own
+                elif at == (a[i], block[i]):
+                    place = np.searchsorted(lead, own)
+                    place[place == len(lead)] = 0
+                    n = int((lead[place] == own).sum())
+                    union = len(lead) + len(own) - n
+                    out.append((int(a[i]), int(b[i]), 100 * n >= percent * union, 1 - n / union))
+            columns = list(zip(*out, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.bool_(), pa.float64()), strict=True)], names=["a", "b", "linked", "apart"])
+
+    return make
+
+
 def _compare(pairs: DataFrame, texts: DataFrame, chars: int, percent: int) -> DataFrame:
-    """(a, b, linked, apart, size) of pairs (a, b), by their whole sets, which are made where the pair is: a line takes an eighth of its set's room. ``apart`` is their Jaccard distance, ``size`` that of b's set."""
-    both = pairs.join(texts.select(F.col("line_id").alias("b"), F.col("line").alias("x")), "b").join(texts.select(F.col("line_id").alias("a"), F.col("line").alias("y")), "a")
-    sets = both.select("a", "b", shingles(F.col("x"), chars).alias("x"), shingles(F.col("y"), chars).alias("y"))
-    compared = sets.select("a", "b", F.size(F.array_intersect("x", "y")).alias("n"), (F.size("x") + F.size("y")).alias("all"), F.size("x").alias("size"))
-    return written(compared.select("a", "b", F.expr(f"100 * n >= {percent} * (all - n)").alias("linked"), F.expr("1 - n / (all - n)").alias("apart"), "size"), "line-compared")
+    """(a, b, linked, apart) of distinct pairs (a, b), by their whole sets; ``apart`` is their Jaccard distance."""
+    blocks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
+    dealt = written(pairs.join(blocks, "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), "b"), "line-dealt")
+    visits = dealt.select(F.col("a").alias("h"), "a", "block", F.lit(0).alias("role")).distinct().union(dealt.select(F.col("b").alias("h"), "a", "block", F.lit(1).alias("role")))
+    rows = visits.join(texts, "h").select("a", "block", "role", "h", "line")
+    sorted_ = rows.repartition("a", "block").sortWithinPartitions("a", "block", "role")
+    return written(sorted_.mapInArrow(_jaccard(chars, percent), "a long, b long, linked boolean, apart double"), "line-compared")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars: int = CHARS, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT) -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars: int = CHARS, marks: int = BANDS, rows: int = ROWS, percent: int = PERCENT) -> DataFrame:
     """One row per line: id, line_no, class_id (null for blank lines), class_size, keep_id, keep_line, kept."""
-    lines = lines_of(docs, id_col, text_col)
-    signed = written(signatures(lines, SIGNED_CHARS, bands, rows), "line-signatures")
-    joined = linked(lines, signed, chars, bands, rows, percent)
-    named = signed.filter("extra = 0").select("line_id", "h", "g").join(joined, F.col("line_id") == F.col("node"), "left").select("h", "g", F.coalesce("component", "line_id").alias("class_id"))
-    placed = written(lines.select("doc", "line_no", F.when(F.col("line") != "", F.col("h")).alias("h"), "g").join(named, ["h", "g"], "left").select("doc", "line_no", "class_id"), "line-places")
+    signed, shared = signed_lines(docs, id_col, text_col, chars, marks, rows)
+    joined = linked(docs, signed, shared, text_col, chars, percent)
+    lines = signed.select("doc", "line_no", "h")
+    # Only lines that others equal or link with have a class to look up: few, so most lines aren't grouped by it.
+    repeated = lines.filter("h is not null").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("h").alias("node"))
+    of = written(repeated.join(joined, "node", "full_outer").select("node", F.coalesce("component", "node").alias("_class")), "line-classes")
     place = F.struct(F.col("doc").isNull().alias("unknown"), "doc", "line_no")
-    first = placed.filter("class_id is not null").groupBy("class_id").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("class_size")).filter("class_size > 1")
-    done = placed.join(first, "class_id", "left")
-    kept = F.col("first").isNull() | (F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("line_no") == F.col("first.line_no")))
+    shared_lines = lines.join(checked(of, KEY_BYTES), F.col("h") == F.col("node"))
+    per_class = written(shared_lines.groupBy("_class").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("class_size")), "line-firsts")
+    known = written(of.join(per_class, "_class").select("node", "_class", "class_size", F.col("first.doc").alias("_doc"), F.col("first.line_no").alias("_line")), "line-known")
+    done = lines.join(checked(known, KEY_BYTES), F.col("h") == F.col("node"), "left")
+    alone = F.col("node").isNull()
     return done.select(
-        F.col("doc").alias(id_col), "line_no", "class_id", F.coalesce("class_size", F.lit(1)).alias("class_size"), F.when(F.col("first").isNull(), F.col("doc")).otherwise(F.col("first.doc")).alias("keep_id"),
-        F.when(F.col("first").isNull(), F.col("line_no")).otherwise(F.col("first.line_no")).alias("keep_line"), kept.alias("kept"),
+        F.col("doc").alias(id_col), "line_no", F.coalesce("_class", "h").alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), F.when(alone, F.col("doc")).otherwise(F.col("_doc")).alias("keep_id"),
+        F.when(alone, F.col("line_no")).otherwise(F.col("_line")).alias("keep_line"), (alone | (F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("line_no") == F.col("_line")))).alias("kept"),
     )
 
 
