@@ -38,8 +38,8 @@ def occurrences(token: Column, text: Column) -> Column:
 
 def token_hits(tokens: Column, text: Column, presence: float = 1.5) -> Column:
     """Per token its occurrences in the lowered text, plus ``presence`` if there are any; summed."""
-    lowered = F.lower(or_empty(text))
-    each = F.transform(tokens, lambda t: occurrences(t, lowered))
+    # The lowered text is bound to a lambda's variable; named outside, it would be made again for each token.
+    each = F.flatten(F.transform(F.array(F.lower(or_empty(text))), lambda lowered: F.transform(tokens, lambda t: occurrences(t, lowered))))
     return F.aggregate(each, F.lit(0.0), lambda acc, n: acc + n + F.when(n > 0, F.lit(presence)).otherwise(F.lit(0.0)))
 
 
@@ -134,7 +134,9 @@ def stable_choice(options: list, seed: Column) -> Column:
     n, digest = len(options), F.md5(seed)
     half = lambda at: F.conv(F.substring(digest, at, 16), 16, 10).cast("decimal(20,0)") % n
     at = ((half(1) * F.lit(2**64 % n) + half(17)) % n).cast("int")
-    return F.get(F.array(*[o if isinstance(o, Column) else F.lit(o) for o in options]), at)
+    made = [o if isinstance(o, Column) else F.lit(o) for o in options]
+    # The number is drawn once; then only the option it names is made.
+    return F.get(F.transform(F.array(at), lambda i: F.coalesce(*[F.when(i == k, o) for k, o in enumerate(made)])), F.lit(0))
 
 
 def before_pipe(c: Column) -> Column:

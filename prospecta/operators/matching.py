@@ -6,11 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prospecta.functions.text import before_pipe, dept_label, empty_to_null, occurrences, or_empty, strip, token_hits, tokenize
-from prospecta.plans.index import postings, token_counts
+from prospecta.plans import blocks
 
 TOP, MOST, LEAST_SCORE, RESUME_WEIGHT = 20, 50, 0.1, 0.35
-#: Up to this many pairs of query and profile the texts are scanned; beyond, words are indexed.
-SCAN_PAIRS = 1000
 
 
 def resume_tokens(*lists: Column) -> Column:
@@ -33,11 +31,11 @@ def match_score(summary: Column, name: Column, department: Column, interests: Co
 
 
 def search_score(summary: Column, name: Column, title: Column, department: Column, tokens: Column) -> Column:
-    """One profile's score for a query by scanning its text; 1 without tokens."""
-    text = F.lower(F.concat_ws(" ", or_empty(summary), or_empty(name), or_empty(title), or_empty(department)))
-    own_name, own_summary = F.lower(or_empty(name)), F.lower(or_empty(summary))
-    each = F.transform(tokens, lambda t: occurrences(t, text) + F.when(F.contains(own_name, t), F.lit(5.0)).otherwise(F.lit(0.0)) + F.when(F.contains(own_summary, t), F.lit(2.0)).otherwise(F.lit(0.0)))
-    return F.when(F.size(tokens) == 0, F.lit(1.0)).otherwise(F.aggregate(each, F.lit(0.0), lambda a, b: a + b))
+    """One profile's score for a query by scanning its text; 1 without tokens. Lowered texts are made once, then bound to a lambda's variable."""
+    own = F.struct(F.lower(F.concat_ws(" ", or_empty(summary), or_empty(name), or_empty(title), or_empty(department))).alias("text"), F.lower(or_empty(name)).alias("name"), F.lower(or_empty(summary)).alias("summary"))
+    one = lambda o, t: occurrences(t, o["text"]) + F.when(F.contains(o["name"], t), F.lit(5.0)).otherwise(F.lit(0.0)) + F.when(F.contains(o["summary"], t), F.lit(2.0)).otherwise(F.lit(0.0))
+    scored = F.get(F.transform(F.array(own), lambda o: F.aggregate(tokens, F.lit(0.0), lambda acc, t: acc + one(o, t))), F.lit(0))
+    return F.when(F.size(tokens) == 0, F.lit(1.0)).otherwise(scored)
 
 
 def fit_label(score: Column, best: Column) -> Column:
@@ -86,37 +84,41 @@ def _weights(seekers: DataFrame, id_col: str, **lists: str) -> DataFrame:
     return rows.groupBy("seeker", "token").agg(*[F.sum(k).alias(k) for k in lists])
 
 
-def _plan(plan: str, seekers: DataFrame, profiles: DataFrame) -> str:
-    return plan if plan != "auto" else "scan" if seekers.count() * profiles.count() <= SCAN_PAIRS else "index"
+def _match(counts: dict, weights: dict):
+    """(profile, seeker) scores from token counts by field and the seekers' tokens."""
+    everywhere, inside = counts["summary"] + counts["name"] + counts["department"], counts["summary"] > 0
+    interest = everywhere + 1.5 * (everywhere > 0) + 2.0 * inside
+    return interest @ weights["interest"] + RESUME_WEIGHT * ((counts["summary"] + 1.5 * inside) @ weights["resume"])
 
 
-def match_scores(profiles: DataFrame, seekers: DataFrame, plan: str = "index", posted: DataFrame | None = None) -> DataFrame:
-    """(session_id, id, score) of all pairs that score; seekers have session_id, interest_tokens, resume_tokens."""
-    if _plan(plan, seekers, profiles) == "scan":
-        score = match_score(F.col("research_summary"), F.col("name"), F.col("department"), F.col("interest_tokens"), F.col("resume_tokens"))
-        return profiles.crossJoin(F.broadcast(seekers)).select("session_id", "id", score.alias("score")).filter(F.col("score") >= LEAST_SCORE)
-    wanted = _weights(seekers, "session_id", interest="interest_tokens", resume="resume_tokens")
-    counts = token_counts(posted if posted is not None else postings(profiles), wanted.select("token").distinct())
-    everywhere = F.col("summary") + F.col("name") + F.col("department")
-    inside = (F.col("summary") > 0).cast("double")
-    part = counts.select("token", "id", (everywhere + F.lit(1.5) * (everywhere > 0).cast("double") + F.lit(2.0) * inside).alias("i"), (F.col("summary") + F.lit(1.5) * inside).alias("r"))
-    summed = part.join(wanted, "token").groupBy("seeker", "id").agg(F.sum(F.col("interest") * F.col("i")).alias("i"), F.sum(F.col("resume") * F.col("r")).alias("r"))
-    return summed.select(F.col("seeker").alias("session_id"), "id", (F.col("i") + F.lit(RESUME_WEIGHT) * F.col("r")).alias("score")).filter(F.col("score") >= LEAST_SCORE)
+def _search(counts: dict, weights: dict):
+    return (sum(counts.values()) + 5.0 * (counts["name"] > 0) + 2.0 * (counts["summary"] > 0)) @ weights["times"]
 
 
-def match_profiles(profiles: DataFrame, seekers: DataFrame, n: int = TOP, plan: str = "index", digits: int = 4) -> DataFrame:
+def match_scores(profiles: DataFrame, seekers: DataFrame, n: int = TOP) -> DataFrame:
+    """(session_id, id, seed_ord, score) of pairs that score, each seeker's best ``n`` among them; seekers have session_id, interest_tokens, resume_tokens."""
+    wanted = _weights(seekers, "session_id", interest="interest_tokens", resume="resume_tokens").withColumnRenamed("seeker", "key")
+    return blocks.best(profiles, wanted, ["interest", "resume"], _match, ["summary", "name", "department"], n, LEAST_SCORE).withColumnRenamed("key", "session_id")
+
+
+def _or_first(best: DataFrame, keys: DataFrame, key: str, profiles: DataFrame, n: int) -> DataFrame:
+    """``best`` (key, id, score, rank) and, for ``keys`` that have no row there, the first ``n`` profiles with score 1."""
+    order = profiles.select("id", "seed_ord")
+    first = order.orderBy("seed_ord").limit(n).withColumn("rank", F.row_number().over(Window.orderBy("seed_ord")))
+    # The first n profiles, one row each, go to every task; which of both a key keeps is decided in one pass over its rows.
+    rest = keys.select(key).withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(max(n, 1))))).join(F.broadcast(first), "rank").select(key, "id", F.lit(1.0).alias("score"), "rank", F.lit(0).alias("found"))
+    every = best.select(key, "id", "score", "rank", F.lit(1).alias("found")).unionByName(rest)
+    return every.withColumn("_most", F.max("found").over(Window.partitionBy(key))).filter("found = _most").drop("found", "_most")
+
+
+def match_profiles(profiles: DataFrame, seekers: DataFrame, n: int = TOP, digits: int = 4) -> DataFrame:
     """The best ``n`` profiles of each seeker with score, fit and rank; seekers without a match get the first ``n`` profiles.
 
     ``profiles`` carry seed_ord, the order that breaks ties. Texts are joined back after ranking.
     """
     n = min(n, MOST)
-    order = profiles.select("id", "seed_ord")
-    scored = match_scores(profiles, seekers, plan).join(order, "id")
-    best = ranked(scored, "session_id", n, ["seed_ord"])
-    first = order.orderBy("seed_ord").limit(n).withColumn("rank", F.row_number().over(Window.orderBy("seed_ord")))
-    unmatched = seekers.select("session_id").join(scored.select("session_id").distinct(), "session_id", "left_anti")
-    rest = unmatched.withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(max(n, 1))))).join(F.broadcast(first), "rank").select("session_id", "id", F.lit(1.0).alias("score"), "rank")
-    every = best.select("session_id", "id", "score", "rank").unionByName(rest)
+    best = ranked(match_scores(profiles, seekers, n), "session_id", n, ["seed_ord"])
+    every = _or_first(best, seekers, "session_id", profiles, n)
     top = F.max("score").over(Window.partitionBy("session_id"))
     return every.withColumn("fit_label", fit_label(F.col("score"), top)).withColumn("score", F.round("score", digits))
 
@@ -129,26 +131,18 @@ def filter_profiles(profiles: DataFrame, department: str | None = None, has_rese
 def search_and_rank(profiles: DataFrame, query: str, department: str | None = None, has_research: bool = False) -> DataFrame:
     """Profiles that match a query, best first; an empty query keeps all in input order with score 1."""
     score = search_score(F.col("research_summary"), F.col("name"), F.col("title"), F.col("department"), tokenize(F.lit(query)))
-    return filter_profiles(profiles, department, has_research).withColumn("score", score).filter("score > 0").orderBy(F.col("score").desc(), "seed_ord")
+    # Exploded from an array of one, the score is made once; a plain column would be made again for the filter and the sort.
+    scored = filter_profiles(profiles, department, has_research).select("*", F.explode(F.array(score)).alias("score"))
+    return scored.filter("score > 0").orderBy(F.col("score").desc(), "seed_ord")
 
 
-def search_batch(profiles: DataFrame, queries: DataFrame, k: int = 24, plan: str = "index") -> DataFrame:
+def search_batch(profiles: DataFrame, queries: DataFrame, k: int = 24) -> DataFrame:
     """(query_id, id, score, rank): the best ``k`` profiles for each row of ``queries`` (query_id, query)."""
     asked = queries.select("query_id", tokenize(F.col("query")).alias("tokens"))
-    some, none = asked.filter(F.size("tokens") > 0), asked.filter(F.size("tokens") == 0)
-    if _plan(plan, asked, profiles) == "scan":
-        score = search_score(F.col("research_summary"), F.col("name"), F.col("title"), F.col("department"), F.col("tokens"))
-        scored = profiles.crossJoin(F.broadcast(some)).select("query_id", "id", score.alias("score")).filter("score > 0")
-    else:
-        wanted = _weights(some, "query_id", times="tokens")
-        counts = token_counts(postings(profiles), wanted.select("token").distinct())
-        part = F.col("summary") + F.col("name") + F.col("title") + F.col("department") + F.lit(5.0) * (F.col("name") > 0).cast("double") + F.lit(2.0) * (F.col("summary") > 0).cast("double")
-        scored = counts.select("token", "id", part.alias("p")).join(wanted, "token").groupBy(F.col("seeker").alias("query_id"), "id").agg(F.sum(F.col("times") * F.col("p")).alias("score"))
-    order = profiles.select("id", "seed_ord")
-    best = ranked(scored.join(order, "id"), "query_id", k, ["seed_ord"]).select("query_id", "id", "score", "rank")
-    first = order.orderBy("seed_ord").limit(k).withColumn("rank", F.row_number().over(Window.orderBy("seed_ord")))
-    rest = none.select("query_id").withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(max(k, 1))))).join(F.broadcast(first), "rank").select("query_id", "id", F.lit(1.0).alias("score"), "rank")
-    return best.unionByName(rest)
+    wanted = _weights(asked, "query_id", times="tokens").withColumnRenamed("seeker", "key")
+    found = blocks.best(profiles, wanted, ["times"], _search, list(blocks.FIELDS), k, 0.5).withColumnRenamed("key", "query_id")
+    none = asked.filter(F.size("tokens") == 0)
+    return _or_first(ranked(found, "query_id", k, ["seed_ord"]), none, "query_id", profiles, k)
 
 
 def paginate(df: DataFrame, page: int, order: list, size: int = 24) -> DataFrame:

@@ -27,12 +27,21 @@ def fixture(spark, seed=3):
     return rows, seekers, spark.createDataFrame(rows, PROFILE), spark.createDataFrame(seekers, "session_id string, i string, r string").select("session_id", tokenize(F.col("i")).alias("interest_tokens"), tokenize(F.col("r")).alias("resume_tokens"))
 
 
-@pytest.mark.parametrize("plan", ["scan", "index"])
-def test_scores_equal_a_loop(spark, plan):
+def test_scores_equal_a_loop(spark):
     rows, seekers, profiles, asked = fixture(spark)
-    got = {(r.session_id, r.id): r.score for r in matching.match_scores(profiles, asked, plan).collect()}
+    got = {(r.session_id, r.id): r.score for r in matching.match_scores(profiles, asked, len(rows)).collect()}
+    own = matching.match_score(F.col("research_summary"), F.col("name"), F.col("department"), F.col("interest_tokens"), F.col("resume_tokens"))
+    scanned = {(r.session_id, r.id): r.score for r in profiles.crossJoin(asked).select("session_id", "id", own.alias("score")).collect()}
     want = {(s, p[0]): score(p, tokens(i), tokens(r)) for s, i, r in seekers for p in rows}
-    assert got == pytest.approx({k: v for k, v in want.items() if v >= 0.1}, abs=1e-9)
+    assert got == pytest.approx({k: v for k, v in want.items() if v >= 0.1}, abs=1e-9) and scanned == pytest.approx(want, abs=1e-9)
+
+
+def test_blocks_of_queries_agree(spark, monkeypatch):
+    _, _, profiles, asked = fixture(spark)
+    whole = sorted(map(tuple, matching.match_profiles(profiles, asked, 5).collect()))
+    monkeypatch.setattr(matching.blocks, "KEYS", 2)
+    monkeypatch.setattr(matching.blocks, "CHUNK", 7)
+    assert sorted(map(tuple, matching.match_profiles(profiles.repartition(3), asked, 5).collect())) == whole
 
 
 @pytest.mark.parametrize("parts", [1, 7])
@@ -45,14 +54,14 @@ def test_match_order_and_fallback(spark, parts):
     assert {x.fit_label for x in got if x.session_id == "none"} == {"strong_fit"}
 
 
-def test_search_plans_agree_on_documents(spark):
+def test_batch_and_single_search_agree(spark):
     profiles = bindings.profiles(spark, f"{DATA}/sf0.001")
-    asked = spark.createDataFrame([("a", "Thing nation"), ("b", "en en doc"), ("c", "")], "query_id string, query string")
-    rows = [sorted(map(tuple, matching.search_batch(profiles, asked, 9, plan).collect())) for plan in ("scan", "index")]
-    assert rows[0] == rows[1]
-    one = [r.id for r in matching.search_and_rank(profiles, "Thing nation").limit(9).collect()]
-    assert [r[1] for r in sorted((r for r in rows[0] if r[0] == "a"), key=lambda r: r[3])] == one
-    assert [r[1] for r in sorted((r for r in rows[0] if r[0] == "c"), key=lambda r: r[3])] == [str(i) for i in range(9)]
+    asked = spark.createDataFrame([("a", "Thing nation"), ("b", "en en doc"), ("c", ""), ("d", "qqqq")], "query_id string, query string")
+    rows = matching.search_batch(profiles, asked, 9).collect()
+    of = lambda q: [(r.id, r.score) for r in sorted(rows, key=lambda r: r["rank"]) if r.query_id == q]
+    for q, text in (("a", "Thing nation"), ("b", "en en doc")):
+        assert of(q) == [(r.id, r.score) for r in matching.search_and_rank(profiles, text).limit(9).collect()]
+    assert of("c") == [(str(i), 1.0) for i in range(9)] and of("d") == []
 
 
 def test_pages_and_counts(spark):
