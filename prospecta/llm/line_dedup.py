@@ -8,8 +8,7 @@ bands of ``SHORT_ROWS``, since so few can't hold longer runs in common; the long
 sets always have a kind in common.
 
 Lines that share a band are candidates. In a band's bucket all lines are compared with its leader, then, round by round,
-with 16, 256, ... further leaders, those nearest to the first one first, until a bucket is one component or all its lines
-have led. Left out are only pairs that are in one component by then, and pairs that can't link: by their sets' sizes, or
+with 4, 16, ... further leaders, the most central ones first, until a bucket is one component or all its lines have led. Left out are only pairs that are in one component by then, and pairs that can't link: by their sets' sizes, or
 by the triangle inequality with the first leader. So every pair of candidates is decided. A comparison is exact: the
 Jaccard similarity of the sets. Union-find joins the links, and of each component the first line stays.
 
@@ -35,11 +34,11 @@ from pyspark.sql import functions as F
 from prospecta.llm.components import components, extended
 from prospecta.llm.shared import checked, written
 
-CHARS, BANDS, ROWS, PERCENT = 5, 14, 5, 80
+CHARS, BANDS, ROWS, PERCENT = 5, 14, 6, 80
 #: Sets of up to FEW hashes have bands of SHORT_ROWS; those of more than LONG_FROM have bands of ROWS.
 FEW, LONG_FROM, SHORT_ROWS = 24, 15, 2
 #: Leaders of a bucket in the second round; as many times more in each that follows.
-LEADERS = 16
+LEADERS = 4
 BLOCK = 256
 #: A table of keys or lines under this many bytes may be sent to every task.
 KEY_BYTES = 48 << 20
@@ -189,23 +188,27 @@ def texts_of(docs: DataFrame, wanted: DataFrame, shared: DataFrame, text_col: st
 def linked(docs: DataFrame, signed: DataFrame, shared: DataFrame, text_col: str = "text", chars: int = CHARS, percent: int = PERCENT) -> DataFrame:
     """(node, component) of distinct lines that link with others."""
     keyed = signed.select("h", "size", F.explode("keys").alias("key"))
-    lead = keyed.groupBy("key").agg(F.min("h").alias("leader"), F.max("h").alias("last")).filter("leader <> last").select("key", "leader")
-    rows = written(keyed.join(checked(written(lead, "line-buckets"), KEY_BYTES), "key").distinct(), "line-members")
-    bucketed = rows.filter("h <> leader").select(F.col("key").alias("bucket"), F.col("h").alias("line_id"), "size", "leader")
-    leaders = rows.filter("h = leader").select("leader", F.col("size").alias("_size")).distinct()
+    shared_keys = keyed.groupBy("key").agg(F.min("h").alias("least"), F.max("h").alias("most")).filter("least <> most").select("key")
+    members = written(keyed.join(checked(written(shared_keys, "line-buckets"), KEY_BYTES), "key").distinct(), "line-members")
+    # The leader of a bucket is its most central line, that which shares its bands with most others; so an original
+    # leads its copies wherever it can, and what they changed doesn't stand between it and them.
+    shares = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    weights = members.join(shares, "key").groupBy("h").agg(F.sum("n").alias("weight"))
+    rows = written(members.join(weights, "h"), "line-weighted")
+    leaders = rows.groupBy("key").agg(F.max(F.struct("weight", "h", "size")).alias("lead")).select("key", F.col("lead.h").alias("leader"), F.col("lead.size").alias("_size"))
     fits = F.expr(f"100 * least(size, _size) >= {percent} * greatest(size, _size)")
-    pairs = written(bucketed.select("leader", "line_id", "size").distinct().join(leaders, "leader").filter(fits).select(F.col("leader").alias("a"), F.col("line_id").alias("b")), "line-pairs")
-    wanted = written(rows.select("h").distinct(), "line-wanted")
-    texts = texts_of(docs, wanted, shared, text_col)
+    bucketed = written(rows.join(leaders, "key").filter("h <> leader").select(F.col("key").alias("bucket"), F.col("h").alias("line_id"), "size", "weight", "leader", "_size"), "line-bucketed")
+    pairs = written(bucketed.filter(fits).select(F.col("leader").alias("a"), F.col("line_id").alias("b")).distinct(), "line-pairs")
+    texts = texts_of(docs, written(rows.select("h").distinct(), "line-wanted"), shared, text_col)
     first = _compare(pairs, texts, chars, percent)
     joined = components(first.filter("linked"))
     # A leader is done with its bucket. All others go on, with how far they are from it, if it was compared.
-    left = bucketed.join(first.select(F.col("a").alias("leader"), F.col("b").alias("line_id"), "apart"), ["leader", "line_id"], "left").select("bucket", "line_id", "apart", "size")
+    left = bucketed.join(first.select(F.col("a").alias("leader"), F.col("b").alias("line_id"), "apart"), ["leader", "line_id"], "left").select("bucket", "line_id", "apart", "size", "weight")
     far, most = 1 - percent / 100 + 1e-9, LEADERS
     while True:
         placed = written(left.join(joined.withColumnRenamed("node", "line_id"), "line_id", "left").withColumn("component", F.coalesce("component", "line_id")), "line-placed")
         open_ = placed.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("bucket")
-        rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.col("apart").asc_nulls_last(), "line_id"))
+        rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.col("weight").desc(), "line_id"))
         left = written(placed.join(open_, "bucket", "left_semi").withColumn("rank", rank), "line-left")
         if left.isEmpty():
             return joined
@@ -214,7 +217,7 @@ def linked(docs: DataFrame, signed: DataFrame, shared: DataFrame, text_col: str
         across = heads.join(left, "bucket").filter((F.col("_rank") < F.col("rank")) & (F.col("_component") != F.col("component")) & near & fits)
         pairs = written(across.select(F.least("line_id", "_line_id").alias("a"), F.greatest("line_id", "_line_id").alias("b")).distinct(), "line-pairs")
         joined = extended(joined, _compare(pairs, texts, chars, percent).filter("linked"))
-        left = left.filter(F.col("rank") > most).select("bucket", "line_id", "apart", "size")
+        left = left.filter(F.col("rank") > most).select("bucket", "line_id", "apart", "size", "weight")
         most *= LEADERS
 
 
