@@ -6,7 +6,7 @@ pair of languages; every machine is a group of one Spark job. A text's family is
 family machines (margins break ties), its language the one that wins most machines of that family.
 
 Training reads ``PER_LANGUAGE`` rows of each language at most, in expectation: rows are drawn by a hash of their
-id at the rate PER_LANGUAGE / rows of that language. Prediction sees the text alone.
+id (of their text, where that is null) at the rate PER_LANGUAGE / rows of that language. Prediction sees the text alone.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; without training rows every text
 is ``und``; with one language all texts get it. Extra columns are ignored. Repeated rows get equal rows.
@@ -117,7 +117,8 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     if not held:
         return Model([], [])
     rate = F.coalesce(*[F.when(F.col("_lang") == k, F.lit(min(1.0, per_language / n))) for k, n in held.items()])
-    sample = rows.filter(uniform("lang-1", F.col("_id")) < rate)
+    # Rows without an id draw by their text, so that they are bounded too.
+    sample = rows.filter(uniform("lang-1", F.coalesce(F.col("_id").cast("string"), F.md5("_text"))) < rate)
     families = sorted({family_of(k) for k in held})
     machines = [("family", a, b) for i, a in enumerate(families) for b in families[i + 1 :]]
     for f in families:

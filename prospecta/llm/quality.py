@@ -9,7 +9,8 @@ Learning reads ``PER_LABEL`` labelled rows of each label at most, in expectation
 half of them build dictionaries, half calibrate. Prediction sees the text alone, all of it.
 
 Defined results: a null text counts as empty; an empty text gets the calibrated score of a zero difference; with
-labels of one kind only, or none, all scores are 0.5. Repeated labels of one id are all used. Equal texts get
+labels of one kind only, or none, all scores are 0.5. Labels repeated for one id count once; ids
+may be of any type, and rows that share one share its labels. Equal texts get
 equal scores.
 """
 
@@ -21,9 +22,11 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prospecta.llm.shared import uniform
+from prospecta.llm.shared import checked, uniform, written
 
-PIECE, PER_LABEL, DICT_BYTES, LEVEL = 2048, 3000, 65_536, 3
+PIECE, PER_LABEL, DICT_BYTES, LEAST_DICT_BYTES, LEVEL = 2048, 3000, 65_536, 256, 3
+#: What training takes together, and the shortest repeat it looks for, in bytes.
+SEGMENT, MATCH = 64, 6
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -36,13 +39,17 @@ def pieces(text: str | None) -> list[bytes]:
 
 
 def build_dictionary(texts: list[str]) -> bytes:
-    """A trained dictionary, or, where training finds too little to fill half of one, the texts' own last bytes."""
-    samples = [p for t in texts for p in pieces(t)]
-    try:
-        trained = zstandard.train_dictionary(DICT_BYTES, samples, level=LEVEL).as_bytes()
-    except zstandard.ZstdError:
-        trained = b""
-    return trained if len(trained) * 2 >= DICT_BYTES else b"".join(samples)[-DICT_BYTES:]
+    """A dictionary trained on all pieces of ``texts``; where they are too few for its size, one of half that size, and so on.
+
+    Texts of a few hundred bytes in all, which nothing can be trained on, are a dictionary as they are.
+    """
+    samples, size = [p for t in texts for p in pieces(t)], DICT_BYTES
+    while size >= LEAST_DICT_BYTES:
+        try:
+            return zstandard.train_dictionary(size, samples, k=SEGMENT, d=MATCH, level=LEVEL).as_bytes()
+        except zstandard.ZstdError:
+            size //= 2
+    return b"".join(samples)[-DICT_BYTES:]
 
 
 class Scorer:
@@ -87,18 +94,18 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 40, ridge: float = 1e-2)
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_label: int = PER_LABEL) -> Scorer:
     """Learns from the labelled rows that aren't held out."""
-    usable = labels.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{label_col}`").alias("_label")).filter(F.col("_label").isin(0, 1) & F.col("_id").isNotNull() & ~held_out("_id"))
+    usable = labels.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{label_col}`").alias("_label")).filter(F.col("_label").isin(0, 1) & F.col("_id").isNotNull() & ~held_out("_id")).distinct()
     held = {r["_label"]: r["count"] for r in usable.groupBy("_label").count().collect()}
     if len(held) < 2:
         return Scorer(b"", b"")
     rate = F.coalesce(*[F.when(F.col("_label") == k, F.lit(min(1.0, per_label / n))) for k, n in held.items()])
     drawn = uniform("quality-1", F.col("_id"))
-    # Bounded by 2 * per_label in expectation, so it may be sent to all tasks, and no text moves but those it names.
-    chosen = usable.filter(drawn < rate).select("_id", "_label", (uniform("quality-2", F.col("_id")) < 0.5).alias("_build"))
-    texts = docs.select(F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text")).join(F.broadcast(chosen), "_id").select("_id", "_label", "_build", "_text").persist()
+    # 2 * per_label rows in expectation; sent to all tasks after a check of its size, so that no text moves but those it names.
+    chosen = checked(written(usable.filter(drawn < rate).select("_id", "_label", (uniform("quality-2", F.col("_id")) < 0.5).alias("_build")), "quality-labels"))
+    texts = docs.select(F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text")).join(chosen, "_id").select("_id", "_label", "_build", "_text").persist()
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_id", "_text"])
+        pdf = pdf.sort_values("_text")
         return pd.DataFrame([(int(pdf["_label"].iloc[0]), build_dictionary(list(pdf["_text"])))], columns=["_label", "dict"])
 
     built = {r["_label"]: r["dict"] for r in texts.filter("_build").groupBy("_label").applyInPandas(build, "_label int, dict binary").collect()}
@@ -109,9 +116,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def measure(batches):
         for pdf in batches:
             found = [plain.measures(t) for t in pdf["_text"]]
-            yield pd.DataFrame({"id": pdf["_id"], "y": pdf["_label"].astype("int32"), "d": [f[0] for f in found], "r": [f[1] for f in found]})
+            yield pd.DataFrame({"y": pdf["_label"].astype("int32"), "d": [f[0] for f in found], "r": [f[1] for f in found]})
 
-    rows = texts.filter("not _build").mapInPandas(measure, "id long, y int, d double, r double").toPandas().sort_values(["id", "d", "r", "y"])
+    rows = texts.filter("not _build").mapInPandas(measure, "y int, d double, r double").toPandas().sort_values(["d", "r", "y"])
     texts.unpersist()
     if rows["y"].nunique() < 2:
         return plain

@@ -1,8 +1,8 @@
 """Tables in the folder that the driver and every executor share.
 
 Intermediate results that more than one job reads are written here as Parquet: the write cuts lineage and
-outlives any executor. The folder is ``spark.checkpoint.dir``; where that is unset (tests, local use) a
-temporary folder is made once per session and used instead.
+outlives any executor. The folder is ``spark.checkpoint.dir``; where that is unset, it is one in the warehouse, which
+a cluster shares too, and for a session on one machine (tests, local use) a temporary folder made once per session.
 """
 
 from __future__ import annotations
@@ -19,10 +19,11 @@ WORD = rf"[^{SPACE}]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; a local temporary one only if the session names none."""
+    """The folder that the driver and all executors share."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="prospecta-")
+        alone = spark.sparkContext.master.startswith("local")
+        found = "file://" + tempfile.mkdtemp(prefix="prospecta-") if alone else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/prospecta-" + uuid.uuid4().hex
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 

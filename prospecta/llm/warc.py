@@ -11,8 +11,8 @@ revisits, which carry no payload. Only digests are grouped to find revisits; pay
 table of repeated digests is too large to be broadcast (checked).
 
 Defined results: a null payload is empty; a null URL is left out, and control characters, spaces and ``%`` in URLs are
-percent-encoded; equal rows become equal records (all responses if theirs is the smallest id); records with a null id
-never are referred to; an empty table gives no records and an empty result. Extra columns are ignored.
+percent-encoded; equal rows become records of their own (all responses if theirs is the smallest id), each with a
+record id that its archive and place decide; records with a null id have no page number and never are referred to; an empty table gives no records and an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,20 +37,23 @@ _READ = "page_id long, url string, record_type string, payload string, payload_b
 _INDEX = "file string, offset long, length long, page_id long, url string, digest string, record_type string"
 
 
-def _urn(page_id: int) -> str:
-    return f"<urn:page:{page_id}>"
+def _quoted(url: str | None) -> str | None:
+    return None if url is None else re.sub(r"[\x00-\x20\x7f%]", lambda m: f"%{ord(m[0]):02X}", url)
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str = DATE) -> bytes:
-    """A whole record, not compressed."""
+def record(name: uuid.UUID, page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, refers_url: str | None = None, date: str = DATE) -> bytes:
+    """A whole record, not compressed. Its own fields tell the page's number and, of a revisit, that of the response."""
     fields = {
         "WARC-Type": "response" if refers_to is None else "revisit",
         "WARC-Date": date,
-        "WARC-Record-ID": None if page_id is None else _urn(page_id),
-        "WARC-Target-URI": None if url is None else re.sub(r"[\x00-\x20\x7f%]", lambda m: f"%{ord(m[0]):02X}", url),
+        "WARC-Record-ID": f"<urn:uuid:{name}>",
+        "WARC-Target-URI": _quoted(url),
         "WARC-Payload-Digest": f"sha256:{digest}",
         "WARC-Profile": None if refers_to is None else _PROFILE,
-        "WARC-Refers-To": None if refers_to is None else _urn(refers_to),
+        "WARC-Refers-To-Target-URI": None if refers_to is None else _quoted(refers_url),
+        "WARC-Refers-To-Date": None if refers_to is None else date,
+        "Page-ID": None if page_id is None else str(page_id),
+        "Refers-To-Page-ID": None if refers_to is None else str(refers_to),
         "Content-Type": "text/html",
         "Content-Length": str(len(payload) if refers_to is None else 0),
     }
@@ -73,14 +76,15 @@ def _writer(folder: str, archive_bytes: int, date: str):
         try:
             for pdf in batches:
                 rows = []
-                for page_id, url, payload, digest, refers_to in zip(pdf["page_id"], pdf["url"], pdf["payload"], pdf["digest"], pdf["refers_to"], strict=True):
+                for page_id, url, payload, digest, refers_to, refers_url in zip(*(pdf[c] for c in ("page_id", "url", "payload", "digest", "refers_to", "refers_url")), strict=True):
                     if out is None or at >= archive_bytes:
                         if out is not None:
                             out.close()
                         name, at, count = f"part-{part:05d}-{count:03d}-{uuid.uuid4().hex}.warc.gz", 0, count + 1
                         out = store.open_output_stream(f"{path}/{name}", compression=None)
                     page_id, refers_to = _number(page_id), _number(refers_to)
-                    member = gzip.compress(record(page_id, url, payload.encode(), digest, refers_to, date), 6, mtime=0)
+                    whole = record(uuid.uuid5(uuid.NAMESPACE_URL, f"{name}#{at}"), page_id, url, payload.encode(), digest, refers_to, refers_url, date)
+                    member = gzip.compress(whole, 6, mtime=0)
                     out.write(member)
                     rows.append((f"{folder}/{name}", at, len(member), page_id, url, digest, "response" if refers_to is None else "revisit"))
                     at += len(member)
@@ -96,11 +100,11 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     """Writes a record per row; returns the index, a written table: file, offset, length, page_id, url, digest, record_type."""
     payload = F.coalesce(F.col(f"`{payload_col}`"), F.lit(""))
     base = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").alias("url"), payload.alias("payload")).withColumns({"digest": F.sha2("payload", 256), "bytes": F.octet_length("payload").cast("long")})
-    firsts = base.filter(F.col("bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1 and refers_to is not null").drop("n")
+    firsts = base.filter(F.col("bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.min_by("url", "page_id").alias("refers_url"), F.count(F.lit(1)).alias("n")).filter("n > 1 and refers_to is not null").drop("n")
     firsts = checked(written(firsts, "warc-firsts"))
     marked = base.join(firsts, "digest", "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("refers_to")), F.col("refers_to")))
     folder = new_path(pages.sparkSession, "warc")
-    return written(marked.select("page_id", "url", "payload", "digest", "refers_to").mapInPandas(_writer(folder, archive_bytes, date), _INDEX), "warc-index")
+    return written(marked.select("page_id", "url", "payload", "digest", "refers_to", "refers_url").mapInPandas(_writer(folder, archive_bytes, date), _INDEX), "warc-index")
 
 
 def _record(raw: bytes) -> dict:
@@ -110,8 +114,8 @@ def _record(raw: bytes) -> dict:
     return named
 
 
-def _page(urn: str | None) -> int | None:
-    return int(urn.removeprefix("<urn:page:").removesuffix(">")) if urn else None
+def _page(number: str | None) -> int | None:
+    return int(number) if number else None
 
 
 def _fetch(batches):
@@ -129,7 +133,7 @@ def _fetch(batches):
                 if not revisit and hashlib.sha256(x["payload"]).hexdigest() != digest:
                     raise ValueError(f"{file}: the record at {r['offset']} doesn't have its digest")
                 url = x.get("WARC-Target-URI")
-                out.append((_page(x.get("WARC-Record-ID")), None if url is None else unquote(url), x["WARC-Type"], None if revisit else x["payload"].decode(), None if revisit else len(x["payload"]), digest, _page(x.get("WARC-Refers-To"))))
+                out.append((_page(x.get("Page-ID")), None if url is None else unquote(url), x["WARC-Type"], None if revisit else x["payload"].decode(), None if revisit else len(x["payload"]), digest, _page(x.get("Refers-To-Page-ID"))))
             # A range at a time: no more than that is held.
             frame = pd.DataFrame(out, columns=["page_id", "url", "record_type", "payload", "payload_bytes", "payload_digest", "refers_to"])
             yield frame.astype({"page_id": "Int64", "payload_bytes": "Int64", "refers_to": "Int64"})
@@ -157,6 +161,7 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     held = read.filter("record_type = 'response'").select(F.col("page_id").alias("_page"), F.col("payload_digest").alias("_digest"), F.col("payload_bytes").alias("_bytes"))
     # A revisit takes its size from the response that it names, checked by digest.
     named = held.join(read.filter("record_type = 'revisit'").select(F.col("refers_to").alias("_page"), F.col("payload_digest").alias("_digest")).distinct(), ["_page", "_digest"], "left_semi").distinct()
+    named = checked(written(named, "warc-named"))
     return read.join(named, (F.col("refers_to") == F.col("_page")) & (F.col("payload_digest") == F.col("_digest")), "left").select(
         F.col("page_id").alias(id_col), F.coalesce("payload_bytes", "_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to", "url"
     )
