@@ -84,10 +84,12 @@ def token_hits(spark, d):
     return bindings.profiles(spark, d).select("id", text.token_hits(tokens, F.col("research_summary")).alias("hits"))
 
 
-@query("WITH w AS (SELECT doc_id, coalesce(regexp_extract(text, '[a-z]+ [a-z]+-?[a-z]* [a-z]+ [a-z]+'), '') AS x FROM documents) SELECT doc_id, x AS phrase, array_to_string(list_transform(regexp_extract_all(x, '(\\w+|\\W+)', 1), lambda w, i: CASE WHEN i > 1 AND w IN (" + ", ".join(f"'{w}'" for w in lists.SMALL_WORDS) + ") THEN w ELSE upper(substring(w, 1, 1)) || substring(w, 2) END), '') AS titled FROM w")
+_SMALL = ", ".join(f"'{w}'" for w in lists.SMALL_WORDS)
+
+
+@query(f"SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '(\\w+|\\W+)', 1), lambda w, i: CASE WHEN i > 1 AND w IN ({_SMALL}) THEN w WHEN starts_with(w, 'ß') THEN 'SS' || substring(w, 2) ELSE upper(substring(w, 1, 1)) || substring(w, 2) END), '') AS titled FROM documents")
 def title_case(spark, d):
-    phrase = F.coalesce(F.regexp_extract("text", "[a-z]+ [a-z]+-?[a-z]* [a-z]+ [a-z]+", 0), F.lit(""))
-    return bindings.read(spark, d, "documents").select("doc_id", phrase.alias("phrase"), text.title_case(phrase).alias("titled"))
+    return bindings.read(spark, d, "documents").select("doc_id", text.title_case(F.col("text")).alias("titled"))
 
 
 @query(f"WITH {PROFILES} SELECT id, substring(research_summary, 1, 300) AS card, length(research_summary) > 300 AS card_cut, substring(research_summary, 1, 200) AS short, length(research_summary) > 200 AS short_cut FROM p")
@@ -96,9 +98,9 @@ def snippet(spark, d):
     return bindings.profiles(spark, d).select("id", card["text"].alias("card"), card["cut"].alias("card_cut"), short["text"].alias("short"), short["cut"].alias("short_cut"))
 
 
-@query("WITH w AS (SELECT doc_id, substring(text, 1, 300) AS x FROM documents), g AS (SELECT doc_id, regexp_split_to_array(x, '(?i)(the|ti)') AS plain, regexp_extract_all(x, '(?i)(the|ti)', 1) AS hit FROM w) SELECT doc_id, array_to_string(list_transform(plain, lambda t, i: t || CASE WHEN i <= len(hit) THEN '<' || hit[i] || '>' ELSE '' END), '') AS marked FROM g")
+@query("WITH w AS (SELECT doc_id, text AS x FROM documents), g AS (SELECT doc_id, regexp_split_to_array(x, '(?i)(the|ti)') AS plain, regexp_extract_all(x, '(?i)(the|ti)', 1) AS hit FROM w) SELECT doc_id, array_to_string(list_transform(plain, lambda t, i: t || CASE WHEN i <= len(hit) THEN '<' || hit[i] || '>' ELSE '' END), '') AS marked FROM g")
 def highlight(spark, d):
-    segments = text.highlight(F.substring("text", 1, 300), F.array(F.lit("the"), F.lit("ti")))
+    segments = text.highlight(F.col("text"), F.array(F.lit("the"), F.lit("ti")))
     marked = F.transform(segments, lambda s: F.when(s["highlight"], F.concat(F.lit("<"), s["text"], F.lit(">"))).otherwise(s["text"]))
     return bindings.read(spark, d, "documents").select("doc_id", F.array_join(marked, "").alias("marked"))
 
@@ -126,9 +128,11 @@ def stable_choice(spark, d):
     return bindings.read(spark, d, "documents").select("doc_id", *[text.stable_choice(list(x), seed).alias(n) for x, n in (("ab", "of_two"), ("abc", "of_three"), ("abcde", "of_five"))])
 
 
-@query(f"WITH t AS (SELECT doc_id, list_slice({tok('text')}, 1, (doc_id % 5)::INT) AS xs FROM documents) SELECT doc_id, CASE len(xs) WHEN 0 THEN '' WHEN 1 THEN xs[1] WHEN 2 THEN xs[1] || ' and ' || xs[2] ELSE array_to_string(xs[1:-2], ', ') || ', and ' || xs[-1] END AS joined FROM t")
+@query(f"WITH t AS (SELECT doc_id, CASE WHEN doc_id % 5 < 4 THEN list_slice({tok('text')}, 1, (doc_id % 5)::INT) ELSE {tok('text')} END AS xs FROM documents) SELECT doc_id, CASE len(xs) WHEN 0 THEN '' WHEN 1 THEN xs[1] WHEN 2 THEN xs[1] || ' and ' || xs[2] ELSE array_to_string(xs[1:-2], ', ') || ', and ' || xs[-1] END AS joined FROM t")
 def join_list(spark, d):
-    items = F.slice(text.tokenize(F.col("text")), F.lit(1), (F.col("doc_id") % 5).cast("int"))
+    """All words of a text, or none to three of them."""
+    n = (F.col("doc_id") % 5).cast("int")
+    items = F.when(n < 4, F.slice(text.tokenize(F.col("text")), F.lit(1), n)).otherwise(text.tokenize(F.col("text")))
     return bindings.read(spark, d, "documents").select("doc_id", text.join_list(items).alias("joined"))
 
 
@@ -241,9 +245,17 @@ def match_topn(spark, d):
     return matching.match_profiles(bindings.profiles(spark, d), _seekers(spark, d)).select("session_id", "id", "rank", "score", "fit_label")
 
 
+@query(f"""WITH {PROFILES}, {SESSIONS} SELECT session_id, id, row_number() OVER (PARTITION BY session_id ORDER BY seed_ord)::INT AS rank, 1.0::DOUBLE AS score, 'strong_fit' AS fit_label FROM s CROSS JOIN p QUALIFY rank <= 7""")
+def match_without_words(spark, d):
+    """Seekers whose words no profile has get the first profiles."""
+    asked = F.array(F.lit("zzqqzz"))
+    seekers = bindings.sessions(spark, d).select("session_id", asked.alias("interest_tokens"), asked.alias("resume_tokens"))
+    return matching.match_profiles(bindings.profiles(spark, d), seekers, 7).select("session_id", "id", "rank", "score", "fit_label")
+
+
 def _matches(spark, d):
     profiles, seekers = bindings.profiles(spark, d), _seekers(spark, d)
-    return matching.match_profiles(profiles, seekers).join(profiles, "id").join(F.broadcast(seekers), "session_id")
+    return matching.match_profiles(profiles, seekers).join(profiles, "id").join(seekers, "session_id")
 
 
 _JOINED = f"WITH {_MATCHED}, j AS (SELECT z.*, p.name, p.title, p.department, p.research_summary, s.interests, s.raw_text, {themes_sql('raw_text')} AS themes, {present(lists.SKILLS['py'], 'raw_text')} AS skills FROM z JOIN p USING (id) JOIN s USING (session_id))"
@@ -326,14 +338,14 @@ def result_counts(spark, d):
     return matching.result_counts(matching.search_and_rank(bindings.profiles(spark, d), "Thing nation, en doc!"))
 
 
-@query(f"""WITH {PROFILES}, b AS (SELECT item_id::VARCHAR AS query_id, substring(text, 1, 60) AS query FROM benchmark),
+@query(f"""WITH {PROFILES}, b AS (SELECT item_id::VARCHAR AS query_id, text AS query FROM benchmark),
 q AS (SELECT query_id, t, count(*) AS m FROM (SELECT query_id, unnest({tok('query')}) AS t FROM b) GROUP BY ALL), ts AS (SELECT DISTINCT t FROM q),
 w AS (SELECT id, lower(name) AS nm, lower(research_summary) AS su, {_EVERY} AS every FROM p),
 h AS (SELECT t, id, {occ('every', 't')} + CASE WHEN contains(nm, t) THEN 5::DOUBLE ELSE 0::DOUBLE END + CASE WHEN contains(su, t) THEN 2::DOUBLE ELSE 0::DOUBLE END AS x FROM ts JOIN w ON contains(every, t)),
 f AS (SELECT query_id, id, sum(m * x)::DOUBLE AS score FROM q JOIN h USING (t) GROUP BY ALL),
 k AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seed_ord)::INT AS rank FROM f JOIN p USING (id)) SELECT * FROM k WHERE rank <= 24""")
 def search_batch(spark, d):
-    asked = bindings.read(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.substring("text", 1, 60).alias("query"))
+    asked = bindings.read(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("query"))
     return matching.search_batch(bindings.profiles(spark, d), asked)
 
 
@@ -493,7 +505,45 @@ def new_interests(spark, d):
     return _topics(spark, d).select("id", F.array_join(enrichment.new_interests(given, F.col("ts")), "|").alias("interests"))
 
 
-@query()
+def _listed(xs: str) -> str:
+    return f"CASE len({xs}) WHEN 0 THEN '' WHEN 1 THEN {xs}[1] WHEN 2 THEN {xs}[1] || ' and ' || {xs}[2] ELSE array_to_string({xs}[1:-2], ', ') || ', and ' || {xs}[-1] END"
+
+
+def _picked(suffix: str, *options: str) -> str:
+    n, seed = len(options), f"md5(coalesce(name, '') || coalesce(department, '') || '{suffix}')"
+    at = f"((('0x' || substr({seed}, 1, 16))::UBIGINT::HUGEINT % {n}) * {2**64 % n} + ('0x' || substr({seed}, 17, 16))::UBIGINT::HUGEINT % {n}) % {n}"
+    return "CASE (" + at + ")::INT " + " ".join(f"WHEN {i} THEN {o}" for i, o in enumerate(options)) + " END"
+
+
+def _review_sql() -> str:
+    capital = "CASE WHEN starts_with(lo[1], 'ß') THEN 'SS' ELSE upper(substring(lo[1], 1, 1)) END || substring(lo[1], 2)"
+    dotted = lambda x: f"CASE WHEN ends_with({x}, '.') THEN {x} ELSE {x} || '.' END"
+    opening = _picked(
+        "open", "'Dr. ' || last || ' of ' || dept || ' has expertise in ' || three || '.'", "'In ' || dept || ', Dr. ' || last || ' centres research on ' || three || '.'", "'Dr. ' || last || ' leads work in ' || dept || ' on ' || three || '.'",
+        "'At ' || dept || ', Dr. ' || last || ' studies ' || three || '.'", "'Dr. ' || last || ', of the ' || dept || ' department, specialises in ' || three || '.'",
+    )
+    middle = _picked("mid", *[f"'{x}' || four || '.'" for x in ("The work also covers ", "Further interests are ", "Contributions extend to ", "Another focus is on ")])
+    extra = _picked("extra", *[f"'{x}' || eight || '.'" for x in ("Other activity includes ", "A wider portfolio reaches ")])
+    long_open = _picked("longopen", f"'Dr. ' || last || ' is a researcher in ' || dept || '. ' || {capital}", f"'In ' || dept || ', the research of Dr. ' || last || ' is as follows: ' || {capital}")
+    short_open = _picked("shortopen", "'The research of Dr. ' || last || ' in ' || dept || ' is on ' || s3 || '.'", "'In ' || dept || ', Dr. ' || last || ' works in the areas of ' || s3 || '.'")
+    close = _picked(
+        "close", "'Students with these interests may find the lab of Dr. ' || last || ' a good fit.'", "'This breadth makes the group of Dr. ' || last || ' open to students of several fields.'",
+        "'Recent publications of Dr. ' || last || ' tell more.'", "'The group of Dr. ' || last || ' works where several areas of ' || dept || ' meet.'",
+    )
+    specific = "list_filter(ts, lambda t: NOT list_bool_or(list_transform(ts, lambda o: lower(o) <> lower(t) AND contains(lower(o), lower(t)))))"
+    dept = label_sql("department", "review", "upper(substring(coalesce(department, ''), 1, 1)) || substring(coalesce(department, ''), 2)")
+    return f"""WITH {_CLEAN}, k AS (SELECT *, len(ts) >= 2 AND list_sum(list_transform(ts, lambda t: length(t))) < len(ts) * 50 AS key FROM c2),
+m AS (SELECT id, name, department, len(ts) AS n, coalesce(key, FALSE) AS key, CASE WHEN key THEN {specific} ELSE ts END AS ms, list_extract(string_split(name, ' '), -1) AS last, {dept} AS dept FROM k),
+l AS (SELECT *, list_transform(ms, lambda t: lower(t)) AS low, list_filter(ms, lambda t: length(t) > 80) AS lo, list_transform(list_filter(ms, lambda t: length(t) <= 80), lambda t: lower(t)) AS sh FROM m),
+j AS (SELECT *, {_listed('low[1:3]')} AS three, {_listed('low[4:7]')} AS four, {_listed('low[8:10]')} AS eight, {_listed('sh[1:3]')} AS s3, {_listed('sh[4:6]')} AS s4 FROM l),
+o AS (SELECT *, {long_open} AS lopen FROM j),
+x AS (SELECT *, list_filter([CASE WHEN key THEN {opening} WHEN len(lo) > 0 THEN {dotted('lopen')} ELSE {short_open} END,
+ CASE WHEN key AND len(ms) > 3 THEN {middle} WHEN NOT key AND len(lo) > 1 THEN {dotted('lo[2]')} WHEN NOT key AND len(lo) = 0 AND len(sh) > 3 THEN 'Work on ' || s4 || ' goes on too.' END,
+ CASE WHEN key AND len(ms) > 7 THEN {extra} END], lambda q: q IS NOT NULL) AS made FROM o)
+SELECT id, CASE WHEN n = 0 THEN '' ELSE array_to_string(made, ' ') || CASE WHEN len(made) >= 2 THEN ' ' || {close} ELSE '' END END AS review FROM x"""
+
+
+@query(_review_sql())
 def generate_review(spark, d):
     return enrichment.generate_review(_piped(spark, d)).select("id", "review")
 
@@ -514,9 +564,9 @@ def review_prompt(spark, d):
     return bindings.profiles(spark, d).select("id", enrichment.review_prompt(*own).alias("plain"), enrichment.review_prompt(*own, F.array(F.lit("a"), F.lit("b"))).alias("strict"))
 
 
-@query(f"SELECT doc_id, CASE WHEN length({strip('substring(text, 1, 52)')}) >= 50 THEN {strip('substring(text, 1, 52)')} END AS accepted FROM documents")
+@query(f"SELECT doc_id, CASE WHEN length({strip('text')}) >= 50 THEN {strip('text')} END AS accepted FROM documents")
 def accept_reply(spark, d):
-    return bindings.read(spark, d, "documents").select("doc_id", enrichment.accept_reply(F.substring("text", 1, 52)).alias("accepted"))
+    return bindings.read(spark, d, "documents").select("doc_id", enrichment.accept_reply(F.col("text")).alias("accepted"))
 
 
 # Drafts
