@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,14 +27,25 @@ def needs_review(summary: Column, review: Column, rule: str = "local") -> Column
     return {"missing": absent & long_enough, "local": (absent & long_enough) | (~absent & poor), "strict": long_enough & (absent | poor)}[rule]
 
 
+#: Every filler and menu topic holds one of these words.
+_HINTS = ("research", "faculty", "seminar", "close the", "joint", "chemistry", "center", "people", "menu", "directory")
+
+
 def clean_topics(summary: Column) -> Column:
-    """A summary's topics: filler and menu text removed, each once, in its first spelling."""
+    """A summary's topics: filler and menu text removed, each once, in its first spelling.
+
+    Most texts hold no word of a filler; one pass tells, and they skip the passes that would remove them.
+    """
     text = or_empty(summary)
+    # What ignoring case takes for s and k, too.
+    lowered = F.lower(F.translate(text, "\u017f\u212a", "sk"))
+    hinted = F.get(F.transform(F.array(lowered), lambda t: reduce(Column.__or__, [F.contains(t, F.lit(h)) for h in _HINTS])), F.lit(0))
+    removed = text
     for pattern in FILLER:
-        text = F.regexp_replace(text, f"(?iU){pattern}", "")
-    parts = F.transform(F.split(text, r"(?U)\s*\|\s*|\n"), lambda p: F.regexp_replace(strip(p), r"\.+\z", ""))
-    kept = F.filter(parts, lambda p: (F.length(p) >= 3) & (F.length(p) <= 300) & ~p.rlike(f"(?iU){HEADING_TOPIC}") & ~p.rlike(f"(?iU){MENU_TOPIC}"))
-    return first_spellings(kept)
+        removed = F.regexp_replace(removed, f"(?iU){pattern}", "")
+    parts = lambda x: F.transform(F.split(x, r"(?U)\s*\|\s*|\n"), lambda p: F.regexp_replace(strip(p), r"\.+\z", ""))
+    usable = lambda p: (F.length(p) >= 3) & (F.length(p) <= 300) & ~p.rlike(f"(?iU){HEADING_TOPIC}")
+    return first_spellings(F.when(hinted, F.filter(parts(removed), lambda p: usable(p) & ~p.rlike(f"(?iU){MENU_TOPIC}"))).otherwise(F.filter(parts(text), usable)))
 
 
 def _with_lowered(items: Column, pick) -> Column:
