@@ -65,12 +65,13 @@ def canonical_words(text: Column, name: str = _NAME_INSIDE) -> Column:
     return F.regexp_extract_all(F.lower(measured), F.lit(rf"[\p{{L}}\p{{M}}]+|[{NUMBER}-{UNIT}]"), F.lit(0))
 
 
-def windows(words: Column, window: int = WINDOW) -> Column:
-    """A hash for each window, in order; shorter texts have one window of all their words."""
+def windows(words: Column, *lengths: int) -> Column:
+    """An array of (len, hashes): for each of ``lengths`` the hash of every window, in order; shorter texts have one window of all their words."""
     # An array named by a lambda's variable is made once; named outside, it would be made again for each window.
-    cut = lambda h: F.transform(F.sequence(F.lit(1), F.greatest(F.size(h) - window, F.lit(0)) + 1), lambda i: F.xxhash64(F.slice(h, i, window)))
-    hashed = F.transform(words, lambda w: F.xxhash64(w))
-    return F.get(F.transform(F.array(hashed), lambda h: F.when(F.size(h) > 0, cut(h)).otherwise(F.array().cast("array<bigint>"))), 0)
+    cut = lambda h, n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(h) - n, F.lit(0)) + 1), lambda i: F.xxhash64(F.slice(h, i, n)))
+    none = F.array().cast("array<bigint>")
+    every = lambda h: F.array(*[F.struct(F.lit(n).alias("len"), F.when(F.size(h) > 0, cut(h, n)).otherwise(none).alias("hashes")) for n in lengths])
+    return F.get(F.transform(F.array(F.transform(words, lambda w: F.xxhash64(w))), every), 0)
 
 
 def _forms(text: Column) -> list[Column]:
@@ -78,10 +79,10 @@ def _forms(text: Column) -> list[Column]:
     return [*(canonical_words(text, name) for name in (_NAME_INSIDE, _NAME_ANYWHERE)), raw_words(F.lower(text))]
 
 
-def _looked_up(texts: DataFrame, window: int) -> DataFrame:
-    """(doc, pos, hash) of the windows of all forms."""
-    each = F.explode(F.array(*[windows(form, window) for form in _forms(F.col("text"))])).alias("hashes")
-    return texts.select("doc", each).select("doc", F.posexplode("hashes").alias("pos", "hash"))
+def _looked_up(texts: DataFrame, lengths: list[int]) -> DataFrame:
+    """(doc, len, pos, hash) of the windows of all forms."""
+    each = F.explode(F.flatten(F.array(*[windows(form, *lengths) for form in _forms(F.col("text"))]))).alias("w")
+    return texts.select("doc", each).select("doc", "w.len", F.posexplode("w.hashes").alias("pos", "hash"))
 
 
 def _is_slot(word: Column) -> Column:
@@ -93,19 +94,16 @@ def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     texts = docs.select(F.col(f"`{id_col}`").alias("doc"), plain(F.col(f"`{text_col}`")).alias("text")).filter("doc is not null")
     known = items.select(F.col(f"`{item_col}`").alias("item"), plain(F.col(f"`{item_text_col}`")).alias("text")).filter("item is not null")
     known = written(known.select("item", raw_words(F.col("text")).alias("item_raw"), F.array(*_forms(F.col("text"))).alias("item_forms")).filter(F.size("item_raw") > 0), "bench-items")
-    looked_up = known.select("item", "item_forms", F.posexplode("item_forms").alias("form", "item_words")).select("item", "item_forms", "form", "item_words", F.posexplode(windows(F.col("item_words"), window)).alias("at", "hash"))
+    looked_up = known.select("item", "item_forms", F.posexplode("item_forms").alias("form", "item_words")).select("item", "item_forms", "form", "item_words", F.posexplode(windows(F.col("item_words"), window)[0]["hashes"]).alias("at", "hash"))
     literal = lambda array, a: F.size(F.filter(F.slice(array, a + 1, window), lambda w: ~_is_slot(w))) * 2 >= window
     sparse = lambda a: ~literal(F.get("item_forms", F.lit(0)), a) & (F.size("item_words") > window)
     wanted = F.when(F.col("form") == AS_IS, sparse(F.col("at"))).otherwise(literal("item_words", F.col("at")) | (F.size("item_words") <= window))
     looked_up = written(looked_up.filter(wanted).select("hash", "item", "at", F.least(F.size("item_words"), F.lit(window)).alias("len")).distinct(), "bench-windows")
-    found = [_looked_up(texts, window).join(checked(looked_up.filter(F.col("len") == window)), "hash")]
-    # Items shorter than a window: documents are cut in windows of that length too, one pass for each length there is.
-    for (short,) in looked_up.filter(F.col("len") < window).select("len").distinct().collect():
-        own = checked(written(looked_up.filter(F.col("len") == short), "bench-short"))
-        found.append(_looked_up(texts, short).join(own, "hash"))
-    matched = found[0]
-    for more in found[1:]:
-        matched = matched.union(more)
+    # Items shorter than a window are one of their own length: documents are cut in windows of each length there is, in one pass.
+    lengths = sorted(r["len"] for r in looked_up.select("len").distinct().collect())  # `window` numbers at most
+    if not lengths:
+        lengths = [window]
+    matched = _looked_up(texts, lengths).join(checked(looked_up), ["hash", "len"])
     aligned = matched.select("doc", "item", (F.col("pos") - F.col("at")).alias("shift"), "at", "len").groupBy("doc", "item", "shift").agg(F.collect_set("at").alias("at"), F.max("len").alias("len"))
     aligned = written(aligned, "bench-aligned")
     named = checked(written(aligned.select(F.col("doc").alias("_doc")).distinct(), "bench-docs"))

@@ -367,6 +367,53 @@ def test_line_dedup_finds_short_lines_and_pairs_at_the_border(spark):
     assert {g.doc_id for g in got if not g.kept} == want and len(want) > 40
 
 
+def similar_lines(lines):
+    """All pairs with a Jaccard similarity of 0.8 or more, by prefixes of rare shingles first: exact."""
+    sets = [char_sets(t) for t in lines]
+    often = Counter(x for s in sets for x in s)
+    held, found = defaultdict(list), set()
+    for i, s in enumerate(sets):
+        near = set()
+        for x in sorted(s, key=lambda x: (often[x], x))[: len(s) - -(-80 * len(s) // 100) + 1]:
+            near.update(held[x])
+            held[x].append(i)
+        found |= {(j, i) for j in near if 5 * min(len(s), len(sets[j])) >= 4 * max(len(s), len(sets[j])) and 100 * len(s & sets[j]) >= 80 * len(s | sets[j])}
+    return found
+
+
+def shares_a_band(pairs, lines):
+    _, owner, keys = line_dedup.bands(lines)
+    own = defaultdict(set)
+    for o, k in zip(owner.tolist(), keys.tolist(), strict=True):
+        own[o].add(k)
+    return sum(not own[a].isdisjoint(own[b]) for a, b in pairs) / len(pairs)
+
+
+def test_line_dedup_recall_on_documents(spark):
+    texts = [r.text for r in spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").collect() if r.text]
+    lines = sorted({t.strip(" \t\r") for text in texts for t in text.split("\n")} - {""})
+    links = similar_lines(lines)
+    assert len(links) > 100 and shares_a_band(links, lines) >= 0.98
+    got = {lines[g.doc_id]: g.class_id for g in line_dedup.classes(documents(spark, list(enumerate(lines)))).collect()}
+    assert sum(got[lines[a]] == got[lines[b]] for a, b in links) >= 0.99 * len(links)
+
+
+def test_line_dedup_recall_on_long_words():
+    r = random.Random(9)
+    word = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvw") for _ in range(n))
+    for n in (11, 15, 17):
+        lines, pairs = [], []
+        for _ in range(150):
+            line = " ".join(word(n) for _ in range(8))
+            other = list(line)
+            for at in sorted(r.sample(range(len(line)), 2), reverse=True):
+                other.insert(at, "x")
+            if 100 * len(char_sets(line) & char_sets("".join(other))) >= 80 * len(char_sets(line) | char_sets("".join(other))):
+                pairs.append((len(lines), len(lines) + 1))
+                lines += [line, "".join(other)]
+        assert len(pairs) > 100 and shares_a_band(pairs, lines) >= 0.98
+
+
 # 8
 
 def plain_heap(sizes, shards):
@@ -450,6 +497,26 @@ def test_decontamination_finds_exact_copies_that_are_mostly_slots(spark):
     assert set(got) == {(1, 1), (3, 2), (5, 1)} and got[(1, 1)].covered == 10 and got[(1, 1)].slots == 8 and got[(1, 1)].changed == 0
 
 
+def test_decontamination_finds_questions_with_other_numbers_and_names(spark):
+    """Templates of many kinds, each asked anew with other numbers, names and units: recall over all, and nothing of another template."""
+    r = random.Random(12)
+    templates = [
+        "{A} has {n} apples and gives {m} of them to {B}. How many apples does {A} have left at the end of the day?",
+        "A train leaves the old station at {n} km per hour and arrives {m} hours later. How far did {A} travel on this train?",
+        "If {A} reads {n} pages on each day of the week, how many pages will {A} have read after {m} days without a break?",
+        "The price of a ticket to the town of {B} rose from {n} dollars to {m} dollars. By how many percent did the price of the ticket rise?",
+        "In the garden of {A} there are {n} rows of trees with {m} trees each, and {B} cuts down {k} of all the trees. How many trees are left?",
+        "{A} and {B} share {n} coins so that {A} gets {m} more coins than {B} does. How many coins does {B} get in the end?",
+    ]
+    people = "Alice Bruno Carla Dmitri Elena Farid Greta Hiroshi Ingrid Jorge Katya Liam".split()
+    asked = lambda t: t.format(n=r.randint(2, 99), m=r.randint(100, 999), k=r.randint(1000, 9999), **dict(zip("AB", r.sample(people, 2), strict=True)))
+    items = spark.createDataFrame([(i, asked(t)) for i, t in enumerate(templates)], "item_id long, text string")
+    rows = [(10 * i + k, f"Some words first. {asked(t)} And some after it.") for i, t in enumerate(templates) for k in range(6)]
+    got = set(rows_of(decontaminate.hits(documents(spark, rows), items), "doc_id", "item_id"))
+    want = {(d, d // 10) for d, _ in rows}
+    assert got <= want and len(got) >= 0.95 * len(want)
+
+
 def test_decontamination_finds_all_copied_items(spark):
     docs, items = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet"), spark.read.parquet(f"{DATA}/sf0.01/benchmark.parquet")
     got = set(rows_of(decontaminate.hits(docs, items), "doc_id", "item_id"))
