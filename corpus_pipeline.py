@@ -2,6 +2,13 @@
 
 Each stage works on every row it is given, and its decisions take effect: rejected languages, all but one of linked
 documents and documents that give benchmark items away go; mixing repeats or drops documents; sharding places them.
+
+Defined results: null and empty texts, and texts without a letter, have no language and go in the first stage; long texts are
+read whole; of linked documents that with the least id stays, and rows that share that id stay together; rows with a null
+id stay in the near-duplicate and benchmark stages, which can't name them, and share a draw in the mixture; equal rows
+share every decision; a null source is a source of its own; without rows with a language, or without documents,
+nothing is left; an empty benchmark takes nothing away. Columns other than ``COLUMNS`` are dropped by the first stage,
+whatever their names.
 """
 
 from __future__ import annotations
