@@ -8,7 +8,7 @@ bands of ``SHORT_ROWS``, since so few can't hold longer runs in common; the long
 sets always have a kind in common.
 
 Lines that share a band are candidates. In a band's bucket all lines are compared with its leader, then, round by round,
-with 4, 16, ... further leaders, the most central ones first, until a bucket is one component or all its lines have led. Left out are only pairs that are in one component by then, and pairs that can't link: by their sets' sizes, or
+with 8, 64, ... further leaders, the most central ones first, until a bucket is one component or all its lines have led. Left out are only pairs that are in one component by then, and pairs that can't link: by their sets' sizes, or
 by the triangle inequality with the first leader. So every pair of candidates is decided. A comparison is exact: the
 Jaccard similarity of the sets. Union-find joins the links, and of each component the first line stays.
 
@@ -38,7 +38,7 @@ CHARS, BANDS, ROWS, PERCENT = 5, 14, 6, 80
 #: Sets of up to FEW hashes have bands of SHORT_ROWS; those of more than LONG_FROM have bands of ROWS.
 FEW, LONG_FROM, SHORT_ROWS = 24, 15, 2
 #: Leaders of a bucket in the second round; as many times more in each that follows.
-LEADERS = 4
+LEADERS = 8
 BLOCK = 256
 #: A table of keys or lines under this many bytes may be sent to every task.
 KEY_BYTES = 48 << 20
@@ -162,13 +162,24 @@ def _sign(chars: int, marks: int, rows: int):
     return make
 
 
-def signed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars: int = CHARS, marks: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
-    """A row for each line: doc, line_no, h (its name), size, keys (of one of a batch's equal lines); and the names that two lines had in common."""
+def signed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars: int = CHARS, marks: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A row for each line: doc, line_no, h (its name), g (another), size, keys (of one of a batch's equal lines); the names that different lines had in common; and those that several lines have."""
     of = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("text"))
     schema = f"doc {of.schema['doc'].dataType.simpleString()}, line_no int, h long, g long, size int, keys array<long>"
     signed = written(of.mapInArrow(_sign(chars, marks, rows), schema), "line-signatures")
-    shared = written(signed.groupBy("h").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo <> hi").select("h"), "line-clashes")
-    return _renamed(signed, shared).drop("g"), shared
+    names = _names(signed)
+    shared = names.filter("lo <> hi").select("h")
+    if not shared.isEmpty():
+        shared = written(shared, "line-clashes")
+        signed = written(_renamed(signed, shared), "line-signatures")
+        names = _names(signed)
+    return signed, shared, names.select("h")
+
+
+def _names(signed: DataFrame) -> DataFrame:
+    """(h, n, lo, hi) of the names that several lines have, n times in all; lo and hi differ if the lines do."""
+    counted = signed.filter("h is not null").groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("g").alias("lo"), F.max("g").alias("hi"))
+    return written(counted.filter("n > 1"), "line-names")
 
 
 def _renamed(rows: DataFrame, shared: DataFrame) -> DataFrame:
@@ -188,39 +199,48 @@ def texts_of(docs: DataFrame, wanted: DataFrame, shared: DataFrame, text_col: st
 def linked(docs: DataFrame, signed: DataFrame, shared: DataFrame, text_col: str = "text", chars: int = CHARS, percent: int = PERCENT) -> DataFrame:
     """(node, component) of distinct lines that link with others."""
     keyed = signed.select("h", "size", F.explode("keys").alias("key"))
-    shared_keys = keyed.groupBy("key").agg(F.min("h").alias("least"), F.max("h").alias("most")).filter("least <> most").select("key")
-    members = written(keyed.join(checked(written(shared_keys, "line-buckets"), KEY_BYTES), "key").distinct(), "line-members")
+    held = keyed.groupBy("key").agg(F.min("h").alias("least"), F.max("h").alias("most"), F.count(F.lit(1)).alias("n")).filter("least <> most").select("key", "n")
+    members = keyed.join(checked(written(held, "line-buckets"), KEY_BYTES), "key").groupBy("h", "size").agg(F.sum("n").alias("weight"), F.collect_set("key").alias("keys"))
+    members = written(members, "line-members")
+    rows = members.select("h", "size", "weight", F.explode("keys").alias("bucket"))
     # The leader of a bucket is its most central line, that which shares its bands with most others; so an original
     # leads its copies wherever it can, and what they changed doesn't stand between it and them.
-    shares = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    weights = members.join(shares, "key").groupBy("h").agg(F.sum("n").alias("weight"))
-    rows = written(members.join(weights, "h"), "line-weighted")
-    leaders = rows.groupBy("key").agg(F.max(F.struct("weight", "h", "size")).alias("lead")).select("key", F.col("lead.h").alias("leader"), F.col("lead.size").alias("_size"))
+    leaders = rows.groupBy("bucket").agg(F.max(F.struct("weight", "h", "size")).alias("lead")).select("bucket", F.col("lead.h").alias("leader"), F.col("lead.size").alias("_size"))
     fits = F.expr(f"100 * least(size, _size) >= {percent} * greatest(size, _size)")
-    bucketed = written(rows.join(leaders, "key").filter("h <> leader").select(F.col("key").alias("bucket"), F.col("h").alias("line_id"), "size", "weight", "leader", "_size"), "line-bucketed")
+    led = rows.join(checked(written(leaders, "line-leaders"), KEY_BYTES), "bucket").filter("h <> leader")
+    bucketed = written(led.select("bucket", F.col("h").alias("line_id"), "size", "weight", "leader", "_size"), "line-bucketed")
     pairs = written(bucketed.filter(fits).select(F.col("leader").alias("a"), F.col("line_id").alias("b")).distinct(), "line-pairs")
-    texts = texts_of(docs, written(rows.select("h").distinct(), "line-wanted"), shared, text_col)
+    texts = texts_of(docs, members.select("h"), shared, text_col)
     first = _compare(pairs, texts, chars, percent)
     joined = components(first.filter("linked"))
     # A leader is done with its bucket. All others go on, with how far they are from it, if it was compared.
-    left = bucketed.join(first.select(F.col("a").alias("leader"), F.col("b").alias("line_id"), "apart"), ["leader", "line_id"], "left").select("bucket", "line_id", "apart", "size", "weight")
+    left = _open(bucketed.select("bucket", "line_id", "size", "weight", "leader"), joined)
+    left = left.join(first.select(F.col("a").alias("leader"), F.col("b").alias("line_id"), "apart"), ["leader", "line_id"], "left").select("bucket", "line_id", "component", "size", "weight", "apart")
+    known = first.filter("not linked").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     far, most = 1 - percent / 100 + 1e-9, LEADERS
     while True:
-        placed = written(left.join(joined.withColumnRenamed("node", "line_id"), "line_id", "left").withColumn("component", F.coalesce("component", "line_id")), "line-placed")
-        open_ = placed.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("bucket")
         rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.col("weight").desc(), "line_id"))
-        left = written(placed.join(open_, "bucket", "left_semi").withColumn("rank", rank), "line-left")
+        left = written(left.withColumn("rank", rank), "line-left")
         if left.isEmpty():
             return joined
         heads = left.filter(F.col("rank") <= most).select("bucket", *[F.col(c).alias(f"_{c}") for c in ("line_id", "apart", "size", "component", "rank")])
         near = F.coalesce(F.abs(F.col("apart") - F.col("_apart")) <= far, F.lit(True))
         across = heads.join(left, "bucket").filter((F.col("_rank") < F.col("rank")) & (F.col("_component") != F.col("component")) & near & fits)
-        pairs = written(across.select(F.least("line_id", "_line_id").alias("a"), F.greatest("line_id", "_line_id").alias("b")).distinct(), "line-pairs")
-        joined = extended(joined, _compare(pairs, texts, chars, percent).filter("linked"))
-        left = left.filter(F.col("rank") > most).select("bucket", "line_id", "apart", "size", "weight")
+        pairs = across.select(F.least("line_id", "_line_id").alias("a"), F.greatest("line_id", "_line_id").alias("b")).distinct()
+        compared = _compare(written(pairs.join(checked(known, KEY_BYTES), ["a", "b"], "left_anti"), "line-pairs"), texts, chars, percent)
+        joined = extended(joined, compared.filter("linked"))
+        known = written(known.union(compared.filter("not linked").select("a", "b")), "line-known-pairs")
+        left = _open(left.filter(F.col("rank") > most).select("bucket", "line_id", "size", "weight", "apart"), joined)
         most *= LEADERS
 
 
+def _open(rows: DataFrame, joined: DataFrame) -> DataFrame:
+    """``rows`` (bucket, line_id, ...) of buckets whose lines aren't of one component yet, with their component."""
+    placed = rows.join(checked(joined.withColumnRenamed("node", "line_id"), KEY_BYTES), "line_id", "left").withColumn("component", F.coalesce("component", "line_id"))
+    several = placed.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("bucket")
+    return placed.join(checked(written(several, "line-open"), KEY_BYTES), "bucket", "left_semi")
+
+
 def _jaccard(chars: int, percent: int):
     """Rows sorted by (a, block, role), the leader first, to (a, b, linked, apart)."""
 
@@ -254,18 +274,18 @@ def _compare(pairs: DataFrame, texts: DataFrame, chars: int, percent: int) -> Da
     blocks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
     dealt = written(pairs.join(blocks, "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), "b"), "line-dealt")
     visits = dealt.select(F.col("a").alias("h"), "a", "block", F.lit(0).alias("role")).distinct().union(dealt.select(F.col("b").alias("h"), "a", "block", F.lit(1).alias("role")))
-    rows = visits.join(texts, "h").select("a", "block", "role", "h", "line")
+    rows = texts.join(checked(written(visits, "line-visits"), KEY_BYTES), "h").select("a", "block", "role", "h", "line")
     sorted_ = rows.repartition("a", "block").sortWithinPartitions("a", "block", "role")
     return written(sorted_.mapInArrow(_jaccard(chars, percent), "a long, b long, linked boolean, apart double"), "line-compared")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars: int = CHARS, marks: int = BANDS, rows: int = ROWS, percent: int = PERCENT) -> DataFrame:
     """One row per line: id, line_no, class_id (null for blank lines), class_size, keep_id, keep_line, kept."""
-    signed, shared = signed_lines(docs, id_col, text_col, chars, marks, rows)
+    signed, shared, names = signed_lines(docs, id_col, text_col, chars, marks, rows)
     joined = linked(docs, signed, shared, text_col, chars, percent)
     lines = signed.select("doc", "line_no", "h")
     # Only lines that others equal or link with have a class to look up: few, so most lines aren't grouped by it.
-    repeated = lines.filter("h is not null").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("h").alias("node"))
+    repeated = names.withColumnRenamed("h", "node")
     of = written(repeated.join(joined, "node", "full_outer").select("node", F.coalesce("component", "node").alias("_class")), "line-classes")
     place = F.struct(F.col("doc").isNull().alias("unknown"), "doc", "line_no")
     shared_lines = lines.join(checked(of, KEY_BYTES), F.col("h") == F.col("node"))
