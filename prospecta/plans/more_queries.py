@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from prospecta.functions import lists, text
@@ -116,6 +118,59 @@ def apply_scholar(spark, d):
     return enrichment.apply_scholar(profiles, works).select("id", F.get("scholar_interests", F.lit(0)).alias("interest"), F.size("publications").alias("n"))
 
 
+@query("""WITH n AS (SELECT page_id, unnest(range(0, (page_id % 23)::INT)) AS i FROM pages)
+SELECT page_id::VARCHAR AS id, CASE WHEN page_id % 2 = 0 THEN 'sums|logic & sets' ELSE '' END AS interests, coalesce((SELECT string_agg('t' || i::VARCHAR || ',' || CASE WHEN i % 3 = 0 THEN '-' ELSE (1900 + i)::VARCHAR END || ',' || CASE WHEN i % 4 = 0 THEN '-' ELSE i::VARCHAR END, '|' ORDER BY i) FROM n WHERE n.page_id = pages.page_id AND i BETWEEN 1 AND 20), '') AS works FROM pages""")
+def parse_scholar_pages(spark, d):
+    """Scholar pages made of each page's id: up to 22 works, the first without a title."""
+    n = F.col("page_id")
+    cell = lambda i: F.concat(F.lit('<tr class="gsc_a_tr"><td class="gsc_a_t"><a href="#" class="gsc_a_at">'), F.when(i > 0, F.concat(F.lit("t"), i.cast("string"))).otherwise(F.lit("")), F.lit('</a></td><td class="gsc_a_c"><a>'), F.when(i % 4 == 0, F.lit("*")).otherwise(i.cast("string")), F.lit("</a></td>"), F.when(i % 3 == 0, F.lit('<td class="gsc_a_y"></td>')).otherwise(F.concat(F.lit('<td class="gsc_a_y"><span>'), (i + 1900).cast("string"), F.lit("</span></td>"))), F.lit("</tr>"))
+    rows = F.when(n % 23 > 0, F.array_join(F.transform(F.sequence(F.lit(0), (n % 23).cast("int") - 1), cell), "")).otherwise(F.lit(""))
+    interests = F.when(n % 2 == 0, F.lit('<a class="gsc_prf_inta gs_ibl">sums</a> <a class="gsc_prf_inta">logic &amp; sets</a>')).otherwise(F.lit(""))
+    read = pages.parse_scholar_pages(bindings.read(spark, d, "pages").select(n.cast("string").alias("id"), F.concat(interests, F.lit("<table>"), rows, F.lit("</table>")).alias("html")))
+    work = lambda w: F.concat_ws(",", w["title"], F.coalesce(w["year"], F.lit("-")), F.coalesce(w["cited_by"].cast("string"), F.lit("-")))
+    return read.select("id", F.array_join("scholar_interests", "|").alias("interests"), F.array_join(F.transform("publications", work), "|").alias("works"))
+
+
+# Files: written, and read back
+
+def _scratch(spark, label: str) -> str:
+    held = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{held.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def _whole(spark, d):
+    known, there = bindings.profiles(spark, d), ("id", "name", "title", "department", "profile_url", "research_summary")
+    return known.select(*[F.col(f) if f in there else (F.array(F.col("id")) if f == "scholar_interests" else F.lit(None)).cast(files._LISTS.get(f, "string")).alias(f) for f in lists.PROFILE_FIELDS], "seed_ord")
+
+
+_BACK = f"WITH {PROFILES} SELECT id, name, title, department, research_summary, {{}} AS interests FROM p"
+
+
+@query(_BACK.format("id"))
+def write_profiles_json(spark, d):
+    path = _scratch(spark, "profiles-json")
+    files.write_profiles_json(_whole(spark, d), path)
+    back = spark.read.schema(files.PROFILE_DDL).json(path)
+    return back.select("id", "name", "title", "department", "research_summary", F.get("scholar_interests", F.lit(0)).alias("interests"))
+
+
+@query(_BACK.format("'[\"' || id || '\"]'"))
+def write_profiles_csv(spark, d):
+    path = _scratch(spark, "profiles-csv")
+    files.write_profiles_csv(_whole(spark, d), path)
+    back = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("emptyValue", "").csv(path)
+    return back.select("id", "name", "title", "department", "research_summary", F.col("scholar_interests").alias("interests"))
+
+
+@query(f"WITH {PROFILES} SELECT id, CASE WHEN department = 'src3' THEN 'new ' || name ELSE name END AS name, department FROM p WHERE department IS NOT NULL")
+def write_by_department(spark, d):
+    """All departments, then one of them anew: the others stay."""
+    path, known = _scratch(spark, "departments"), bindings.profiles(spark, d).filter("department is not null").select("id", "name", "department")
+    files.write_by_department(known, path)
+    files.write_by_department(known.filter("department = 'src3'").withColumn("name", F.concat(F.lit("new "), F.col("name"))), path)
+    return spark.read.schema("id string, name string, department string").parquet(path)
+
+
 # Replies of a model
 
 @query(f"""WITH {RESUMES}, m AS (SELECT id, raw_text, id::BIGINT % 4 AS k FROM r) SELECT id, CASE WHEN k < 2 THEN 'N ' || id WHEN k = 2 AND len(string_split(f, ' ')) <= 4 THEN f WHEN k = 3 AND len(string_split(f, ' ')) <= 4 THEN f END AS name,
