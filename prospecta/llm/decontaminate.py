@@ -41,10 +41,11 @@ OPENERS = (
     "A After All Also An And Another Are As Assume At Based Because Before Both But By Calculate Can Compute Consider Determine Did Do Does During Each Every Explain Find For From Give Given Had Has Have He Her His How However If In Into Is It Its Let "
     "Many Most My No Not Of On One Or Other Our Over Several She Should Simplify Since So Solve Some Suppose That The Their Them Then There These They This Those Three Through To Two Under Until Use Was We Were What When Where Which While Who Whom Whose Why Will With Would Write You Your"
 )
-_NAME_ANYWHERE = rf"(?<![\p{{L}}\p{{M}}])(?!(?:{'|'.join(OPENERS.split())})(?![\p{{L}}\p{{M}}]))\p{{Lu}}\p{{Ll}}[\p{{L}}\p{{M}}]*"
+# It asks for capitals first, since openers would be tried at every word's start.
+_NAME_ANYWHERE = rf"(?=\p{{Lu}}\p{{Ll}})(?<![\p{{L}}\p{{M}}])(?!(?:{'|'.join(OPENERS.split())})(?![\p{{L}}\p{{M}}]))\p{{Lu}}\p{{Ll}}[\p{{L}}\p{{M}}]*"
 
-#: The form, among ``_forms``, of the words as they are.
-AS_IS = 2
+#: Names inside a sentence, names anywhere, and the words as they are: the forms, by number.
+FORMS = INSIDE, ANYWHERE, AS_IS = (0, 1, 2)
 
 
 def plain(text: Column) -> Column:
@@ -74,15 +75,20 @@ def windows(words: Column, *lengths: int) -> Column:
     return F.get(F.transform(F.array(F.transform(words, lambda w: F.xxhash64(w))), every), 0)
 
 
-def _forms(text: Column) -> list[Column]:
-    """The words of a text in each form that is looked up; as many in each."""
-    return [*(canonical_words(text, name) for name in (_NAME_INSIDE, _NAME_ANYWHERE)), raw_words(F.lower(text))]
+def _form(text: Column, form: int) -> Column:
+    """The words of a text in a form; as many in each."""
+    return raw_words(F.lower(text)) if form == AS_IS else canonical_words(text, _NAME_INSIDE if form == INSIDE else _NAME_ANYWHERE)
 
 
-def _looked_up(texts: DataFrame, lengths: list[int]) -> DataFrame:
-    """(doc, len, pos, hash) of the windows of all forms."""
-    each = F.explode(F.flatten(F.array(*[windows(form, *lengths) for form in _forms(F.col("text"))]))).alias("w")
-    return texts.select("doc", each).select("doc", "w.len", F.posexplode("w.hashes").alias("pos", "hash"))
+def _forms(text: Column) -> Column:
+    return F.array(*[_form(text, f) for f in FORMS])
+
+
+def _looked_up(texts: DataFrame, forms: list[int], lengths: list[int]) -> DataFrame:
+    """(doc, form, len, pos, hash) of the windows of all ``forms``."""
+    of_form = lambda f: F.transform(windows(_form(F.col("text"), f), *lengths), lambda w: F.struct(F.lit(f).alias("form"), w["len"].alias("len"), w["hashes"].alias("hashes")))
+    each = F.explode(F.flatten(F.array(*[of_form(f) for f in forms]))).alias("w")
+    return texts.select("doc", each).select("doc", "w.form", "w.len", F.posexplode("w.hashes").alias("pos", "hash"))
 
 
 def _is_slot(word: Column) -> Column:
@@ -93,21 +99,21 @@ def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     """One row per document and item that it gives away: id, item, item_words, covered, slots, changed (slots with another value)."""
     texts = docs.select(F.col(f"`{id_col}`").alias("doc"), plain(F.col(f"`{text_col}`")).alias("text")).filter("doc is not null")
     known = items.select(F.col(f"`{item_col}`").alias("item"), plain(F.col(f"`{item_text_col}`")).alias("text")).filter("item is not null")
-    known = written(known.select("item", raw_words(F.col("text")).alias("item_raw"), F.array(*_forms(F.col("text"))).alias("item_forms")).filter(F.size("item_raw") > 0), "bench-items")
+    known = written(known.select("item", raw_words(F.col("text")).alias("item_raw"), _forms(F.col("text")).alias("item_forms")).filter(F.size("item_raw") > 0), "bench-items")
     looked_up = known.select("item", "item_forms", F.posexplode("item_forms").alias("form", "item_words")).select("item", "item_forms", "form", "item_words", F.posexplode(windows(F.col("item_words"), window)[0]["hashes"]).alias("at", "hash"))
     literal = lambda array, a: F.size(F.filter(F.slice(array, a + 1, window), lambda w: ~_is_slot(w))) * 2 >= window
     sparse = lambda a: ~literal(F.get("item_forms", F.lit(0)), a) & (F.size("item_words") > window)
     wanted = F.when(F.col("form") == AS_IS, sparse(F.col("at"))).otherwise(literal("item_words", F.col("at")) | (F.size("item_words") <= window))
-    looked_up = written(looked_up.filter(wanted).select("hash", "item", "at", F.least(F.size("item_words"), F.lit(window)).alias("len")).distinct(), "bench-windows")
-    # Items shorter than a window are one of their own length: documents are cut in windows of each length there is, in one pass.
-    lengths = sorted(r["len"] for r in looked_up.select("len").distinct().collect())  # `window` numbers at most
-    if not lengths:
-        lengths = [window]
-    matched = _looked_up(texts, lengths).join(checked(looked_up), ["hash", "len"])
+    looked_up = written(looked_up.filter(wanted).select("hash", "form", "item", "at", F.least(F.size("item_words"), F.lit(window)).alias("len")).distinct(), "bench-windows")
+    # One pass over the documents, in the forms and lengths that the benchmark has: a form that no item is looked up in isn't
+    # made, and items shorter than a window are one of their own length.
+    kinds = looked_up.select("form", "len").distinct().collect()  # 3 * `window` rows at most
+    forms, lengths = sorted({r["form"] for r in kinds}) or [INSIDE], sorted({r["len"] for r in kinds}) or [window]
+    matched = _looked_up(texts, forms, lengths).join(checked(looked_up), ["hash", "form", "len"])
     aligned = matched.select("doc", "item", (F.col("pos") - F.col("at")).alias("shift"), "at", "len").groupBy("doc", "item", "shift").agg(F.collect_set("at").alias("at"), F.max("len").alias("len"))
     aligned = written(aligned, "bench-aligned")
     named = checked(written(aligned.select(F.col("doc").alias("_doc")).distinct(), "bench-docs"))
-    again = texts.join(named, F.col("doc") == F.col("_doc")).select("doc", raw_words(F.col("text")).alias("doc_raw"), F.array(*_forms(F.col("text"))).alias("doc_forms"))
+    again = texts.join(named, F.col("doc") == F.col("_doc")).select("doc", raw_words(F.col("text")).alias("doc_raw"), _forms(F.col("text")).alias("doc_forms"))
     here = lambda array, p: F.get(F.col(array), p + F.col("shift"))
     side = aligned.join(checked(known), "item").join(again, "doc").select("doc", "item", "shift", "at", "len", "item_raw", "doc_raw", "doc_forms", "item_forms", F.posexplode("item_forms").alias("form", "item_words"))
     side = side.withColumn("doc_words", F.get("doc_forms", F.col("form")))
