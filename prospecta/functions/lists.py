@@ -2,8 +2,14 @@
 
 # The terms, labels and limits below must be these, in this order, for results to agree.
 SKILLS = {
-    "py": "python matlab r java c++ c# javascript typescript sql julia fortran labview tensorflow pytorch scikit-learn pandas numpy opencv ros ansys comsol autocad solidworks".split(),
-    "js": "python matlab r java c++ javascript sql julia tensorflow pytorch scikit-learn pandas numpy ros ansys comsol autocad solidworks labview opencv".split(),
+    "py": [
+        "python", "matlab", "r", "java", "c++", "c#", "javascript", "typescript", "sql", "julia", "fortran", "labview", "tensorflow", "pytorch",
+        "scikit-learn", "pandas", "numpy", "opencv", "ros", "ansys", "comsol", "autocad", "solidworks",
+    ],
+    "js": [
+        "python", "matlab", "r", "java", "c++", "javascript", "sql", "julia", "tensorflow", "pytorch", "scikit-learn", "pandas", "numpy", "ros", "ansys",
+        "comsol", "autocad", "solidworks", "labview", "opencv",
+    ],
 }
 TECHNIQUES = {
     "py": ["sem", "tem", "xrd", "ftir", "nmr", "pcr", "hplc", "gc-ms", "electrochemistry", "cell culture", "microscopy", "spectroscopy", "chromatography", "flow cytometry", "raman", "afm"],
@@ -38,15 +44,21 @@ YEARS = {
     "js": {"freshman": "Freshman", "sophomore": "Sophomore", "junior": "Junior", "senior": "Senior", "graduate": "Graduate", "phd": "Phd", "master": "Master"},
 }
 MAJORS = {
-    "py": "chemical engineering|mechanical engineering|electrical engineering|computer science|materials science|civil engineering|biomedical engineering|aerospace engineering|industrial engineering".split("|"),
-    "js": "chemical engineering|mechanical engineering|electrical engineering|computer science|materials science|civil engineering|biomedical engineering".split("|"),
+    "py": [
+        "chemical engineering", "mechanical engineering", "electrical engineering", "computer science", "materials science", "civil engineering",
+        "biomedical engineering", "aerospace engineering", "industrial engineering",
+    ],
+    "js": ["chemical engineering", "mechanical engineering", "electrical engineering", "computer science", "materials science", "civil engineering", "biomedical engineering"],
 }
-GENERIC_TOPICS = "materials energy inorganic organic physical analytical modeling theory design systems control imaging synthesis analysis simulation".split()
-SMALL_WORDS = "a an the and but or for nor on at to by of in with".split()
+GENERIC_TOPICS = ["materials", "energy", "inorganic", "organic", "physical", "analytical", "modeling", "theory", "design", "systems", "control", "imaging", "synthesis", "analysis", "simulation"]
+SMALL_WORDS = ["a", "an", "the", "and", "but", "or", "for", "nor", "on", "at", "to", "by", "of", "in", "with"]
 STATUSES = ["Not Started", "Drafting Email", "Applied", "Follow Up Sent", "Interview Scheduled", "Accepted", "Rejected", "Closed"]
 CSV_HEADERS = ["Professor Name", "Lab Name", "Department", "Research Area", "Status", "Date Applied", "Follow-Up Date", "Email Used", "Notes", "Source Link", "Last Updated"]
 CSV_FIELDS = ["professorName", "labName", "department", "researchArea", "status", "dateApplied", "followUpDate", "emailUsed", "notes", "sourceLink", "lastUpdated"]
-PROFILE_FIELDS = ["id", "name", "title", "department", "email", "profile_url", "lab_website", "research_summary", "google_scholar", "ai_review", "photo_url", "phone", "office", "scholar_interests", "publications"]
+PROFILE_FIELDS = [
+    "id", "name", "title", "department", "email", "profile_url", "lab_website", "research_summary", "google_scholar", "ai_review", "photo_url", "phone",
+    "office", "scholar_interests", "publications",
+]
 EMAIL = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
 FILLER = [
     r"Research\s+Research\s*", r"Research\s+Facilities\s+and\s+Equipment\s*", r"Faculty\s+Research\s+Specialty\s+Areas?\s*", r"Undergraduate\s+Research\s*",

@@ -88,7 +88,3 @@ def make_sessions(df: DataFrame, key_col: str = "filename", as_of: str | None =
     """Sessions with an id that the key decides (so reruns agree) and the time of creation."""
     made = F.to_timestamp(F.lit(as_of)) if as_of else F.current_timestamp()
     return df.withColumn("id", F.md5(or_empty(F.col(key_col)))).withColumn("created_at", made)
-
-
-def or_null(c: Column) -> Column:
-    return empty_to_null(c)

@@ -137,9 +137,3 @@ def write_applications_csv(apps: DataFrame, path: str, ties: tuple[str, ...] = (
     header = apps.sparkSession.range(1).select(F.lit(",".join(CSV_HEADERS)).alias("line"))
     lines = applications_csv(apps.orderBy(*ties) if ties else apps)
     header.coalesce(1).union(lines).write.option("lineSep", "\r\n").text(path)
-
-
-def latest(apps: DataFrame) -> DataFrame:
-    """The last state of each id, where a log of states is given."""
-    newest = Window.partitionBy("id").orderBy(F.col("lastUpdated").desc())
-    return apps.withColumn("_n", F.row_number().over(newest)).filter("_n = 1").drop("_n")
