@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from prospecta.functions import lists, text
 from prospecta.operators import drafts, enrichment, matching, pages, resumes, tracking
 from prospecta.plans import bindings
-from prospecta.plans.queries import _JOINED, APPS, PROFILES, RESUMES, _matches, first_of, present, query, strip, themes_sql
+from prospecta.plans.queries import _JOINED, APPS, PROFILES, RESUMES, _matches, first_of, present, query, strip
 from prospecta.sources import files
 
 AS_OF = f"{bindings.AS_OF} 12:00:00"
