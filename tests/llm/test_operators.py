@@ -389,6 +389,22 @@ def shares_a_band(pairs, lines):
     return sum(not own[a].isdisjoint(own[b]) for a, b in pairs) / len(pairs)
 
 
+def test_line_names_are_spark_s_and_clashes_take_the_other(spark):
+    r = random.Random(3)
+    lines = ["é漢字\U0001f600 x", "a", "abcd", "abcde", *("".join(r.choice("abc dé") for _ in range(40)).strip() for _ in range(30))]
+    lines += [t + "e" for t in lines]
+    docs = documents(spark, list(enumerate(lines)))
+    signed, shared, names = line_dedup.signed_lines(docs)
+    assert shared.count() == 0 and names.count() == len(lines) - len(set(lines))
+    of_spark = {(x.h, x.g) for x in docs.select(F.xxhash64("text").alias("h"), F.xxhash64(F.reverse("text")).alias("g")).collect()}
+    assert {(x.h, x.g) for x in signed.select("h", "g").collect()} == of_spark
+    # As if every name were one of several lines: all take the other one, and the same lines are joined.
+    every = signed.select("h").distinct()
+    plain, other = line_dedup.linked(docs, signed, shared), line_dedup.linked(docs, line_dedup._renamed(signed, every), every)
+    parts = lambda joined, column: {frozenset(x.docs) for x in signed.join(joined, F.col(column) == F.col("node")).groupBy("component").agg(F.collect_set("doc").alias("docs")).collect()}
+    assert parts(plain, "h") == parts(other, "g") and len(parts(plain, "h")) > 20
+
+
 def test_line_dedup_recall_on_documents(spark):
     texts = [r.text for r in spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").collect() if r.text]
     lines = sorted({t.strip(" \t\r") for text in texts for t in text.split("\n")} - {""})
