@@ -11,8 +11,8 @@ The slots decide where the article is. That is the ``article`` elements if a hos
 ``main`` elements hold more than twice as much; else the lowest frame of the template with ``SHARE`` of the slots' text and of
 their main headings, so that an article in several sections, or with its title apart, stays whole. Without ``article``
 and ``main``, frames of the template that have no slot on any page are no part of the article; inside an ``article``
-nothing is dropped for being repeated. Elements whose kind, role or whole name says menu, header, footer, sidebar, notice, advert,
-form or comments are never part of it. Blocks of links alone don't count as a slot's text.
+nothing is dropped for being repeated. Elements whose kind, role or name says menu, header, footer, sidebar, notice, advert,
+form or comments are never part of it; of words that mean other things too (legal, search, form), only whole names count. Blocks of links alone don't count as a slot's text.
 
 Pages with equal text outside such elements count once. Vectors are never gathered: a class is known by the sum of a
 hash of (page, count) over pages, which Spark adds up by host and token with partial sums, so a host may have any
@@ -55,6 +55,11 @@ _OUT_NAMES = frozenset(
     "nav navbar navigation menu sidebar side-bar ad ads advert adverts advertisement sponsored promo comment comments comment-list commentlist comments-area comment-section comments-section disqus disqus-thread respond "
     "cookie-notice cookie-banner cookie-consent notice newsletter subscribe share share-buttons social-share breadcrumb breadcrumbs pagination related related-posts related-articles site-header page-header masthead site-footer page-footer footer".split()
 )
+#: Words that say so as part of a longer name, too (user-comments), unless another one tells of something about them
+#: (has-sidebar, comment-on-a-ruling); and what a longer name of an advert is made of (ad-slot, but not ad-hoc).
+_OUT_WORDS = frozenset("comment comments disqus sidebar advert adverts advertisement newsletter breadcrumb breadcrumbs pagination navbar".split())
+_ABOUT = frozenset("has with no is without on of the and about in to open".split())
+_AD_WORDS = frozenset("ad ads slot box banner unit wrapper wrap container block top bottom side left right inline google sponsored label".split())
 _WHOLE = ("article", "main", "body", "html")
 
 
@@ -76,9 +81,18 @@ def _out(tag: str, attributes: str, inside: bool) -> bool:
     if tag in _OUT or (tag == "header" and not inside) or _HIDDEN.search(attributes):
         return True
     for m in _NAMED.finditer(attributes):
-        names = {re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower().replace("_", "-") for name in (m[2] or m[3] or m[4] or "").split()}
-        if not names.isdisjoint(_OUT_ROLES if m[1].lower() == "role" else _OUT_NAMES) or (not inside and m[1].lower() != "role" and "header" in names):
-            return True
+        role = m[1].lower() == "role"
+        for name in (m[2] or m[3] or m[4] or "").split():
+            name = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower().replace("_", "-")
+            if role:
+                if name in _OUT_ROLES:
+                    return True
+            elif name in _OUT_NAMES or (name == "header" and not inside):
+                return True
+            elif "-" in name:
+                words = set(re.findall("[a-z]+", name))
+                if (words & _OUT_WORDS and not words & _ABOUT) or (words & {"ad", "ads"} and words <= _AD_WORDS):
+                    return True
     return False
 
 

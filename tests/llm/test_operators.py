@@ -136,6 +136,10 @@ def test_html_names_and_hidden_parts():
     page = """<body class="page menu-open"><div class="layout has-sidebar"><header><p>x</p></header><article><header class="entry-header"><h1>T</h1></header><p>a<p>b</p>
 <div hidden>h</div><div style="display: none">q</div><div class="commentList"><p>c</p></div><div class="legal analysis">l</div><section id="search-algorithms">s</section><ul><li>one<li>two</ul></article></div><div id="sidebar">s</div></body>"""
     assert html_text.main_text(page) == "T\na\nb\nl\ns\none\ntwo"
+    out = ("user-comments", "comments_area", "adSlot", "top-ad", "google-ads", "sidebar-left", "newsletter-box", "site-footer")
+    stay = ("ad-hoc", "comment-on-the-ruling", "has-sidebar", "search-algorithms", "cookie-recipes", "menu-of-the-day", "forms", "advertising-history")
+    named = "<article>" + "".join(f"<div class='x {n}'>{n}</div><section id={n}>{n}</section>" for n in (*out, *stay)) + "</article>"
+    assert html_text.main_text(named) == "\n".join(n for n in stay for _ in range(2))
 
 
 def test_html_without_article_uses_the_host_s_largest_slot(spark):
