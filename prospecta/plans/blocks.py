@@ -76,13 +76,19 @@ def _best(score: Score, fields: list[str], n: int, least: float, shared):
     return run
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where it has fewer partitions than there are (a file of one row group): rows are cheap to move and dear to score. A large table stays as it lies."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def best(profiles: DataFrame, queries: DataFrame, weights: list[str], score: Score, fields: list[str], n: int, least: float) -> DataFrame:
     """(key, id, seed_ord, score): of each task, the best ``n`` profiles (id, seed_ord and fields) of each query with ``least`` at least; a query's best ``n`` of all are among them.
 
     ``queries`` has a row for each key and token: key, token, ``weights``. ``score`` makes (profile, key) scores of token counts by field and of (token, key) weights.
     """
     spark = profiles.sparkSession
-    texts = profiles.select(F.col("id").cast("string").alias("id"), F.col("seed_ord").cast("long").alias("seed_ord"), *[F.lower(or_empty(F.col(FIELDS[f]))).alias(f) for f in fields])
+    texts = spread(profiles.select(F.col("id").cast("string").alias("id"), F.col("seed_ord").cast("long").alias("seed_ord"), *[F.lower(or_empty(F.col(FIELDS[f]))).alias(f) for f in fields]))
     size = queries.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("key").alias("keys")).first()
     blocks = max(-(-size["keys"] // KEYS), -(-size["rows"] // TOKENS), 1)
     schema = "key string, id string, seed_ord long, score double"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from prospecta.functions import lists, text
 from prospecta.operators import drafts, enrichment, matching, pages, resumes, topics, tracking
-from prospecta.plans import bindings
+from prospecta.plans import bindings, blocks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -321,13 +321,13 @@ _SEARCH = f"""q AS (SELECT id, seed_ord, list_sum(list_transform(['thing', 'nati
 
 @query(f"WITH {PROFILES}, {_SEARCH} SELECT id, score FROM q WHERE score > 0")
 def search_rank_one(spark, d):
-    return matching.search_and_rank(bindings.profiles(spark, d), "Thing nation, en doc!").select("id", "score")
+    return matching.search_and_rank(blocks.spread(bindings.profiles(spark, d)), "Thing nation, en doc!").select("id", "score")
 
 
 @query(f"WITH {PROFILES}, {_SEARCH} SELECT id, score, row_number() OVER (ORDER BY score DESC, seed_ord)::INT AS place FROM q WHERE score > 0 ORDER BY score DESC, seed_ord LIMIT 24 OFFSET 24")
 def search_page(spark, d):
     """The second page of results, with places."""
-    found = matching.search_and_rank(bindings.profiles(spark, d), "Thing nation, en doc!")
+    found = matching.search_and_rank(blocks.spread(bindings.profiles(spark, d)), "Thing nation, en doc!")
     page = matching.paginate(found, 2, [F.col("score").desc(), "seed_ord"])
     place = F.row_number().over(matching.Window.orderBy(F.col("score").desc(), "seed_ord"))
     return page.select("id", "score", (place + 24).alias("place"))
@@ -335,7 +335,7 @@ def search_page(spark, d):
 
 @query(f"WITH {PROFILES}, {_SEARCH} SELECT count(*) AS results, greatest(1, ceil(count(*) / 24))::BIGINT AS pages FROM q WHERE score > 0")
 def result_counts(spark, d):
-    return matching.result_counts(matching.search_and_rank(bindings.profiles(spark, d), "Thing nation, en doc!"))
+    return matching.result_counts(matching.search_and_rank(blocks.spread(bindings.profiles(spark, d)), "Thing nation, en doc!"))
 
 
 @query(f"""WITH {PROFILES}, b AS (SELECT item_id::VARCHAR AS query_id, text AS query FROM benchmark),
@@ -381,7 +381,7 @@ def corpus_totals(spark, d):
 # Topics and history
 
 def _piped(spark, d):
-    return bindings.profiles(spark, d).withColumn("research_summary", F.replace(F.col("research_summary"), F.lit("\n"), F.lit(" | ")))
+    return blocks.spread(bindings.profiles(spark, d)).withColumn("research_summary", F.replace(F.col("research_summary"), F.lit("\n"), F.lit(" | ")))
 
 
 _TOPICS = f"""{PROFILES}, g AS (SELECT id, seed_ord, list_filter(list_transform(string_split({TOPIC_TEXT}, '|')[2:], lambda x: lower({strip('x')})), lambda x: length(x) >= 3 AND length(x) <= 40 AND (contains(x, ' ') OR x NOT IN ({', '.join(f"'{g}'" for g in lists.GENERIC_TOPICS)}))) AS ts FROM p),
