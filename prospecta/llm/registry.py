@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prospecta.llm import decontaminate, exact_dedup, html_text, language_id, line_dedup, mixing, ngram_join, quality, sharding, warc
+from prospecta.llm import decontaminate, exact_dedup, html_text, language_id, line_dedup, mixing, ngram_join, periodic_runs, quality, sharding, warc
 from prospecta.llm.shared import table
 
 
@@ -54,9 +54,14 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return periodic_runs.digests(periodic_runs.detect(docs.withColumn("text", periodic_runs.planted(F.col("doc_id"), F.col("text")))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_exact_dedup, op3_warc, op4_html_extraction, op5_mixing, op6_quality, op7_line_dedup, op8_sharding, op9_decontaminate, op10_ngram_join)
+    for f in (op1_language_id, op2_exact_dedup, op3_warc, op4_html_extraction, op5_mixing, op6_quality, op7_line_dedup, op8_sharding, op9_decontaminate, op10_ngram_join, op11_periodic_runs)
 }
 
 ORACLE_SQL: dict[str, str] = {
