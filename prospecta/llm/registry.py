@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prospecta.llm import decontaminate, exact_dedup, html_text, language_id, line_dedup, mixing, ngram_join, periodic_runs, quality, sharding, warc
+from prospecta.llm import conversation_repair, decontaminate, exact_dedup, html_text, language_id, line_dedup, mixing, nearest, ngram_join, periodic_runs, quality, sharding, warc
 from prospecta.llm.shared import table
 
 
@@ -59,9 +59,18 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digests(periodic_runs.detect(docs.withColumn("text", periodic_runs.planted(F.col("doc_id"), F.col("text")))))
 
 
+def op12_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversation_repair.repair(conversation_repair.damaged(rows), rows)[0]
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_exact_dedup, op3_warc, op4_html_extraction, op5_mixing, op6_quality, op7_line_dedup, op8_sharding, op9_decontaminate, op10_ngram_join, op11_periodic_runs)
+    for f in (op1_language_id, op2_exact_dedup, op3_warc, op4_html_extraction, op5_mixing, op6_quality, op7_line_dedup, op8_sharding, op9_decontaminate, op10_ngram_join, op11_periodic_runs, op12_nearest, op13_conversation_repair)
 }
 
 ORACLE_SQL: dict[str, str] = {
