@@ -38,8 +38,8 @@ def recall(got, want):
 
 
 def test_chi_square():
-    assert abs(nearest.chi_square(18.307) - 0.95) < 1e-4 and abs(nearest.stopping_ratio(0.99) - 23.2093) < 1e-3
-    draws = (np.random.default_rng(1).standard_normal((100_000, 10)) ** 2).sum(1)
+    assert abs(nearest.chi_square(18.307, 10) - 0.95) < 1e-4 and abs(nearest.stopping_ratio(0.99, 10) - 23.2093) < 1e-3
+    draws = (np.random.default_rng(1).standard_normal((100_000, nearest.PROJECTED)) ** 2).sum(1)
     assert abs((draws <= nearest.stopping_ratio()).mean() - nearest.SURE) < 2e-3
 
 
