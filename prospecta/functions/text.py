@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +23,11 @@ def or_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What ``use`` makes of ``value``, which is made once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def words(c: Column) -> Column:
     """Maximal runs of a-z and 0-9 of the lowered text, in order; null gives none."""
     return F.filter(F.split(F.lower(or_empty(c)), "[^a-z0-9]+"), lambda x: F.length(x) >= 1)

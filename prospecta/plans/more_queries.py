@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from prospecta.functions import lists, text
 from prospecta.operators import drafts, enrichment, matching, pages, resumes, tracking
-from prospecta.plans import bindings
-from prospecta.plans.queries import _JOINED, APPS, PROFILES, RESUMES, _matches, first_of, present, query, strip
+from prospecta.plans import bindings, blocks
+from prospecta.plans.queries import _JOINED, _TREE, APPS, PROFILES, RESUMES, _matches, first_of, present, query, strip
 from prospecta.sources import files
 
 AS_OF = f"{bindings.AS_OF} 12:00:00"
@@ -118,15 +118,16 @@ def apply_scholar(spark, d):
     return enrichment.apply_scholar(profiles, works).select("id", F.get("scholar_interests", F.lit(0)).alias("interest"), F.size("publications").alias("n"))
 
 
-@query("""WITH n AS (SELECT page_id, unnest(range(0, (page_id % 23)::INT)) AS i FROM pages)
-SELECT page_id::VARCHAR AS id, CASE WHEN page_id % 2 = 0 THEN 'sums|logic & sets' ELSE '' END AS interests, coalesce((SELECT string_agg('t' || i::VARCHAR || ',' || CASE WHEN i % 3 = 0 THEN '-' ELSE (1900 + i)::VARCHAR END || ',' || CASE WHEN i % 4 = 0 THEN '-' ELSE i::VARCHAR END, '|' ORDER BY i) FROM n WHERE n.page_id = pages.page_id AND i BETWEEN 1 AND 20), '') AS works FROM pages""")
+@query(f"""WITH RECURSIVE {_TREE}, n AS (SELECT page_id, unnest(range(0, (page_id % 23)::INT)) AS i FROM pages),
+li AS (SELECT page_id, string_agg(array_to_string(said, ''), '|' ORDER BY pos) AS interests FROM held WHERE name = 'a' AND len(said) > 0 GROUP BY page_id)
+SELECT page_id::VARCHAR AS id, coalesce(interests, '') AS interests, coalesce((SELECT string_agg('t' || i::VARCHAR || '& more,' || CASE WHEN i % 3 = 0 THEN '-' ELSE (1900 + i)::VARCHAR END || ',' || CASE WHEN i % 4 = 0 THEN '-' ELSE i::VARCHAR END, '|' ORDER BY i) FROM n WHERE n.page_id = tk.page_id AND i BETWEEN 1 AND 20), '') AS works FROM tk LEFT JOIN li USING (page_id)""")
 def parse_scholar_pages(spark, d):
-    """Scholar pages made of each page's id: up to 22 works, the first without a title."""
+    """Each page as a scholar's: its own menu lists the interests, and up to 22 works follow, the first without a title."""
     n = F.col("page_id")
-    cell = lambda i: F.concat(F.lit('<tr class="gsc_a_tr"><td class="gsc_a_t"><a href="#" class="gsc_a_at">'), F.when(i > 0, F.concat(F.lit("t"), i.cast("string"))).otherwise(F.lit("")), F.lit('</a></td><td class="gsc_a_c"><a>'), F.when(i % 4 == 0, F.lit("*")).otherwise(i.cast("string")), F.lit("</a></td>"), F.when(i % 3 == 0, F.lit('<td class="gsc_a_y"></td>')).otherwise(F.concat(F.lit('<td class="gsc_a_y"><span>'), (i + 1900).cast("string"), F.lit("</span></td>"))), F.lit("</tr>"))
+    cell = lambda i: F.concat(F.lit('<tr class="gsc_a_tr"><td class="x gsc_a_t"><div><a href="#" class="gsc_a_at">'), F.when(i > 0, F.concat(F.lit("t"), i.cast("string"), F.lit(" <i>&amp; more</i>"))).otherwise(F.lit("")), F.lit('</a></div></td><td class="gsc_a_c"><p><a>'), F.when(i % 4 == 0, F.lit("*")).otherwise(i.cast("string")), F.lit("</a></td>"), F.when(i % 3 == 0, F.lit('<td class="gsc_a_y"></td>')).otherwise(F.concat(F.lit('<td class="gsc_a_y"><span>'), (i + 1900).cast("string"), F.lit("</span></td>"))), F.lit("</tr>"))
     rows = F.when(n % 23 > 0, F.array_join(F.transform(F.sequence(F.lit(0), (n % 23).cast("int") - 1), cell), "")).otherwise(F.lit(""))
-    interests = F.when(n % 2 == 0, F.lit('<a class="gsc_prf_inta gs_ibl">sums</a> <a class="gsc_prf_inta">logic &amp; sets</a>')).otherwise(F.lit(""))
-    read = pages.parse_scholar_pages(bindings.read(spark, d, "pages").select(n.cast("string").alias("id"), F.concat(interests, F.lit("<table>"), rows, F.lit("</table>")).alias("html")))
+    own = F.replace(text.or_empty(F.col("html")), F.lit("<nav>"), F.lit('<nav id="gsc_prf_int">'))
+    read = pages.parse_scholar_pages(blocks.spread(bindings.read(spark, d, "pages")).select(n.cast("string").alias("id"), F.concat(own, F.lit("<table>"), rows, F.lit("</table>")).alias("html")))
     work = lambda w: F.concat_ws(",", w["title"], F.coalesce(w["year"], F.lit("-")), F.coalesce(w["cited_by"].cast("string"), F.lit("-")))
     return read.select("id", F.array_join("scholar_interests", "|").alias("interests"), F.array_join(F.transform("publications", work), "|").alias("works"))
 

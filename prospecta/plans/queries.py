@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prospecta.functions import lists, text
-from prospecta.operators import drafts, enrichment, matching, pages, resumes, topics, tracking
+from prospecta.functions import lists, markup, text
+from prospecta.operators import drafts, elements, enrichment, matching, pages, resumes, topics, tracking
 from prospecta.plans import bindings, blocks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -168,53 +168,89 @@ def resolve_url(spark, d):
     return bindings.read(spark, d, "pages").select("page_id", pages.resolve_url(F.col("url")).alias("url"))
 
 
+# Pages as SQL reads them: tokens, then the stack of open elements tag by tag, and with each end tag what it closes.
+
+_REFERENCES = {"&nbsp;": " ", "&quot;": '"', "&lt;": "<", "&gt;": ">", "&middot;": "·", "&copy;": "©", "&amp;": "&"}
+
+
 def _decoded(x: str) -> str:
-    for name, char in pages._ENTITIES.items():
-        x = f"replace({x}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
+    for name, char in _REFERENCES.items():
+        x = f"replace({x}, '{name}', '{char}')"
     return x
 
 
-def _plain(x: str) -> str:
-    return strip(f"regexp_replace({_decoded(f"regexp_replace({x}, '<[^>]*>', ' ', 'g')")}, '\\s+', ' ', 'g')")
+_TOKENS = r"(?is)<!--.*?-->|<(?:script|style)\b[^>]*>.*?</(?:script|style)>|</?[a-z][^>]*>|<![^>]*>|[^<]+"
+_TAG = r"lower(regexp_extract(t[i + 1], '^</?([a-zA-Z][a-zA-Z0-9]*)', 1))"
+_ALONE = "('br', 'img', 'meta', 'link', 'hr', 'input', 'script', 'style')"
+_BACK = f"list_position(list_reverse(list_transform(open, lambda o: o.name)), {_TAG})"
+_TREE = f"""tk AS (SELECT page_id, url, regexp_extract_all(coalesce(html, ''), '{_TOKENS}') AS t FROM pages),
+tx AS (SELECT page_id, url, t, list_transform(t, lambda k: CASE WHEN NOT starts_with(k, '<') THEN {strip(_decoded('k'))} END) AS texts FROM tk),
+st AS (SELECT page_id, t, 0 AS i, []::STRUCT(pos INT, name VARCHAR)[] AS open, []::STRUCT(pos INT, stop INT, name VARCHAR)[] AS shut FROM tk
+ UNION ALL SELECT page_id, t, i + 1,
+ CASE WHEN {_TAG} = '' THEN open WHEN NOT starts_with(t[i + 1], '</') THEN CASE WHEN {_TAG} IN {_ALONE} THEN open ELSE list_append(open, {{'pos': i + 1, 'name': {_TAG}}}) END
+      WHEN coalesce({_BACK}, 0) > 0 THEN open[:len(open) - {_BACK}] ELSE open END,
+ CASE WHEN {_TAG} <> '' AND starts_with(t[i + 1], '</') AND coalesce({_BACK}, 0) > 0 THEN list_transform(open[len(open) - {_BACK} + 1:], lambda o: {{'pos': o.pos, 'stop': i + 1, 'name': o.name}}) ELSE [] END
+ FROM st WHERE i < len(t)),
+el AS (SELECT page_id, unnest(shut, recursive := true) FROM st UNION ALL SELECT page_id, unnest(list_transform(open, lambda o: {{'pos': o.pos, 'stop': (len(t) + 1)::INT, 'name': o.name}}), recursive := true) FROM st WHERE i = len(t)),
+held AS (SELECT page_id, pos, stop, name, list_filter(texts[pos + 1:stop - 1], lambda k: k <> '') AS said FROM el JOIN tx USING (page_id))"""
+
+
+def _tidy(x: str) -> str:
+    return strip(f"regexp_replace({x}, '\\s+', ' ', 'g')")
+
+
+_NAMES = "nm AS (SELECT page_id, arg_min(array_to_string(said, ' '), pos) AS name FROM held WHERE name = 'h1' GROUP BY page_id)"
 
 
-_NAME = _plain("regexp_extract(html, '(?is)<h1\\b[^>]*>(.*?)</h1\\s*>', 1)")
-_PARAGRAPHS = f"""list_filter(list_transform(regexp_split_to_array(coalesce(html, ''), '(?i)<p>')[2:], lambda x: {_plain("regexp_extract(x, '(?is)^(.*?)(?:</(?:p|article|section|main|div|body)[ ]*>|$)', 1)")}), lambda x: length(x) > 100)"""
+@query(f"WITH RECURSIVE {_TREE} SELECT page_id, pos - 1 AS pos, stop - 1 AS \"end\", name, array_to_string(said, ' ') AS text FROM held")
+def page_elements(spark, d):
+    """Every element of every page but those that hold nothing."""
+    found = elements.table(blocks.spread(bindings.read(spark, d, "pages").select("page_id", "html")))
+    return found.filter(~F.col("name").isin(*markup.VOID, *markup.RAW)).select("page_id", "pos", "end", "name", "text")
 
 
-@query(f"SELECT page_id, coalesce({_NAME}, '') AS name FROM pages")
+@query(f"WITH RECURSIVE {_TREE}, {_NAMES} SELECT page_id, coalesce(name, '') AS name FROM tk LEFT JOIN nm USING (page_id)")
 def extract_name(spark, d):
     return _fields(spark, d).select("page_id", "name")
 
 
-@query(f"""WITH g AS (SELECT page_id, url, coalesce({_NAME}, '') AS name, {_PARAGRAPHS} AS ps FROM pages)
-SELECT page_id, url, name, '' AS title, '' AS email, coalesce({strip("substring(list_filter(ps, lambda x: length(x) = list_max(list_transform(ps, lambda y: length(y))))[1], 1, 1200)")}, '') AS research_summary,
-'' AS lab_website, '' AS google_scholar, '' AS photo_url, '' AS phone, '' AS office FROM g""")
+@query(f"""WITH RECURSIVE {_TREE}, {_NAMES},
+ps AS (SELECT page_id, pos, {_tidy("array_to_string(said, ' ')")} AS p FROM held WHERE name = 'p' AND length(array_to_string(said, '')) > 100),
+lo AS (SELECT page_id, arg_min(p, (-length(p), pos)) AS p FROM ps GROUP BY page_id)
+SELECT page_id, url, coalesce(name, '') AS name, '' AS title, '' AS email, coalesce({strip("substring(p, 1, 1200)")}, '') AS research_summary,
+'' AS lab_website, '' AS google_scholar, '' AS photo_url, '' AS phone, '' AS office FROM tk LEFT JOIN nm USING (page_id) LEFT JOIN lo USING (page_id)""")
 def page_fields(spark, d):
-    """The tables' pages have a heading and paragraphs only; tests hold the other fields."""
+    """The tables' pages have a heading and paragraphs, some never closed; other fields are in ``profile_page_fields`` and the tests."""
     return _fields(spark, d)
 
 
-@query("SELECT page_id, 'Name of ' || page_id::VARCHAR AS name, CASE WHEN page_id % 4 = 3 THEN '' ELSE 'Professor of Sums' END AS title, CASE page_id % 4 WHEN 0 THEN 'm' || page_id::VARCHAR || '@x.org' WHEN 1 THEN 'a' || page_id::VARCHAR || '@x.org' ELSE '' END AS email, CASE WHEN page_id % 3 = 0 THEN 'engines | notes and more' ELSE 'Long ' || page_id::VARCHAR END AS research_summary, CASE WHEN page_id % 2 = 0 THEN 'https://lab' || page_id::VARCHAR || '.org/' ELSE '' END AS lab_website, CASE WHEN page_id % 2 = 1 THEN 'https://scholar.google.com/citations?user=U' || page_id::VARCHAR || '&hl=en' ELSE '' END AS google_scholar, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || '/p' || page_id::VARCHAR || '.jpg' AS photo_url, '555-' || page_id::VARCHAR AS phone, 'R ' || page_id::VARCHAR AS office FROM pages")
+@query(f"""WITH RECURSIVE {_TREE}, {_NAMES}
+SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'Name of ' || page_id::VARCHAR ELSE coalesce(name, 'Name of ' || page_id::VARCHAR) END AS name, CASE WHEN page_id % 4 = 3 THEN '' ELSE 'Professor of Sums' END AS title,
+CASE page_id % 4 WHEN 0 THEN 'm' || page_id::VARCHAR || '@x.org' WHEN 1 THEN 'a' || page_id::VARCHAR || '@x.org' ELSE '' END AS email,
+CASE WHEN page_id % 3 = 0 THEN 'engines | notes and more' ELSE {strip("substring(" + _tidy("array_to_string(list_concat(['Long ' || page_id::VARCHAR], list_filter(texts, lambda k: k <> '')), ' ')") + ", 1, 1200)")} END AS research_summary,
+CASE WHEN page_id % 2 = 0 THEN 'https://lab' || page_id::VARCHAR || '.org/' ELSE '' END AS lab_website, CASE WHEN page_id % 2 = 1 THEN 'https://scholar.google.com/citations?user=U' || page_id::VARCHAR || '&hl=en' ELSE '' END AS google_scholar,
+regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || '/p' || page_id::VARCHAR || '.jpg' AS photo_url, '555-' || page_id::VARCHAR AS phone, 'R ' || page_id::VARCHAR AS office FROM tx LEFT JOIN nm USING (page_id)""")
 def profile_page_fields(spark, d):
-    """Profile pages made of each page's id and URL, in several layouts, so that every field has a value."""
+    """Each page inside a profile's page of one of several layouts, so that every field has a value; names and summaries come from the page itself in part."""
     n, key = F.col("page_id"), F.col("page_id").cast("string")
     say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
-    label = lambda kind, value: say('<li><span class="profile__contact-label">', kind, "</span> ", value, "</li>")
+    label = lambda kind, value: say('<li><div><span class="profile__contact-label">', kind, "</span></div> ", value, "</li>")
+    own = text.or_empty(F.col("html"))
     html = F.concat(
-        F.when(n % 2 == 0, say("<h1>Name <i>of</i> ", key, "</h1>")).otherwise(say("<h2>Name of\n", key, "</h2>")),
-        F.when(n % 4 == 0, F.lit('<ul class="profile__titles"><li>Professor of Sums</li><li>Dean</li></ul>')).when(n % 4 == 3, F.lit('<p class="title">gardener</p>')).otherwise(F.lit('<p class="page title">Professor of Sums</p>')),
-        say('<div class="wide profile__image"><a href="/"><img alt="x" src="/p', key, '.jpg"></a></div><ul>'), F.when(n % 2 == 0, F.concat(label("Phone", say("555-", key)), label("Office", say("R ", key)))).otherwise(say('<a href="tel:555-', key, '">call</a><b>Office location</b><span>R ', key, "</span>")),
-        F.when(n % 4 == 0, label("Email", say('<a href="mailto:m', key, '@x.org">m</a>'))).when(n % 4 == 1, say('<div class="vcard">write to a', key, "@x.org</div>")).otherwise(F.lit("")), F.lit("</ul>"),
+        F.when(n % 2 == 0, say("<h1>Name <i>of</i> ", key, "</h1>")).otherwise(say("<h2>Name of ", key, "</h2>")),
+        F.when(n % 4 == 0, F.lit('<div class="profile__titles"><div></div><ul><li>Professor of Sums</li><li>Dean</li></ul></div>')).when(n % 4 == 3, F.lit('<p class="title">gardener</p>')).otherwise(F.lit('<p class="page title">Professor <b>of</b> Sums</p>')),
+        say('<div class="wide profile__image"><div>x</div><a href="/"><img alt="5 > 4" src="/a/../p', key, '.jpg"></a></div><ul class="profile__contact">'),
+        F.when(n % 2 == 0, F.concat(label("Phone", say("555-", key)), label("Office", F.lit("old")), label("Office", say("R ", key)))).otherwise(say('<a href="tel:555-', key, '">call</a><b>Office location</b><span>R ', key, "</span>")),
+        F.when(n % 4 == 0, label("Email", say('<a href="mailto:m', key, '@x.org">m</a>'))).when(n % 4 == 1, say('<div class="vcard"><div>write</div> to a', key, "@x.org</div>")).otherwise(F.lit("")), F.lit("</ul>"),
         F.when(n % 2 == 0, say('<a href="https://lab', key, '.org/">our lab</a>')).otherwise(say('<a href="https://scholar.google.com/citations?user=U', key, '&amp;hl=en">s</a>')),
-        F.when(n % 3 == 0, F.lit("<h3>Research Interests</h3><ul><li>engines</li><li>notes</li></ul><p>and <b>more</b></p><h3>Other</h3><p>no</p>")).otherwise(say('<div id="research-areas">Long ', key, "</div>")),
+        F.when(n % 3 == 0, say("<h3>Research Interests</h3><ul><li>engines</li><li>notes</li></ul><p>and <b>more</b></p><h3>Other</h3><div>", own)).otherwise(say('<div id="my-research-box"><div>Long ', key, "</div><section>", own, "</section></div>")),
     )
-    made = bindings.read(spark, d, "pages").select("page_id", "url", html.alias("html"))
+    made = blocks.spread(bindings.read(spark, d, "pages")).select("page_id", "url", html.alias("html"))
     return pages.extract_fields(made).drop("url")
 
 
 def _fields(spark, d):
-    return pages.extract_fields(bindings.read(spark, d, "pages").select("page_id", "url", "html"))
+    return pages.extract_fields(blocks.spread(bindings.read(spark, d, "pages").select("page_id", "url", "html")))
 
 
 # Matching and search
