@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prospecta.functions.text import before_pipe, dept_label, empty_to_null, occurrences, or_empty, strip, token_hits, tokenize
-from prospecta.plans import blocks
+from prospecta.plans import blocks, word_index
 
 TOP, MOST, LEAST_SCORE, RESUME_WEIGHT = 20, 50, 0.1, 0.35
 
@@ -95,9 +95,14 @@ def _search(counts: dict, weights: dict):
     return (sum(counts.values()) + 5.0 * (counts["name"] > 0) + 2.0 * (counts["summary"] > 0)) @ weights["times"]
 
 
-def match_scores(profiles: DataFrame, seekers: DataFrame, n: int = TOP) -> DataFrame:
-    """(session_id, id, seed_ord, score) of pairs that score, each seeker's best ``n`` among them; seekers have session_id, interest_tokens, resume_tokens."""
+def match_scores(profiles: DataFrame, seekers: DataFrame, n: int = TOP, index: str | None = None) -> DataFrame:
+    """(session_id, id, seed_ord, score) of pairs that score, each seeker's best ``n`` among them; seekers have session_id, interest_tokens, resume_tokens.
+
+    With ``index``, the path of these profiles' word index, texts aren't read.
+    """
     wanted = _weights(seekers, "session_id", interest="interest_tokens", resume="resume_tokens").withColumnRenamed("seeker", "key")
+    if index:
+        return word_index.best(profiles.sparkSession, index, wanted, word_index.matching(RESUME_WEIGHT, LEAST_SCORE), n).withColumnRenamed("key", "session_id")
     return blocks.best(profiles, wanted, ["interest", "resume"], _match, ["summary", "name", "department"], n, LEAST_SCORE).withColumnRenamed("key", "session_id")
 
 
@@ -111,13 +116,13 @@ def _or_first(best: DataFrame, keys: DataFrame, key: str, profiles: DataFrame, n
     return every.withColumn("_most", F.max("found").over(Window.partitionBy(key))).filter("found = _most").drop("found", "_most")
 
 
-def match_profiles(profiles: DataFrame, seekers: DataFrame, n: int = TOP, digits: int = 4) -> DataFrame:
+def match_profiles(profiles: DataFrame, seekers: DataFrame, n: int = TOP, digits: int = 4, index: str | None = None) -> DataFrame:
     """The best ``n`` profiles of each seeker with score, fit and rank; seekers without a match get the first ``n`` profiles.
 
     ``profiles`` carry seed_ord, the order that breaks ties. Texts are joined back after ranking.
     """
     n = min(n, MOST)
-    best = ranked(match_scores(profiles, seekers, n), "session_id", n, ["seed_ord"])
+    best = ranked(match_scores(profiles, seekers, n, index), "session_id", n, ["seed_ord"])
     every = _or_first(best, seekers, "session_id", profiles, n)
     top = F.max("score").over(Window.partitionBy("session_id"))
     return every.withColumn("fit_label", fit_label(F.col("score"), top)).withColumn("score", F.round("score", digits))
@@ -136,11 +141,15 @@ def search_and_rank(profiles: DataFrame, query: str, department: str | None = No
     return scored.filter("score > 0").orderBy(F.col("score").desc(), "seed_ord")
 
 
-def search_batch(profiles: DataFrame, queries: DataFrame, k: int = 24) -> DataFrame:
-    """(query_id, id, score, rank): the best ``k`` profiles for each row of ``queries`` (query_id, query)."""
+def search_batch(profiles: DataFrame, queries: DataFrame, k: int = 24, index: str | None = None) -> DataFrame:
+    """(query_id, id, score, rank): the best ``k`` profiles for each row of ``queries`` (query_id, query); with ``index`` texts aren't read."""
     asked = queries.select("query_id", tokenize(F.col("query")).alias("tokens"))
     wanted = _weights(asked, "query_id", times="tokens").withColumnRenamed("seeker", "key")
-    found = blocks.best(profiles, wanted, ["times"], _search, list(blocks.FIELDS), k, 0.5).withColumnRenamed("key", "query_id")
+    if index:
+        found = word_index.best(profiles.sparkSession, index, wanted, word_index.searching(0.5), k)
+    else:
+        found = blocks.best(profiles, wanted, ["times"], _search, list(blocks.FIELDS), k, 0.5)
+    found = found.withColumnRenamed("key", "query_id")
     none = asked.filter(F.size("tokens") == 0)
     return _or_first(ranked(found, "query_id", k, ["seed_ord"]), none, "query_id", profiles, k)
 

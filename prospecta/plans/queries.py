@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from prospecta.functions import lists, markup, text
 from prospecta.operators import drafts, elements, enrichment, matching, pages, resumes, topics, tracking
-from prospecta.plans import bindings, blocks
+from prospecta.plans import bindings, blocks, word_index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -281,6 +281,14 @@ def match_topn(spark, d):
     return matching.match_profiles(bindings.profiles(spark, d), _seekers(spark, d)).select("session_id", "id", "rank", "score", "fit_label")
 
 
+@query(f"WITH {_MATCHED} SELECT session_id, id, rank, score, fit_label FROM z")
+def match_topn_indexed(spark, d):
+    """The same from a word index, written first."""
+    profiles = bindings.profiles(spark, d)
+    index = word_index.scratch_index(blocks.spread(profiles))
+    return matching.match_profiles(profiles, _seekers(spark, d), index=index).select("session_id", "id", "rank", "score", "fit_label")
+
+
 @query(f"""WITH {PROFILES}, {SESSIONS} SELECT session_id, id, row_number() OVER (PARTITION BY session_id ORDER BY seed_ord)::INT AS rank, 1.0::DOUBLE AS score, 'strong_fit' AS fit_label FROM s CROSS JOIN p QUALIFY rank <= 7""")
 def match_without_words(spark, d):
     """Seekers whose words no profile has get the first profiles."""
@@ -385,6 +393,13 @@ def search_batch(spark, d):
     return matching.search_batch(bindings.profiles(spark, d), asked)
 
 
+@query(ORACLE_SQL["search_batch"])
+def search_batch_indexed(spark, d):
+    """The same from a word index, written first."""
+    asked, profiles = bindings.read(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("query")), bindings.profiles(spark, d)
+    return matching.search_batch(profiles, asked, index=word_index.scratch_index(blocks.spread(profiles)))
+
+
 @query("SELECT DISTINCT source AS department FROM documents WHERE source <> ''")
 def departments(spark, d):
     return matching.departments(bindings.profiles(spark, d))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from prospecta.functions.text import tokenize
 from prospecta.operators import matching
-from prospecta.plans import bindings
+from prospecta.plans import bindings, word_index
 from tests.conftest import DATA
 from tests.test_text import tokens
 
@@ -86,3 +86,26 @@ def test_publications_and_totals(spark):
     profiles = spark.createDataFrame([("1", "a"), ("2", ""), ("3", None), ("4", "a")], "id string, department string")
     assert matching.corpus_totals(profiles).first() == (4, 1)
     assert [r[0] for r in matching.departments(profiles).collect()] == ["a"]
+
+
+def test_word_index_agrees(spark, tmp_path):
+    """A stored index gives what a scan gives, for few seekers and for many, and no text is read then."""
+    rows, seekers, profiles, _ = fixture(spark)
+    path = str(tmp_path / "index")
+    word_index.build(profiles, path)
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("ab1") for _ in range(r.randint(1, 6)))
+    more = [*seekers, *((f"m{i}", " ".join(word() for _ in range(r.randint(0, 6))), " ".join(word() for _ in range(r.randint(0, 4)))) for i in range(300))]
+    for some in (seekers, more):
+        asked = spark.createDataFrame(some, "session_id string, i string, r string").select("session_id", tokenize(F.col("i")).alias("interest_tokens"), tokenize(F.col("r")).alias("resume_tokens"))
+        for n in (1, 5, 60):
+            # Every profile without its texts: what scores has to come from the index.
+            bare = profiles.select("id", "seed_ord", *[F.lit(None).cast("string").alias(c) for c in ("name", "title", "department", "research_summary")])
+            got = {}
+            for x in matching.match_profiles(bare, asked, n, index=path).collect():
+                got.setdefault(x.session_id, []).append((x["rank"], x.id, x.score))
+            for s, i, res in some:
+                scored = sorted(((-score(p, tokens(i), tokens(res)), p[5], p[0]) for p in rows if score(p, tokens(i), tokens(res)) >= 0.1)) or [(-1.0, p[5], p[0]) for p in rows]
+                assert sorted(got[s]) == [(k + 1, c, round(-a, 4)) for k, (a, _, c) in enumerate(scored[: min(n, 50)])], (s, i, res, n)
+    asked = spark.createDataFrame([(s, i) for s, i, _ in more], "query_id string, query string")
+    assert sorted(map(tuple, matching.search_batch(profiles, asked, 7, index=path).collect())) == sorted(map(tuple, matching.search_batch(profiles, asked, 7).collect()))
