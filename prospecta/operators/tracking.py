@@ -47,15 +47,23 @@ def create_applications(fields: DataFrame, as_of: str | None = None) -> tuple[Da
 
 
 def apply_changes(apps: DataFrame, changes: DataFrame, as_of: str | None = None) -> DataFrame:
-    """Applications after ``changes`` (seq, id, op 'update' or 'delete', fields map): the last change of an id decides; fields that it doesn't give stay; unknown ids are ignored."""
+    """Applications after ``changes`` (seq, id, op 'update' or 'delete', fields map), one after the other by seq.
+
+    A deleted row stays away, whatever comes later; each field has the last value given for it, null included (of one seq, the greatest); fields never given stay;
+    ids that aren't there are ignored. An id's changes are merged before they meet the table, partly before they are shuffled.
+    """
     now = F.to_timestamp(F.lit(as_of)) if as_of else F.current_timestamp()
-    last = changes.groupBy("id").agg(F.max_by(F.struct("op", "fields"), F.col("seq")).alias("_last"))
-    joined = apps.join(last, "id", "left").filter(F.col("_last").isNull() | (F.col("_last.op") != "delete"))
-    given = lambda c: F.map_contains_key(F.coalesce(F.col("_last.fields"), F.create_map().cast("map<string,string>")), c)
+    gone = changes.groupBy("id").agg(F.bool_or(F.col("op") == "delete").alias("gone"))
+    given = changes.filter("op = 'update'").select("id", "seq", F.explode("fields").alias("key", "value"))
+    last = given.groupBy("id", "key").agg(F.max_by(F.struct("value"), F.struct("seq", "value")).alias("last"))
+    fields = last.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("key", "last.value"))).alias("fields"))
+    merged = gone.join(fields, "id", "left").select("id", F.struct("gone", "fields").alias("merged change"))
+    joined, change = apps.join(merged, "id", "left"), F.col("`merged change`")
+    has = lambda c: F.coalesce(F.map_contains_key(change["fields"], c), F.lit(False))
     kinds = dict(apps.dtypes)
-    columns = [(F.when(given(c), F.element_at(F.col("_last.fields"), c).cast(kinds[c])).otherwise(F.col(c)) if c not in ("id", "lastUpdated") else F.col(c)).alias(c) for c in apps.columns]
-    columns = [F.when(F.col("_last").isNotNull(), now).otherwise(F.col("lastUpdated")).alias("lastUpdated") if c == "lastUpdated" else x for c, x in zip(apps.columns, columns, strict=True)]
-    return joined.select(*columns)
+    columns = [F.when(has(c), F.element_at(change["fields"], c).cast(kinds[c])).otherwise(F.col(f"`{c}`")).alias(c) if c not in ("id", "lastUpdated") else F.col(c) for c in apps.columns]
+    columns = [F.when(change.isNotNull(), now).otherwise(F.col("lastUpdated")).alias("lastUpdated") if c == "lastUpdated" else x for c, x in zip(apps.columns, columns, strict=True)]
+    return joined.filter(change.isNull() | ~change["gone"]).select(*columns)
 
 
 def filter_applications(apps: DataFrame, query: str = "", status: str | None = None) -> DataFrame:

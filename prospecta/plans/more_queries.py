@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from prospecta.functions import lists, text
 from prospecta.operators import drafts, enrichment, matching, pages, resumes, tracking
 from prospecta.plans import bindings, blocks
-from prospecta.plans.queries import _JOINED, _TREE, APPS, PROFILES, RESUMES, _matches, first_of, present, query, strip
-from prospecta.sources import files
+from prospecta.plans.queries import _JOINED, _TREE, APPS, ORACLE_SQL, PROFILES, RESUMES, _matches, first_of, present, query, strip
+from prospecta.sources import buckets, files, places
 
 AS_OF = f"{bindings.AS_OF} 12:00:00"
 
@@ -81,6 +79,17 @@ def upsert_profiles(spark, d):
     return files.upsert_profiles(current, known.filter("seed_ord % 3 = 0").select(F.col("seed_ord").alias("pos"), item.alias("item")))
 
 
+@query(ORACLE_SQL["upsert_profiles"])
+def upsert_bucketed(spark, d):
+    """The same on a table in buckets: first the ids that end in 7, then the rest."""
+    known, path = bindings.profiles(spark, d), places.scratch(spark, "profiles-buckets")
+    buckets.create(known.filter("seed_ord % 2 = 0").select("id", "name", "title", "department"), path)
+    item = F.create_map(F.lit("id"), F.col("id"), F.lit("name"), F.concat(F.lit("renamed "), F.col("id")), F.lit("title"), F.lit(None).cast("string"), F.lit("not a field"), F.lit("x"))
+    for part in (F.col("seed_ord") % 10 == 7, F.col("seed_ord") % 10 != 7):
+        files.upsert_bucketed(spark, path, known.filter("seed_ord % 3 = 0").filter(part).select(F.col("seed_ord").alias("pos"), item.alias("item")))
+    return buckets.read(spark, path)
+
+
 @query(f"WITH {PROFILES} SELECT id, name, NULL::VARCHAR AS phone FROM p")
 def bootstrap_if_empty(spark, d):
     known = bindings.profiles(spark, d)
@@ -134,11 +143,6 @@ def parse_scholar_pages(spark, d):
 
 # Files: written, and read back
 
-def _scratch(spark, label: str) -> str:
-    held = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{held.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 def _whole(spark, d):
     known, there = bindings.profiles(spark, d), ("id", "name", "title", "department", "profile_url", "research_summary")
     return known.select(*[F.col(f) if f in there else (F.array(F.col("id")) if f == "scholar_interests" else F.lit(None)).cast(files._LISTS.get(f, "string")).alias(f) for f in lists.PROFILE_FIELDS], "seed_ord")
@@ -149,7 +153,7 @@ _BACK = f"WITH {PROFILES} SELECT id, name, title, department, research_summary,
 
 @query(_BACK.format("id"))
 def write_profiles_json(spark, d):
-    path = _scratch(spark, "profiles-json")
+    path = places.scratch(spark, "profiles-json")
     files.write_profiles_json(_whole(spark, d), path)
     back = spark.read.schema(files.PROFILE_DDL).json(path)
     return back.select("id", "name", "title", "department", "research_summary", F.get("scholar_interests", F.lit(0)).alias("interests"))
@@ -157,7 +161,7 @@ def write_profiles_json(spark, d):
 
 @query(_BACK.format("'[\"' || id || '\"]'"))
 def write_profiles_csv(spark, d):
-    path = _scratch(spark, "profiles-csv")
+    path = places.scratch(spark, "profiles-csv")
     files.write_profiles_csv(_whole(spark, d), path)
     back = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("emptyValue", "").csv(path)
     return back.select("id", "name", "title", "department", "research_summary", F.col("scholar_interests").alias("interests"))
@@ -166,7 +170,7 @@ def write_profiles_csv(spark, d):
 @query(f"WITH {PROFILES} SELECT id, CASE WHEN department = 'src3' THEN 'new ' || name ELSE name END AS name, department FROM p WHERE department IS NOT NULL")
 def write_by_department(spark, d):
     """All departments, then one of them anew: the others stay."""
-    path, known = _scratch(spark, "departments"), bindings.profiles(spark, d).filter("department is not null").select("id", "name", "department")
+    path, known = places.scratch(spark, "departments"), bindings.profiles(spark, d).filter("department is not null").select("id", "name", "department")
     files.write_by_department(known, path)
     files.write_by_department(known.filter("department = 'src3'").withColumn("name", F.concat(F.lit("new "), F.col("name"))), path)
     return spark.read.schema("id string, name string, department string").parquet(path)
@@ -264,12 +268,24 @@ def create_applications(spark, d):
     return kept.union(rejected.select("professorName", F.lit(None).cast("string"), F.lit(False), "notes", F.lit(None).cast("timestamp_ntz")))
 
 
-@query(f"WITH {APPS} SELECT id, CASE WHEN seed_ord % 4 = 0 THEN 'Applied' ELSE status END AS status, CASE WHEN seed_ord % 4 = 0 THEN 'n' || id ELSE notes END AS notes, CASE WHEN seed_ord % 4 = 0 THEN TIMESTAMP '{AS_OF}' ELSE \"lastUpdated\" END AS \"lastUpdated\" FROM a WHERE seed_ord % 4 <> 1")
+_CHANGES = """ch AS (SELECT 1 AS seq, id, 'update' AS op, {'status': 'Closed', 'notes': 'n' || id, 'labName': NULL} AS f, ['status', 'notes', 'labName'] AS given, seed_ord % 4 IN (0, 1) AS made FROM a
+ UNION ALL SELECT 2, id, 'update', {'status': NULL, 'notes': 'again ' || id, 'labName': NULL}, ['notes'], seed_ord % 4 = 0 FROM a UNION ALL SELECT 3, id, 'delete', {'status': NULL, 'notes': NULL, 'labName': NULL}, [], seed_ord % 4 = 1 FROM a
+ UNION ALL SELECT 4, id, 'update', {'status': 'Applied', 'notes': NULL, 'labName': NULL}, ['status'], seed_ord % 8 < 2 FROM a UNION ALL SELECT 5, 'no such ' || id, 'update', {'status': 'Closed', 'notes': NULL, 'labName': NULL}, ['status'], seed_ord % 4 = 2 FROM a)"""
+
+
+def _folded(name: str) -> str:
+    return f"CASE WHEN len(list_filter(log, lambda c: list_contains(c.given, '{name}'))) > 0 THEN list_extract(list_filter(log, lambda c: list_contains(c.given, '{name}')), -1).f.\"{name}\" ELSE a.\"{name}\" END"
+
+
+@query(f"""WITH {APPS}, {_CHANGES}, lg AS (SELECT id, list({{'seq': seq, 'op': op, 'f': f, 'given': given}} ORDER BY seq) AS log FROM ch WHERE made GROUP BY id)
+SELECT a.id, {_folded('status')} AS status, {_folded('notes')} AS notes, {_folded('labName')} AS "labName", CASE WHEN log IS NULL THEN "lastUpdated" ELSE TIMESTAMP '{AS_OF}' END AS "lastUpdated"
+FROM a LEFT JOIN lg ON a.id = lg.id WHERE log IS NULL OR NOT list_contains(list_transform(log, lambda c: c.op), 'delete')""")
 def apply_changes(spark, d):
-    """A quarter of the applications are changed (twice), a quarter are deleted, and unknown ids are named."""
+    """A log of changes: some give several fields, then some of these again, then others; some delete, and an update follows; some name unknown ids."""
     apps = bindings.applications(spark, d)
-    n, fields = F.col("seed_ord"), lambda s: F.create_map(F.lit("status"), F.lit(s), F.lit("notes"), F.concat(F.lit("n"), F.col("id")))
-    change = lambda seq, op, s, when: apps.filter(when).select(F.lit(seq).alias("seq"), "id", F.lit(op).alias("op"), fields(s).alias("fields"))
-    changes = change(1, "update", "Closed", n % 4 == 0).union(change(2, "update", "Applied", n % 4 == 0)).union(change(1, "update", "Closed", n % 4 == 1)).union(change(3, "delete", "", n % 4 == 1))
-    changes = changes.union(change(4, "update", "Closed", n % 4 == 2).withColumn("id", F.concat(F.lit("no such "), F.col("id"))))
-    return tracking.apply_changes(apps, changes, AS_OF).select("id", "status", "notes", F.col("lastUpdated").cast("timestamp_ntz").alias("lastUpdated"))
+    n, text_or_null = F.col("seed_ord"), lambda x: F.lit(x).cast("string") if not hasattr(x, "cast") else x
+    change = lambda seq, op, when, **f: apps.filter(when).select(F.lit(seq).alias("seq"), "id", F.lit(op).alias("op"), F.create_map(*[x for k, v in f.items() for x in (F.lit(k), text_or_null(v))]).cast("map<string,string>").alias("fields"))
+    own = lambda start: F.concat(F.lit(start), F.col("id"))
+    log = change(1, "update", n % 4 < 2, status="Closed", notes=own("n"), labName=None).union(change(2, "update", n % 4 == 0, notes=own("again "))).union(change(3, "delete", n % 4 == 1))
+    log = log.union(change(4, "update", n % 8 < 2, status="Applied")).union(change(5, "update", n % 4 == 2, status="Closed").withColumn("id", own("no such ")))
+    return tracking.apply_changes(apps, log, AS_OF).select("id", "status", "notes", "labName", F.col("lastUpdated").cast("timestamp_ntz").alias("lastUpdated"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prospecta.functions.lists import PROFILE_FIELDS
+from prospecta.sources import buckets
 
 _LISTS = {"scholar_interests": "array<string>", "publications": "array<struct<title:string,year:string,cited_by:int>>"}
 PROFILE_DDL = ", ".join(f"{f} {_LISTS.get(f, 'string')}" for f in PROFILE_FIELDS)
@@ -82,6 +83,15 @@ def upsert_profiles(current: DataFrame, batch: DataFrame) -> DataFrame:
     return out.drop("_old")
 
 
+def upsert_bucketed(spark: SparkSession, path: str, batch: DataFrame) -> tuple[int, int]:
+    """(inserted, updated): ``upsert_profiles`` on a table that ``buckets.create`` made; only the buckets that ids of the batch fall in are read and rewritten."""
+    ids = batch.select(F.element_at("item", "id").alias("id"))
+    before = buckets.read(spark, path, buckets.named(spark, path, ids)).select("id")
+    counts = ids.filter("id is not null").distinct().join(before.withColumn("there", F.lit(True)), "id", "left").agg(F.count_if(F.col("there").isNull()), F.count_if(F.col("there").isNotNull())).first()
+    buckets.change(spark, path, ids, lambda part: upsert_profiles(part, batch))
+    return counts[0], counts[1]
+
+
 def bootstrap_if_empty(current: DataFrame, batch: DataFrame) -> DataFrame:
     """``batch`` in the columns of ``current`` if that has no rows, else ``current``."""
     if not current.isEmpty():

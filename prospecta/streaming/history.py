@@ -7,6 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from prospecta.operators.topics import record_search
 from prospecta.operators.tracking import apply_changes
+from prospecta.sources import buckets
 
 
 def search_counts(events: DataFrame, checkpoint: str, sink, query_col: str = "query") -> StreamingQuery:
@@ -15,10 +16,12 @@ def search_counts(events: DataFrame, checkpoint: str, sink, query_col: str = "qu
     return counted.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(sink).start()
 
 
-def application_changes(changes: DataFrame, checkpoint: str, load, store) -> StreamingQuery:
-    """Applies each batch of changes to the table that ``load()`` reads and ``store(df, batch_id)`` writes; a batch that comes twice must be stored once, by its id."""
+def application_changes(changes: DataFrame, checkpoint: str, path: str) -> StreamingQuery:
+    """Applies each batch of changes to the bucketed table of applications at ``path``: only the buckets that it names are rewritten, and a batch that comes again changes nothing."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        store(apply_changes(load(batch.sparkSession), batch), batch_id)
+        kept = batch.persist()
+        buckets.change(batch.sparkSession, path, kept.select("id"), lambda apps: apply_changes(apps, kept), batch_id)
+        kept.unpersist()
 
     return changes.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(step).start()

@@ -126,17 +126,3 @@ def test_search_history_stream(spark, tmp_path):
         stream = spark.readStream.schema("query string").parquet(str(tmp_path / "in"))
         history.search_counts(stream, str(tmp_path / "ck"), sink).awaitTermination()
     assert kept == {r.q: r.n for r in record_search(spark.read.parquet(str(tmp_path / "in"))).collect()} == {"ai": 3, "robots": 2}
-
-
-def test_change_stream(spark, tmp_path):
-    state = {"df": apps(spark)}
-
-    def store(df, _):
-        path = str(tmp_path / f"v{len(os.listdir(tmp_path))}")
-        df.write.parquet(path)
-        state["df"] = spark.read.parquet(path)
-
-    spark.createDataFrame([(1, "1", "delete", None)], "seq int, id string, op string, fields map<string,string>").write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("seq int, id string, op string, fields map<string,string>").parquet(str(tmp_path / "in"))
-    history.application_changes(stream, str(tmp_path / "ck"), lambda _: state["df"], store).awaitTermination()
-    assert sorted(r.id for r in state["df"].collect()) == ["2", "3"]
