@@ -133,12 +133,16 @@ def filter_profiles(profiles: DataFrame, department: str | None = None, has_rese
     return out.filter(F.col("research_summary").rlike(r"(?U)\S")) if has_research else out
 
 
-def search_and_rank(profiles: DataFrame, query: str, department: str | None = None, has_research: bool = False) -> DataFrame:
-    """Profiles that match a query, best first; an empty query keeps all in input order with score 1."""
+def scored(profiles: DataFrame, query: str, department: str | None = None, has_research: bool = False) -> DataFrame:
+    """Profiles that match a query, with score, in no order; an empty query keeps all with score 1."""
     score = search_score(F.col("research_summary"), F.col("name"), F.col("title"), F.col("department"), tokenize(F.lit(query)))
     # Exploded from an array of one, the score is made once; a plain column would be made again for the filter and the sort.
-    scored = filter_profiles(profiles, department, has_research).select("*", F.explode(F.array(score)).alias("score"))
-    return scored.filter("score > 0").orderBy(F.col("score").desc(), "seed_ord")
+    return filter_profiles(profiles, department, has_research).select("*", F.explode(F.array(score)).alias("score")).filter("score > 0")
+
+
+def search_and_rank(profiles: DataFrame, query: str, department: str | None = None, has_research: bool = False) -> DataFrame:
+    """Profiles that match a query, best first; without words all in input order."""
+    return scored(profiles, query, department, has_research).orderBy(F.col("score").desc(), "seed_ord")
 
 
 def search_batch(profiles: DataFrame, queries: DataFrame, k: int = 24, index: str | None = None) -> DataFrame:
@@ -155,7 +159,7 @@ def search_batch(profiles: DataFrame, queries: DataFrame, k: int = 24, index: st
 
 
 def paginate(df: DataFrame, page: int, order: list, size: int = 24) -> DataFrame:
-    """One page; page numbers beyond the ends are taken as the nearest page."""
+    """One page by sorting up to it: for the first pages of a result. ``plans.ranks`` gives pages of any depth; numbers beyond the ends are taken as the nearest page."""
     if not isinstance(page, int):
         raise TypeError("page must be a whole number")
     pages = max(1, -(-df.count() // size))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prospecta.functions.text import is_generic, or_empty, strip, title_case
@@ -24,14 +24,24 @@ def top_topics(profiles: DataFrame, n: int = 30) -> DataFrame:
     return counted.orderBy(F.col("count").desc(), "first").limit(n).select(title_case(F.col("q")).alias("label"), "q", "count", "first")
 
 
+def searched_words(query: Column) -> Column:
+    return F.lower(strip(or_empty(query)))
+
+
 def record_search(events: DataFrame, query_col: str = "query") -> DataFrame:
     """(q, n): how often each query was made. The same on a stream, with state by q."""
-    return events.select(F.lower(strip(or_empty(F.col(query_col)))).alias("q")).filter(F.length("q") >= 2).groupBy("q").agg(F.count(F.lit(1)).alias("n"))
+    return events.select(searched_words(F.col(query_col)).alias("q")).filter(F.length("q") >= 2).groupBy("q").agg(F.count(F.lit(1)).alias("n"))
+
+
+def top(scored: DataFrame, n: int) -> DataFrame:
+    """The ``n`` best; of equal scores topics come first, in their order, then terms."""
+    return scored.orderBy(F.col("score").desc(), F.col("first").isNull(), "first", "q").limit(n)
 
 
-def merge_topics(topics: DataFrame, searches: DataFrame, n: int = 15) -> DataFrame:
+def merge_topics(topics: DataFrame, searches: DataFrame, n: int = 15, with_first: bool = False) -> DataFrame:
     """(label, q, score): topics lifted by three for each search; terms searched twice or more join in."""
     both = topics.select("q", "label", "count", "first").join(searches, "q", "full_outer")
     score = F.coalesce("count", F.lit(0)) + 3 * F.coalesce("n", F.lit(0))
     kept = both.filter(F.col("label").isNotNull() | ((F.col("n") >= 2) & (F.length("q") >= 3)))
-    return kept.select(F.coalesce("label", title_case(F.col("q"))).alias("label"), "q", score.alias("score"), "first").orderBy(F.col("score").desc(), F.col("first").isNull(), "first", "q").limit(n).select("label", "q", "score")
+    best = top(kept.select(F.coalesce("label", title_case(F.col("q"))).alias("label"), "q", score.alias("score"), "first"), n)
+    return best if with_first else best.select("label", "q", "score")

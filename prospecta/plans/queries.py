@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from prospecta.functions import lists, markup, text
 from prospecta.operators import drafts, elements, enrichment, matching, pages, resumes, topics, tracking
-from prospecta.plans import bindings, blocks, word_index
+from prospecta.plans import bindings, blocks, ranks, word_index
+from prospecta.sources import buckets, places
+from prospecta.streaming import history
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -371,10 +373,31 @@ def search_rank_one(spark, d):
 @query(f"WITH {PROFILES}, {_SEARCH} SELECT id, score, row_number() OVER (ORDER BY score DESC, seed_ord)::INT AS place FROM q WHERE score > 0 ORDER BY score DESC, seed_ord LIMIT 24 OFFSET 24")
 def search_page(spark, d):
     """The second page of results, with places."""
-    found = matching.search_and_rank(blocks.spread(bindings.profiles(spark, d)), "Thing nation, en doc!")
-    page = matching.paginate(found, 2, [F.col("score").desc(), "seed_ord"])
-    place = F.row_number().over(matching.Window.orderBy(F.col("score").desc(), "seed_ord"))
-    return page.select("id", "score", (place + 24).alias("place"))
+    return ranks.page(spark, _ranked(spark, d), 2).select("id", "score", F.col("rank").cast("int").alias("place"))
+
+
+def _ranked(spark, d) -> str:
+    path = places.scratch(spark, "ranks")
+    found = matching.scored(blocks.spread(bindings.profiles(spark, d)), "Thing nation, en doc!")
+    ranks.write(found.select("id", "score", "seed_ord"), [F.col("score").desc(), F.col("seed_ord")], path)
+    return path
+
+
+@query(f"WITH {PROFILES}, {_SEARCH}, r AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, seed_ord) AS place FROM q WHERE score > 0) SELECT id, score, place::INT AS place, ceil(place / 24)::BIGINT AS page FROM r")
+def search_pages(spark, d):
+    """All pages of the results: places without a sort in one task."""
+    return ranks.rows(spark, _ranked(spark, d)).select("id", "score", F.col("rank").cast("int").alias("place"), F.ceil(F.col("rank") / 24).cast("long").alias("page"))
+
+
+@query("""WITH r AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS place, count(*) OVER (PARTITION BY source) AS total FROM documents WHERE source IS NOT NULL),
+w AS (SELECT DISTINCT source, least(greatest(page, 1), greatest(ceil(total / 24), 1)) AS page FROM r, (SELECT unnest([2, 99]) AS page))
+SELECT source, doc_id, place, ceil(place / 24)::BIGINT AS page FROM r JOIN w USING (source) WHERE ceil(place / 24) = page""")
+def group_pages(spark, d):
+    """A batch of pages: of each source's documents, longest first, the second page and the last."""
+    docs, path = bindings.read(spark, d, "documents").filter("source is not null"), places.scratch(spark, "ranks")
+    ranks.write(docs.select("source", "doc_id", "n_chars"), [F.col("n_chars").desc(), F.col("doc_id")], path, ["source"])
+    asked = docs.select("source").distinct().withColumn("page", F.explode(F.array(F.lit(2), F.lit(99))))
+    return ranks.pages(spark, path, asked, "source").select("source", "doc_id", F.col("rank").alias("place"), "page")
 
 
 @query(f"WITH {PROFILES}, {_SEARCH} SELECT count(*) AS results, greatest(1, ceil(count(*) / 24))::BIGINT AS pages FROM q WHERE score > 0")
@@ -466,6 +489,23 @@ def merge_topics(spark, d):
     return topics.merge_topics(topics.top_topics(_piped(spark, d)), topics.record_search(bindings.read(spark, d, "events"), "event_type"))
 
 
+def _arriving(spark, df, order: list[str], files: int = 4):
+    """A table as a stream of ``files`` files, one to a batch."""
+    path = places.scratch(spark, "arrivals")
+    df.repartitionByRange(files, *order).write.parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query(ORACLE_SQL["merge_topics"])
+def live_topics(spark, d):
+    """The same from a stream of searches, batch by batch."""
+    events, path = bindings.read(spark, d, "events"), places.scratch(spark, "live-topics")
+    found = topics.top_topics(_piped(spark, d)).persist()
+    history.live_topics(_arriving(spark, events, ["event_id"]), found, places.scratch(spark, "stream"), path, query_col="event_type").awaitTermination()
+    found.unpersist()
+    return buckets.read(spark, path).select("label", "q", "score")
+
+
 # Résumés
 
 def _parts(variant: str) -> str:
@@ -672,6 +712,15 @@ def saved_from_events(spark, d):
     return tracking.saved_from_events(_saves(spark, d))
 
 
+@query(f"WITH {_SAVED} SELECT user_id, profile_id FROM sv")
+def saved_stream(spark, d):
+    """The same from a stream of events that come out of order."""
+    path = places.scratch(spark, "saved")
+    arriving = _arriving(spark, _saves(spark, d), ["profile_id", "event_id"])
+    history.saved_profiles(arriving, places.scratch(spark, "stream"), path, "60 days").awaitTermination()
+    return buckets.read(spark, path).select("user_id", F.explode("profiles").alias("profile_id"))
+
+
 @query(f"WITH {PROFILES}, {_SAVED} SELECT user_id, id, name FROM sv JOIN p ON id = profile_id")
 def saved_profiles(spark, d):
     return tracking.saved_profiles(bindings.profiles(spark, d), tracking.saved_from_events(_saves(spark, d))).select("user_id", "id", "name")

@@ -38,6 +38,10 @@ def _found(spark: SparkSession, pattern: str) -> list[str]:
     return [str(f.getPath()) for f in found or []]
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    return bool(_found(spark, f"{path}/manifest/*/_SUCCESS"))
+
+
 def manifest(spark: SparkSession, path: str) -> Manifest:
     """The newest whole one."""
     versions = [int(p.split("/")[-2]) for p in _found(spark, f"{path}/manifest/*/_SUCCESS")]
