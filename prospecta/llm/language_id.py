@@ -14,7 +14,6 @@ is ``und``; with one language all texts get it. Extra columns are ignored. Repea
 
 from __future__ import annotations
 
-import re
 
 import numpy as np
 import pandas as pd
@@ -39,7 +38,6 @@ FAMILIES = {
     "austronesian": ("id", "ms", "tl", "jv"),
 }
 _FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes}
-_LETTER = re.compile(r"[^\W\d_]")
 #: Letters and the bytes of all other scripts stand for themselves; the rest separates words.
 _BYTES = np.array([b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256)], dtype=np.uint32)
 
@@ -98,7 +96,7 @@ class Model:
         return best, float(1 / (1 + np.exp(-3 * min(against))))
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.by_family or not _LETTER.search(text):
+        if not text or not self.by_family or not any(map(str.isalpha, text)):
             return UNDETERMINED, 0.0
         x = features(text)
         family, sure = self._vote("family", sorted(self.by_family), x)
