@@ -6,18 +6,21 @@ become typed placeholders, the rest lower case. In a second form every capitalis
 and documents are looked up in both, and each form is verified by itself. Windows of ``WINDOW`` canonical words of benchmark items are joined
 by hash with those of all documents, so a question with other numbers or names still meets its template. Matches are
 aligned (document position minus item position); on each alignment the words are compared in full and the slots must
-be consistent: one value of the item's slots always stands for one value of the document's. What the consistent
-alignments cover of an item decides: ``WORDS`` words, or ``SHARE`` of a shorter item.
+be consistent: one name of the item's always stands for one name of the document's, the one that most of its places there have, and windows
+that say otherwise don't count; numbers and units may differ from place to place. What the other windows cover of an item
+decides: ``WORDS`` words, or ``SHARE`` of a shorter item.
+
+A window with fewer than half literal words says little. It is looked up by its words as they are (the third form: lower case, values
+included), so that exact copies are found, and by a longer template that starts where it does: of twice or four times its length, the
+first that has as many literal words as half a window; or the whole item, if that is no longer than four windows and has two literal words.
 
 Document windows are made, exploded and looked up within one task and never shuffled while the benchmark's windows
 are small enough to be broadcast (checked); beyond that the join shuffles hashes. Only documents that matched are
 read a second time, to compare words.
 
-Defined results: null and empty texts match nothing; an item under ``WINDOW`` words is one window, of all its words;
-windows with fewer than half literal words are looked up by their words as they are (the third form: lower case, values
-included), so that exact copies are found, unless the item is one window, which is looked up by its template; rows that share a
+Defined results: null and empty texts match nothing; an item under ``WINDOW`` words is one window, of all its words; rows that share a
 doc_id are compared each; rows with a null doc_id or item_id can't be named and match nothing. Extra columns pass
-through ``clean``.
+through ``clean``, whatever their names.
 """
 
 from __future__ import annotations
@@ -91,6 +94,28 @@ def _looked_up(texts: DataFrame, forms: list[int], lengths: list[int]) -> DataFr
     return texts.select("doc", each).select("doc", "w.form", "w.len", F.posexplode("w.hashes").alias("pos", "hash"))
 
 
+def _at(words: Column, a: Column, n: Column) -> Column:
+    """The hash of a window."""
+    return F.xxhash64(F.slice(F.transform(words, lambda w: F.xxhash64(w)), a + 1, n))
+
+
+def _literals(words: Column, a: Column, n: Column) -> Column:
+    return F.size(F.filter(F.slice(words, a + 1, n), lambda w: ~_is_slot(w)))
+
+
+def _item_windows(form: Column, words: Column, plainest: Column, window: int) -> Column:
+    """(at, len, hash) of the windows that an item is looked up by in a form; ``plainest`` are its words in the first form."""
+    total, half, none = F.size(words), (window + 1) // 2, F.array().cast("array<struct<at:int,len:int,hash:bigint>>")
+    made = lambda a, n: F.struct(a.alias("at"), n.cast("int").alias("len"), _at(words, a, n).alias("hash"))
+    starts = F.sequence(F.lit(0), F.greatest(total - window, F.lit(0)))
+    sparse = lambda a: (_literals(words, a, F.lit(window)) < half) & (total > window)
+    enough = lambda a, n: (a + n <= total) & (_literals(words, a, F.lit(n)) >= half)
+    longer = lambda a: F.when(enough(a, 2 * window), F.lit(2 * window)).when(enough(a, 4 * window), F.lit(4 * window)).when((total <= 4 * window) & (_literals(words, F.lit(0), total) >= 2), total)
+    by_template = F.transform(starts, lambda a: F.when(~sparse(a), made(a, F.least(total, F.lit(window)))).when(longer(a) == total, made(F.lit(0), total)).when(longer(a).isNotNull(), made(a, longer(a))))
+    as_is = F.transform(F.filter(starts, lambda a: (_literals(plainest, a, F.lit(window)) < half) & (total > window)), lambda a: made(a, F.lit(window)))
+    return F.array_distinct(F.coalesce(F.when(form == AS_IS, as_is).otherwise(F.filter(by_template, lambda w: w.isNotNull())), none))
+
+
 def _is_slot(word: Column) -> Column:
     return word.isin(NUMBER, NAME, UNIT)
 
@@ -100,30 +125,38 @@ def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     texts = docs.select(F.col(f"`{id_col}`").alias("doc"), plain(F.col(f"`{text_col}`")).alias("text")).filter("doc is not null")
     known = items.select(F.col(f"`{item_col}`").alias("item"), plain(F.col(f"`{item_text_col}`")).alias("text")).filter("item is not null")
     known = written(known.select("item", raw_words(F.col("text")).alias("item_raw"), _forms(F.col("text")).alias("item_forms")).filter(F.size("item_raw") > 0), "bench-items")
-    looked_up = known.select("item", "item_forms", F.posexplode("item_forms").alias("form", "item_words")).select("item", "item_forms", "form", "item_words", F.posexplode(windows(F.col("item_words"), window)[0]["hashes"]).alias("at", "hash"))
-    literal = lambda array, a: F.size(F.filter(F.slice(array, a + 1, window), lambda w: ~_is_slot(w))) * 2 >= window
-    sparse = lambda a: ~literal(F.get("item_forms", F.lit(0)), a) & (F.size("item_words") > window)
-    wanted = F.when(F.col("form") == AS_IS, sparse(F.col("at"))).otherwise(literal("item_words", F.col("at")) | (F.size("item_words") <= window))
-    looked_up = written(looked_up.filter(wanted).select("hash", "form", "item", "at", F.least(F.size("item_words"), F.lit(window)).alias("len")).distinct(), "bench-windows")
+    each = known.select("item", "item_forms", F.posexplode("item_forms").alias("form", "item_words"))
+    wanted = each.select("item", "form", F.explode(_item_windows(F.col("form"), F.col("item_words"), F.get("item_forms", F.lit(INSIDE)), window)).alias("w"))
+    looked_up = written(wanted.select(F.col("w.hash").alias("hash"), "form", "item", F.col("w.at").alias("at"), F.col("w.len").alias("len")).distinct(), "bench-windows")
     # One pass over the documents, in the forms and lengths that the benchmark has: a form that no item is looked up in isn't
     # made, and items shorter than a window are one of their own length.
-    kinds = looked_up.select("form", "len").distinct().collect()  # 3 * `window` rows at most
+    kinds = looked_up.select("form", "len").distinct().collect()  # 3 forms, `4 * window` lengths at most
     forms, lengths = sorted({r["form"] for r in kinds}) or [INSIDE], sorted({r["len"] for r in kinds}) or [window]
     matched = _looked_up(texts, forms, lengths).join(checked(looked_up), ["hash", "form", "len"])
-    aligned = matched.select("doc", "item", (F.col("pos") - F.col("at")).alias("shift"), "at", "len").groupBy("doc", "item", "shift").agg(F.collect_set("at").alias("at"), F.max("len").alias("len"))
+    aligned = matched.select("doc", "item", (F.col("pos") - F.col("at")).alias("shift"), F.struct("form", "at", "len").alias("window")).groupBy("doc", "item", "shift").agg(F.collect_set("window").alias("windows"))
     aligned = written(aligned, "bench-aligned")
     named = checked(written(aligned.select(F.col("doc").alias("_doc")).distinct(), "bench-docs"))
     again = texts.join(named, F.col("doc") == F.col("_doc")).select("doc", raw_words(F.col("text")).alias("doc_raw"), _forms(F.col("text")).alias("doc_forms"))
     here = lambda array, p: F.get(F.col(array), p + F.col("shift"))
-    side = aligned.join(checked(known), "item").join(again, "doc").select("doc", "item", "shift", "at", "len", "item_raw", "doc_raw", "doc_forms", "item_forms", F.posexplode("item_forms").alias("form", "item_words"))
+    side = aligned.join(checked(known), "item").join(again, "doc").select("doc", "item", "shift", "windows", "item_raw", "doc_raw", "doc_forms", F.posexplode("item_forms").alias("form", "item_words"))
     side = side.withColumn("doc_words", F.get("doc_forms", F.col("form")))
-    # Each form is held against the words by itself: the windows that are equal in it, and its own slots.
-    same = lambda a: F.forall(F.sequence(a, a + F.col("len") - 1), lambda p: here("doc_words", p).eqNullSafe(F.get("item_words", p)))
-    side = side.withColumn("covered", F.array_distinct(F.flatten(F.transform(F.filter("at", lambda a: same(a) & ((F.col("form") != AS_IS) | sparse(a))), lambda a: F.sequence(a, a + F.col("len") - 1)))))
+    # Each form is held against the words by itself: the windows that are equal in it, and its own slots. What was found by the words as they are is equal in every form.
+    places = lambda w: F.sequence(w["at"], w["at"] + w["len"] - 1)
+    same = lambda w: w["form"].isin(AS_IS, F.col("form")) & F.forall(places(w), lambda p: here("doc_words", p).eqNullSafe(F.get("item_words", p)))
+    side = side.withColumn("windows", F.filter("windows", same)).filter(F.size("windows") > 0)
+    # What each name of the item's stands for, place by place; the value that most places have is what it stands for.
+    pair = lambda p: F.struct(F.lower(F.get("item_raw", p)).alias("b"), F.lower(here("doc_raw", p)).alias("d"))
+    names = F.filter(F.array_distinct(F.flatten(F.transform("windows", places))), lambda p: F.get("item_words", p) == NAME)
+    side = side.withColumn("pairs", F.transform(names, pair))
+    votes = F.transform(F.array_distinct("pairs"), lambda x: F.struct(x["b"].alias("b"), F.size(F.filter("pairs", lambda y: y == x)).alias("n"), x["d"].alias("d")))
+    side = side.withColumn("votes", votes)
+    beaten = lambda v: F.exists("votes", lambda u: (u["b"] == v["b"]) & ((u["n"] > v["n"]) | ((u["n"] == v["n"]) & (u["d"] < v["d"]))))
+    side = side.withColumn("wrong", F.transform(F.filter("votes", beaten), lambda v: F.struct(v["b"].alias("b"), v["d"].alias("d"))))
+    sound = lambda w: ~F.exists(places(w), lambda p: (F.get("item_words", p) == NAME) & F.array_contains("wrong", pair(p)))
+    side = side.withColumn("covered", F.array_distinct(F.flatten(F.transform(F.filter("windows", sound), places))))
     slots = F.filter("covered", lambda p: _is_slot(F.get("item_words", p)))
-    pairs = F.array_distinct(F.transform(slots, lambda p: F.struct(F.lower(F.get("item_raw", p)).alias("b"), F.lower(here("doc_raw", p)).alias("d"))))
-    checked_pairs = side.filter(F.size("covered") > 0).select("doc", "item", "covered", F.size("item_words").alias("total"), slots.alias("slots"), pairs.alias("pairs"), F.transform(F.filter(slots, lambda p: F.lower(F.get("item_raw", p)) != F.lower(here("doc_raw", p))), lambda p: p).alias("changed"))
-    consistent = checked_pairs.filter(F.size(F.array_distinct(F.transform("pairs", lambda x: x["b"]))) == F.size("pairs"))
+    changed = F.filter("covered", lambda p: _is_slot(F.get("item_words", p)) & (F.lower(F.get("item_raw", p)) != F.lower(here("doc_raw", p))))
+    consistent = side.select("doc", "item", "covered", F.size("item_words").alias("total"), slots.alias("slots"), changed.alias("changed"))
     union = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c))))
     per_item = consistent.groupBy("doc", "item").agg(F.first("total").alias("item_words"), union("covered").alias("covered"), union("slots").alias("slots"), union("changed").alias("changed"))
     given_away = (F.col("covered") >= words) | (F.col("covered") >= F.ceil(F.col("item_words") * F.lit(share)))
@@ -132,5 +165,6 @@ def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that give no item away, all columns."""
-    leaked = written(hits(docs, items, id_col, text_col, **options).select(F.col(id_col).alias("_leaked")).distinct(), "bench-leaked")
-    return docs.join(checked(leaked), F.col(f"`{id_col}`") == F.col("_leaked"), "left_anti")
+    leaked = written(hits(docs, items, id_col, text_col, **options).select(F.col(id_col).alias("leaked")).distinct(), "bench-leaked")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id of a row"))
+    return rows.join(checked(leaked), F.col("`id of a row`") == F.col("leaked"), "left_anti").select("row.*")

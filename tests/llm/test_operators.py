@@ -518,11 +518,15 @@ ITEM = "If Tom buys 12 apples at 3 dollars each and Anna buys 5 apples, then how
 
 def test_decontamination(spark):
     other = ITEM.replace("12", "77").replace("Tom", "Bob").replace("Anna", "Eve").replace("3 dollars", "9 euros")
-    mixed = ITEM.replace("Tom buys", "Bob buys").replace("Anna buys", "Eve buys")  # the names' second places disagree
+    mixed = ITEM.replace("Tom buys", "Bob buys").replace("Anna buys", "Eve buys")  # the names' second places disagree: their windows don't count, the others do
     items = spark.createDataFrame([(1, ITEM), (2, "short item of words"), (3, None), (None, ITEM), (4, ""), (5, "1 2 3 4 5 6 7 8 9 10 11 12 13 14")], "item_id long, text string")
     rows = [*ODD, (20, f"Filler text. {ITEM} More of it."), (21, f"so {other}?"), (22, f"so {mixed}?"), (23, "nothing in this document says if anyone buys 3 apples at all"), (24, "a short item of words"), (25, None), (26, ITEM[:40]), (27, "7 7 7 7 7 7 7 7 7 7 7 7 7 7 7 7")]
     got = {(r.doc_id, r.item_id): r for r in decontaminate.hits(documents(spark, rows, clashing=True), items).collect()}
-    assert set(got) == {(20, 1), (21, 1), (24, 2)} and got[(20, 1)].changed == 0 and got[(21, 1)].changed >= 5
+    assert set(got) == {(20, 1), (21, 1), (22, 1), (24, 2)} and got[(20, 1)].changed == 0 and got[(21, 1)].changed >= 5 and got[(22, 1)].covered < got[(21, 1)].covered
+    # Where a name would have to stand for several all along, too little is left.
+    pair = spark.createDataFrame([(1, "then Tom met Anna and Tom told Anna that Tom saw Anna near Tom and Anna")], "item_id long, text string")
+    people = [(1, "then Bob met Eve and Bob told Eve that Bob saw Eve near Bob and Eve"), (2, "then Bob met Eve and Max told Ida that Kim saw Liv near Pia and Zoe")]
+    assert rows_of(decontaminate.hits(documents(spark, people), pair), "doc_id") == [(1,)]
     assert rows_of(decontaminate.clean(documents(spark, [(1, ITEM), (2, "clean"), (None, ITEM)]), items), "doc_id") == [(2,), (None,)]
     assert decontaminate.hits(documents(spark, []), items).count() == decontaminate.hits(documents(spark, ODD), items.limit(0)).count() == 0
 
@@ -541,13 +545,32 @@ def test_decontamination_finds_exact_copies_that_are_mostly_slots(spark):
     items = spark.createDataFrame([(1, sums), (2, " ".join(map(str, range(1, 15))))], "item_id long, text string")
     rows = [(1, f"Some text first. {sums} And more."), (2, sums.replace("12", "13").replace("7", "9")), (3, "so 1 2 3 4 5 6 7 8 9 10 11 12 13 14 go"), (4, "7 " * 20), (5, sums.upper())]
     got = {(r.doc_id, r.item_id): r for r in decontaminate.hits(documents(spark, rows), items).collect()}
-    assert set(got) == {(1, 1), (3, 2), (5, 1)} and got[(1, 1)].covered == 10 and got[(1, 1)].slots == 8 and got[(1, 1)].changed == 0
+    # The second has other numbers: the whole item is its template. An item of numbers alone has none, and is found as it is.
+    assert set(got) == {(1, 1), (2, 1), (3, 2), (5, 1)} and got[(1, 1)].covered == 10 and got[(1, 1)].slots == 8 and got[(1, 1)].changed == 0 and got[(2, 1)].changed == 2
+
+
+def test_decontamination_of_repeated_values(spark):
+    """Equal numbers of an item may become different ones; one changed number costs no more than its windows; a name has to stay one name, where most of its places say so."""
+    pears = "Tom has 3 apples and 3 pears in the basket by the door. How many fruits does he carry home?"
+    long = "The old mill by the river Thames grinds 3 tons of corn each day of the week, and on holidays, when Martha helps, it grinds 3 tons more than that. How much does Martha see ground?"
+    items = spark.createDataFrame([(1, pears), (2, long), (3, "What is 12 + 7 * 3 - 5 and 4 and 9 and 2?")], "item_id long, text string")
+    rows = [(1, pears.replace("3 apples", "5 apples").replace("3 pears", "4 pears").replace("Tom", "Ann")), (2, long.replace("3 tons of", "8 tons of")), (3, long.replace("Martha helps", "Bertha helps")), (4, "What is 1 + 2 * 3 - 4 and 5 and 6 and 7?"), (5, "What is 1 + 2 * 3 - 4?"), (6, "9 8 7 6 5 4 3 2 1 0 11 12")]
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.hits(documents(spark, rows), items).collect()}
+    assert set(got) == {(1, 1), (2, 2), (3, 2), (4, 3)} and got[(2, 2)].changed == 1 and got[(2, 2)].covered > got[(3, 2)].covered
+
+
+def test_decontamination_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, ITEM, 1, 2, 3, 4), (2, "clean", 1, 2, 3, 4)], "doc_id long, text string, leaked int, row int, _leaked int, doc int")
+    got = decontaminate.clean(docs, spark.createDataFrame([(1, ITEM)], "item_id long, text string"))
+    assert got.columns == docs.columns and [tuple(r) for r in got.collect()] == [(2, "clean", 1, 2, 3, 4)]
 
 
 def test_decontamination_finds_questions_with_other_numbers_and_names(spark):
     """Templates of many kinds, each asked anew with other numbers, names and units: recall over all, and nothing of another template."""
     r = random.Random(12)
     templates = [
+        "{A} buys {n} pens and {n} books for {m} dollars and sells {n} of the pens for {m} dollars. What does {A} earn on that day?",
+        "On Monday {A} runs {n} laps, on Tuesday {n} laps and on Friday {m} laps with {B}. How many laps does {A} run on these days?",
         "{A} has {n} apples and gives {m} of them to {B}. How many apples does {A} have left at the end of the day?",
         "A train leaves the old station at {n} km per hour and arrives {m} hours later. How far did {A} travel on this train?",
         "If {A} reads {n} pages on each day of the week, how many pages will {A} have read after {m} days without a break?",
