@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from prospecta.functions import lists, text
-from prospecta.operators import drafts, enrichment, matching, pages, resumes, tracking
+from prospecta.operators import crawl, drafts, enrichment, matching, pages, resumes, tracking
 from prospecta.plans import bindings, blocks
 from prospecta.plans.queries import _JOINED, _TREE, APPS, ORACLE_SQL, PROFILES, RESUMES, _matches, first_of, present, query, strip
-from prospecta.sources import buckets, files, places
+from prospecta.sources import buckets, files, places, progress
 
 AS_OF = f"{bindings.AS_OF} 12:00:00"
 
@@ -56,6 +56,32 @@ def crawl_frontier(spark, d):
     return pages.crawl_frontier(links, links.filter("md5(profile_url) < '8'").select(F.col("profile_url").alias("url")))
 
 
+def _crawl_sql(rounds: int) -> str:
+    """Rounds, one after the other: links of the last round's pages that no round has, each with the first seed that leads there."""
+    node = "(('0x' || substr(md5(page_id::VARCHAR || h), 1, 8))::BIGINT % (SELECT max(page_id) + 1 FROM pages))::VARCHAR"
+    steps = [f"g AS (SELECT DISTINCT page_id::VARCHAR AS url, {node} AS target FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS h FROM pages))", "r0 AS (SELECT page_id::VARCHAR AS url, page_id AS seed_ord, page_id::VARCHAR AS seed_url, 0 AS round FROM pages WHERE page_id % 50 = 7)"]
+    for k in range(1, rounds + 1):
+        known = " UNION ALL ".join(f"SELECT url FROM r{j}" for j in range(k))
+        steps.append(f"r{k} AS (SELECT target AS url, min(seed_ord) AS seed_ord, arg_min(seed_url, seed_ord) AS seed_url, {k} AS round FROM r{k - 1} JOIN g USING (url) WHERE target NOT IN ({known}) GROUP BY target)")
+    return "WITH " + ", ".join(steps) + " " + " UNION ALL ".join(f"SELECT * FROM r{k}" for k in range(rounds + 1))
+
+
+@query(_crawl_sql(3))
+def crawl_rounds(spark, d):
+    """Three rounds over all pages, whose links lead to one another by hash."""
+    source = bindings.read(spark, d, "pages")
+    n = source.agg(F.max("page_id") + 1).first()[0]
+    nodes = source.select(F.col("page_id").cast("string").alias("url"), "html")
+
+    def links(reached):
+        hrefs = reached.select("url", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("h"))
+        target = F.conv(F.substring(F.md5(F.concat("url", "h")), 1, 8), 16, 10).cast("long") % F.lit(n)
+        return hrefs.select("url", target.cast("string").alias("profile_url")).distinct()
+
+    seeds = source.filter("page_id % 50 = 7").select(F.col("page_id").alias("seed_ord"), F.col("page_id").cast("string").alias("url"))
+    return crawl.crawl(seeds, nodes, links, places.scratch(spark, "crawl"), 3)
+
+
 _NAME = "trim(replace(replace(replace(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&quot;', '\"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'))"
 
 
@@ -176,6 +202,16 @@ def write_by_department(spark, d):
     return spark.read.schema("id string, name string, department string").parquet(path)
 
 
+@query(f"WITH {PROFILES} SELECT id, 'made ' || name AS name, department FROM p WHERE department IS NOT NULL")
+def write_with_ledger(spark, d):
+    """Departments written in jobs and entered in a ledger: first those of a few, then, started again, the rest."""
+    path, known = places.scratch(spark, "ledger"), bindings.profiles(spark, d).filter("department is not null").select("id", "name", "department")
+    made = lambda df: df.select("id", F.concat(F.lit("made "), F.col("name")).alias("name"), "department")
+    for some in (known.filter("department < 'src3'"), known):
+        progress.run(some, "department", path, made, 3)
+    return progress.output(spark, path, made(known).schema)
+
+
 # Replies of a model
 
 @query(f"""WITH {RESUMES}, m AS (SELECT id, raw_text, id::BIGINT % 4 AS k FROM r) SELECT id, CASE WHEN k < 2 THEN 'N ' || id WHEN k = 2 AND len(string_split(f, ' ')) <= 4 THEN f WHEN k = 3 AND len(string_split(f, ' ')) <= 4 THEN f END AS name,
