@@ -301,8 +301,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cha
 
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the lines that go. Only documents that lose a line are rebuilt."""
-    gone = classes(docs, id_col, text_col, **options).filter("not kept").groupBy(F.col(id_col).alias("_id")).agg(F.collect_set("line_no").alias("_gone"))
+    gone = classes(docs, id_col, text_col, **options).filter("not kept").groupBy(F.col(id_col).alias("id of gone")).agg(F.collect_set("line_no").alias("gone"))
     gone = written(gone, "line-gone")
-    joined = docs.join(gone, F.col(f"`{id_col}`") == F.col("_id"), "left")
-    kept = F.filter(F.split(F.col(f"`{text_col}`"), "\n"), lambda _, i: ~F.array_contains(F.col("_gone"), i))
-    return joined.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(kept, "\n"))).drop("_id", "_gone")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id of a row"))
+    joined = rows.join(gone, F.col("`id of a row`") == F.col("`id of gone`"), "left")
+    text = F.col("row").getField(text_col)
+    kept = F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains(F.col("gone"), i))
+    rebuilt = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(kept, "\n"))
+    return joined.select(*[rebuilt.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])

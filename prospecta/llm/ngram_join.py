@@ -342,6 +342,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that lead their component (its smallest id), all columns; rows with a null id stay."""
-    gone = join(docs, id_col, text_col, percent).filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone_id")).distinct()
+    gone = join(docs, id_col, text_col, percent).filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("gone")).distinct()
     gone = checked(written(gone, "ngram-gone"))
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("_gone_id"), "left_anti")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id of a row"))
+    return rows.join(gone, F.col("`id of a row`") == F.col("gone"), "left_anti").select("row.*")
