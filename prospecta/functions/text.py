@@ -70,13 +70,17 @@ def snippet(c: Column, n: int) -> Column:
 
 
 def highlight(text: Column, tokens: Column) -> Column:
-    """Segments of ``text``, those that match a token (in any case) flagged. Use it on the rows of a result, not before."""
-    own = or_empty(text)
-    either = F.concat(F.lit("(?i)("), F.array_join(F.transform(tokens, lambda t: F.regexp_replace(t, r"([^A-Za-z0-9])", r"\\$1")), "|"), F.lit(")"))
-    plain, hit = F.split(own, either, -1), F.regexp_extract_all(own, either, F.lit(1))
-    segment = lambda t, h: F.struct(t.alias("text"), F.lit(h).alias("highlight"))
-    both = F.flatten(F.transform(plain, lambda t, i: F.when(i < F.size(hit), F.array(segment(t, False), segment(F.get(hit, i), True))).otherwise(F.array(segment(t, False)))))
-    return F.when(F.size(tokens) > 0, both).otherwise(F.array(segment(own, False)))
+    """Segments of ``text``, those that match a token (in any case) flagged; empty tokens count for nothing. Use it on the rows of a result, not before."""
+    own, segment = or_empty(text), lambda t, h: F.struct(t.alias("text"), F.lit(h).alias("highlight"))
+    escaped = F.transform(F.filter(tokens, lambda t: t != ""), lambda t: F.regexp_replace(t, r"([^A-Za-z0-9])", r"\\$1"))
+
+    def marked(wanted: Column) -> Column:
+        either = F.concat(F.lit("(?i)("), F.array_join(wanted, "|"), F.lit(")"))
+        plain, hit = F.split(own, either, -1), F.regexp_extract_all(own, either, F.lit(1))
+        both = F.flatten(F.zip_with(plain, hit, lambda t, h: F.when(h.isNull(), F.array(segment(t, False))).otherwise(F.array(segment(t, False), segment(h, True)))))
+        return F.when(F.size(wanted) > 0, both).otherwise(F.array(segment(own, False)))
+
+    return bound(escaped, marked)
 
 
 def find_email(c: Column) -> Column:

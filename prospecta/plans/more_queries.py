@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from prospecta.functions import lists, text
-from prospecta.operators import crawl, drafts, enrichment, matching, pages, resumes, tracking
+from prospecta.operators import crawl, drafts, enrichment, matching, pages, resumes, terms, tracking
 from prospecta.plans import bindings, blocks
 from prospecta.plans.queries import _JOINED, _TREE, APPS, ORACLE_SQL, PROFILES, RESUMES, _matches, first_of, present, query, strip
 from prospecta.sources import buckets, files, places, progress
@@ -255,6 +255,20 @@ def draft_text(spark, d):
     return bindings.read(spark, d, "documents").select("doc_id", drafts.draft_text(F.col("source"), F.col("text")).alias("draft"))
 
 
+# Terms
+
+_TERMS = "tm AS (SELECT t AS term, row_number() OVER (ORDER BY t) AS place FROM (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: length(w) >= 5)) AS t FROM benchmark))"
+
+
+@query(f"WITH {_TERMS} SELECT doc_id, coalesce(string_agg(term, '|' ORDER BY place), '') AS terms, count(term) AS n FROM documents LEFT JOIN tm ON contains(lower(text), term) GROUP BY doc_id")
+def find_terms(spark, d):
+    """All words of the benchmark, looked for in all documents at once."""
+    words = F.filter(F.split(F.lower(F.col("text")), "[^a-z0-9]+"), lambda w: F.length(w) >= 5)
+    known = bindings.read(spark, d, "benchmark").select(F.explode(words).alias("term")).distinct().withColumn("place", F.lit(0))
+    found = terms.find_terms(blocks.spread(bindings.read(spark, d, "documents").select("doc_id", "text")), known, "text")
+    return found.select("doc_id", F.array_join("terms", "|").alias("terms"), F.size("terms").cast("long").alias("n"))
+
+
 # Drafts in all tones, by seekers with and without a name, a year and a major
 
 _WHO = "CASE WHEN session_id::BIGINT % 2 = 0 THEN 'Kim ' || session_id END"

@@ -76,3 +76,10 @@ def test_slug_label_domain(spark):
 
 def test_before_pipe(spark):
     assert column(spark, ["a | b | c", "a | b\nc", "a\n| b"], text.before_pipe) == ["a", "a | b\nc", "a"]
+
+
+def test_highlight_without_words(spark):
+    marks = lambda *t: lambda c: text.highlight(c, F.array(*[F.lit(x) for x in t]).cast("array<string>"))
+    for words in ((), ("",), ("", "")):
+        assert [[tuple(s) for s in r] for r in column(spark, ["abc", "", None], marks(*words))] == [[("abc", False)], [("", False)], [("", False)]]
+    assert [tuple(s) for s in column(spark, ["abca"], marks("", "A"))[0]] == [("", False), ("a", True), ("bc", False), ("a", True), ("", False)]
