@@ -26,7 +26,7 @@ def subject_and_body(profile: dict[str, Column], seeker: dict[str, Column], inte
     me = say(own, ", a ", year, field, " student")
     body = (
         F.when(tone == "concise", say(hello, "I am ", me, ". Your work on ", research, "… meets my interest in ", wish, ".\n\nI know ", skills, ". Could we talk briefly?\n\nBest regards,\n", own))
-        .when(tone == "warm", say(hello, "I hope you are well! I am ", me, ", and your work on ", research, "… excited me, as I have been exploring ", wish, ".\n\nI have some background in ", skills, " and would love to learn more.\n\nWarm regards,\n", own))
+        .when(tone == "warm", say(hello, "Of all the pages I read this week, yours stayed with me: ", research, "… is close to ", wish, ", which I can't stop thinking about.\n\nI am ", me, ". What I could bring along is ", skills, ". May I come by one day?\n\nWith all good wishes,\n", own))
         .otherwise(say(hello, "I am ", me, ". Exploring research in ", wish, ", I came across your work on ", research, "….\n\nMay I ask whether your group has openings? I have experience with ", skills, ".\n\nSincerely,\n", own))
     )
     return F.struct(say("Research opportunity: ", own).alias("subject"), body.alias("body"))

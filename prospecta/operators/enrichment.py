@@ -101,7 +101,7 @@ def generate_review(df: DataFrame, out: str = "review") -> DataFrame:
     )
     middle = pick("mid", *[say(s, part(lower, 4, 4), ".") for s in ("The work also covers ", "Further interests are ", "Contributions extend to ", "Another focus is on ")])
     extra = pick("extra", *[say(s, part(lower, 8, 3), ".") for s in ("Other activity includes ", "A wider portfolio reaches ")])
-    long_open = dotted(pick("longopen", say("Dr. ", last, " is a researcher in ", dept, ". ", capital(F.get(long_, F.lit(0)))), say("In ", dept, ", the research of Dr. ", last, " is as follows: ", capital(F.get(long_, F.lit(0))))))
+    long_open = dotted(pick("longopen", say("The lab of Dr. ", last, " belongs to ", dept, ". ", capital(F.get(long_, F.lit(0)))), say("In ", dept, ", the research of Dr. ", last, " is as follows: ", capital(F.get(long_, F.lit(0))))))
     short_open = pick("shortopen", say("The research of Dr. ", last, " in ", dept, " is on ", part(short, 1, 3), "."), say("In ", dept, ", Dr. ", last, " works in the areas of ", part(short, 1, 3), "."))
     scholar = pick("scholar", *[say(s, join_list(F.col("_i")), ".") for s in ("Interests named on the scholar profile are ", "The scholar profile lists ", "Scholar topics include ")])
     close = pick(

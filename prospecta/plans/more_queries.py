@@ -284,7 +284,7 @@ def _drafts_sql() -> str:
     nl = "chr(10)"
     hello = f"'Dear Prof. ' || name || ',' || {nl} || {nl}"
     concise = f"{hello} || 'I am ' || {me} || '. Your work on ' || {research} || '… meets my interest in ' || {wish} || '.' || {nl} || {nl} || 'I know ' || {skills} || '. Could we talk briefly?' || {nl} || {nl} || 'Best regards,' || {nl} || {own}"
-    warm = f"{hello} || 'I hope you are well! I am ' || {me} || ', and your work on ' || {research} || '… excited me, as I have been exploring ' || {wish} || '.' || {nl} || {nl} || 'I have some background in ' || {skills} || ' and would love to learn more.' || {nl} || {nl} || 'Warm regards,' || {nl} || {own}"
+    warm = f"{hello} || 'Of all the pages I read this week, yours stayed with me: ' || {research} || '… is close to ' || {wish} || ', which I can''t stop thinking about.' || {nl} || {nl} || 'I am ' || {me} || '. What I could bring along is ' || {skills} || '. May I come by one day?' || {nl} || {nl} || 'With all good wishes,' || {nl} || {own}"
     formal = f"{hello} || 'I am ' || {me} || '. Exploring research in ' || {wish} || ', I came across your work on ' || {research} || '….' || {nl} || {nl} || 'May I ask whether your group has openings? I have experience with ' || {skills} || '.' || {nl} || {nl} || 'Sincerely,' || {nl} || {own}"
     return _JOINED + f" SELECT session_id, rank, tone, 'Research opportunity: ' || {own} AS subject, CASE tone WHEN 'concise' THEN {concise} WHEN 'warm' THEN {warm} ELSE {formal} END AS body FROM j CROSS JOIN (SELECT unnest(['professional', 'warm', 'concise']) AS tone)"
 

@@ -615,7 +615,7 @@ def _review_sql() -> str:
     )
     middle = _picked("mid", *[f"'{x}' || four || '.'" for x in ("The work also covers ", "Further interests are ", "Contributions extend to ", "Another focus is on ")])
     extra = _picked("extra", *[f"'{x}' || eight || '.'" for x in ("Other activity includes ", "A wider portfolio reaches ")])
-    long_open = _picked("longopen", f"'Dr. ' || last || ' is a researcher in ' || dept || '. ' || {capital}", f"'In ' || dept || ', the research of Dr. ' || last || ' is as follows: ' || {capital}")
+    long_open = _picked("longopen", f"'The lab of Dr. ' || last || ' belongs to ' || dept || '. ' || {capital}", f"'In ' || dept || ', the research of Dr. ' || last || ' is as follows: ' || {capital}")
     short_open = _picked("shortopen", "'The research of Dr. ' || last || ' in ' || dept || ' is on ' || s3 || '.'", "'In ' || dept || ', Dr. ' || last || ' works in the areas of ' || s3 || '.'")
     close = _picked(
         "close", "'Students with these interests may find the lab of Dr. ' || last || ' a good fit.'", "'This breadth makes the group of Dr. ' || last || ' open to students of several fields.'",
