@@ -1,12 +1,11 @@
 """Exact de-duplication by content-defined chunk recipes (DataFrame functions only).
 
-Every text is cut into chunks whose ends a few characters decide, wherever in the text they stand: a sentence end behind certain letters, or, for
-texts without sentences, a word's end behind three certain letters; some hundred characters apart. So a text with something put in, or in front, has
-the same chunks from the next such place on. Only where ``MAX_CHUNK`` characters have no such place is a text cut by length. A text's *recipe* is the ordered list of its chunks' identifiers.
+Every text is cut into chunks whose ends its own content decides: a sentence end after at least ``MIN_CHUNK``
+characters, else ``MAX_CHUNK`` characters. A text's *recipe* is the ordered list of its chunks' identifiers.
 Chunks are de-duplicated once, by their bytes, and that pass verifies the identifiers: if two different chunks
 share one, the identifiers are drawn again with another salt. After that equal recipes mean equal texts, and only
-recipes (a few per cent of the text) move: no text of more than one chunk is ever shuffled whole, each chunk moves once, and of a chunk that
-occurs often each task sends one copy.
+recipes (about 3 % of the text) move: no text of more than one chunk is ever shuffled whole, each chunk moves once, and of a chunk that
+occurs often each task sends one copy. A cut depends on the one before, so a text with something put in has its old chunks again only where cuts meet.
 
 Defined results: a null text counts as empty; empty texts are equal to each other; rows with one doc_id and equal
 texts share a decision (they can't be told apart); a null doc_id never wins against another id, and a group with
@@ -20,21 +19,19 @@ from pyspark.sql import functions as F
 
 from prospecta.llm.shared import checked, one_space, written
 
-MAX_CHUNK = 8192
-#: A sentence end in a few scripts closes a chunk if it stands behind one of these letters, or behind any that isn't Latin.
-SENTENCE_END, BEFORE = ".!?。！？।؟", r"[dlrt0-9]|[^\x00-\u024F]"
-#: So does what isn't a letter behind three letters of these kinds.
-WORD_END = r"[d-h][aeiou][st]\W"
+MIN_CHUNK, MAX_CHUNK = 1024, 4096
+#: A sentence end in a few scripts closes a chunk.
+SENTENCE_END = ".!?。！？।؟"
 
 
-def chunks(text: Column, most: int = MAX_CHUNK) -> Column:
+def chunks(text: Column, least: int = MIN_CHUNK, most: int = MAX_CHUNK) -> Column:
     """The chunks of ``text`` in order; joined they are the text again."""
-    pattern = f"(?s).{{0,{most - 4}}}?(?:(?:{BEFORE})[{SENTENCE_END}]|{WORD_END})|.{{1,{most}}}"
+    pattern = f"(?s).{{{least},{most - 1}}}?[{SENTENCE_END}]|.{{1,{most}}}"
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
 def chunk_id(chunk: Column, salt: int) -> Column:
-    return F.unhex(F.md5(F.concat(F.lit(f"{salt}|"), chunk)))
+    return F.md5(F.concat(F.lit(f"{salt}|"), chunk))
 
 
 def verified(pieces: DataFrame, identify, salt: int) -> bool:

@@ -80,22 +80,6 @@ def test_colliding_identifiers_are_drawn_again(spark):
         exact_dedup.deduplicate(docs, identify=lambda c, _: F.substring(F.md5(c), 1, 1))
 
 
-def test_chunks_realign(spark):
-    """With a sentence in front, or inside, nearly all of a long text is in chunks that it had before; texts without sentences too."""
-    docs = spark.read.parquet(f"{DATA}/sf0.1/documents.parquet").filter("length(text) >= 16000").select(F.col("text"))
-    bare = docs.select(F.regexp_replace("text", "[.!?]", "").alias("text"))
-    cut = lambda c: exact_dedup.chunks(c)
-    for texts in (docs, bare):
-        for other in (F.concat(F.lit("A sentence that stands in front of it all. "), F.col("text")), F.concat(F.substr("text", F.lit(1), F.lit(2000)), F.lit(" put in "), F.substr("text", F.lit(2001)))):
-            rows = texts.select(cut(F.col("text")).alias("a"), cut(other).alias("b")).collect()
-            shared = sorted(sum(len(c) for c in r.a if c in set(r.b)) / sum(len(c) for c in r.a) for r in rows)
-            # One word over and over, without such a place, is cut by length and keeps little.
-            assert len(rows) >= 20 and shared[len(rows) // 2] >= 0.97 and sum(shared) / len(rows) >= 0.9, (shared[len(rows) // 2], sum(shared) / len(rows))
-            assert 100 <= sum(len(c) for r in rows for c in r.a) / sum(len(r.a) for r in rows) <= 2000
-    odd = ["", "x", "a" * 20_000, "漢字。" * 9000, "no end " * 3000]
-    assert [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "i int, t string").orderBy("i").select(F.array_join(cut(F.col("t")), "")).collect()] == odd
-
-
 def test_columns_of_any_name(spark):
     names = ["_id", "_gone", "_gone_id", "_kept_id", "gone", "row", "_leaked", "n"]
     docs = spark.createDataFrame([(i, f"one two three four five six {i // 2}\nsame line in all of these", *range(len(names))) for i in range(6)], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
