@@ -20,20 +20,20 @@ TOKEN = rf"(?is)<!--.*?(?:-->|\z)|<({'|'.join(RAW)})(?=[\s/>]){_INSIDE}>.*?(?:</
 _ATTRIBUTE = r"""(?is)(?<=[\s"'/])([^\s"'>/=][^\s>/=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?"""
 _REFERENCE = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][-.a-zA-Z0-9]*);?"
 # What a number from 128 to 159 stands for where it means a byte of Windows' Latin alphabet.
-_BYTES = {chr(i): bytes([i]).decode("cp1252") for i in range(128, 160) if i not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+BYTES = {chr(i): bytes([i]).decode("cp1252") for i in range(128, 160) if i not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+NAMES = {name.removesuffix(";"): char for name, char in sorted(html.entities.html5.items())}
 
 
 def names_of_characters() -> Column:
     """The standard's table of names, as one literal map."""
-    table = {name.removesuffix(";"): char for name, char in sorted(html.entities.html5.items())}
-    return F.from_json(F.lit(json.dumps(table)), "map<string,string>")
+    return F.from_json(F.lit(json.dumps(NAMES)), "map<string,string>")
 
 
 def _character(number: Column) -> Column:
     """The character of a number; the replacement character where there is none."""
     sound = number.isNotNull() & (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
     made = F.decode(F.unhex(F.lpad(F.hex(F.when(sound, number).otherwise(F.lit(0xFFFD))), 8, "0")), "UTF-32")
-    return F.translate(made, "".join(_BYTES), "".join(_BYTES.values()))
+    return F.translate(made, "".join(BYTES), "".join(BYTES.values()))
 
 
 def _meant(reference: Column) -> Column:

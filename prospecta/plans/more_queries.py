@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from prospecta.functions import lists, text
 from prospecta.operators import crawl, drafts, enrichment, matching, pages, resumes, terms, tracking
 from prospecta.plans import bindings, blocks
-from prospecta.plans.queries import _JOINED, _TREE, APPS, ORACLE_SQL, PROFILES, RESUMES, _matches, first_of, present, query, strip
+from prospecta.plans.queries import _JOINED, _TREE, APPS, ORACLE_SQL, PROFILES, RESUMES, _every_reference, _matches, _strip_all, first_of, present, query, strip
 from prospecta.sources import buckets, files, places, progress
 
 AS_OF = f"{bindings.AS_OF} 12:00:00"
@@ -82,7 +82,7 @@ def crawl_rounds(spark, d):
     return crawl.crawl(seeds, nodes, links, places.scratch(spark, "crawl"), 3)
 
 
-_NAME = "trim(replace(replace(replace(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&quot;', '\"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'))"
+_NAME = _strip_all(_every_reference("regexp_extract(html, '<h1>([^<]*)</h1>', 1)"))
 
 
 @query(f"SELECT substr(md5(url), 1, 12) AS id, {_NAME} AS name, coalesce(list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/?#]*/?([^?#]*)', 1), '/'), lambda x: x NOT IN ('', 'engineering', 'profiles', 'index.html') AND NOT ends_with(x, '.html'))[1], 'unknown') AS department, url AS profile_url, page_id AS seed_ord, '' AS ai_review, 0 AS interests FROM pages")

@@ -181,12 +181,40 @@ def _decoded(x: str) -> str:
     return x
 
 
+# The same by the rule of the page operators (``markup.decoded``): every reference, by the longest name there is behind the ``&``, its semicolon optional; an
+# unknown name stays, without its semicolon; a number that is no character is U+FFFD, and 128 to 159 mean Windows' bytes.
+_REFERENCE = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][-.a-zA-Z0-9]*);?"
+_NUMBER = "CASE WHEN regexp_full_match(n, '#[0-9]{1,9}') THEN substring(n, 2)::BIGINT WHEN regexp_full_match(n, '#[xX][0-9a-fA-F]{1,7}') THEN ('0x' || substring(n, 3))::BIGINT END"
+_CHARACTER = "translate(chr((CASE WHEN c > 0 AND c <= 1114111 AND c NOT BETWEEN 55296 AND 57343 THEN c ELSE 65533 END)::INT), '{}', '{}')".format("".join(markup.BYTES), "".join(markup.BYTES.values()))
+
+
+def _character_names() -> str:
+    return "MAP {" + ", ".join("'{}': '{}'".format(name, char.replace("'", "''")) for name, char in sorted(markup.NAMES.items())) + "}"
+
+
+def _every_reference(x: str) -> str:
+    numbered = f"list_transform([{_NUMBER}], lambda c: {_CHARACTER})[1]"
+    meant = f"CASE n WHEN 'amp' THEN '&' WHEN 'lt' THEN '<' WHEN 'gt' THEN '>' WHEN 'quot' THEN '\"' ELSE CASE WHEN starts_with(n, '#') THEN {numbered} ELSE coalesce({_character_names()}[n], '&' || n) END END"
+    chars = f"list_transform(regexp_extract_all({x}, '{_REFERENCE}'), lambda r: list_transform([regexp_replace(r, '^&|;$', '', 'g')], lambda n: {meant})[1])"
+    pieces = f"list_zip(regexp_split_to_array({x}, '{_REFERENCE}'), {chars})"
+    return f"CASE WHEN contains({x}, '&') THEN array_to_string(list_transform({pieces}, lambda z: z[1] || coalesce(z[2], '')), '') ELSE {x} END"
+
+
 _TOKENS = r"(?is)<!--.*?-->|<(?:script|style)\b[^>]*>.*?</(?:script|style)>|</?[a-z][^>]*>|<![^>]*>|[^<]+"
 _TAG = r"lower(regexp_extract(t[i + 1], '^</?([a-zA-Z][a-zA-Z0-9]*)', 1))"
 _ALONE = "('br', 'img', 'meta', 'link', 'hr', 'input', 'script', 'style')"
 _BACK = f"list_position(list_reverse(list_transform(open, lambda o: o.name)), {_TAG})"
-_TREE = f"""tk AS (SELECT page_id, url, regexp_extract_all(coalesce(html, ''), '{_TOKENS}') AS t FROM pages),
-tx AS (SELECT page_id, url, t, list_transform(t, lambda k: CASE WHEN NOT starts_with(k, '<') THEN {strip(_decoded('k'))} END) AS texts FROM tk),
+# White space of any kind, as ``text.strip`` and ``markup.one_line`` take it.
+_SPACE = r"[\t-\r\x{85}\p{Z}]"
+
+
+def _strip_all(x: str) -> str:
+    return f"regexp_replace({x}, '^{_SPACE}+|{_SPACE}+$', '', 'g')"
+
+
+def _tree(texts: str) -> str:
+    return f"""tk AS (SELECT page_id, url, regexp_extract_all(coalesce(html, ''), '{_TOKENS}') AS t FROM pages),
+tx AS (SELECT page_id, url, t, list_transform(t, lambda k: CASE WHEN NOT starts_with(k, '<') THEN {texts} END) AS texts FROM tk),
 st AS (SELECT page_id, t, 0 AS i, []::STRUCT(pos INT, name VARCHAR)[] AS open, []::STRUCT(pos INT, stop INT, name VARCHAR)[] AS shut FROM tk
  UNION ALL SELECT page_id, t, i + 1,
  CASE WHEN {_TAG} = '' THEN open WHEN NOT starts_with(t[i + 1], '</') THEN CASE WHEN {_TAG} IN {_ALONE} THEN open ELSE list_append(open, {{'pos': i + 1, 'name': {_TAG}}}) END
@@ -197,8 +225,12 @@ el AS (SELECT page_id, unnest(shut, recursive := true) FROM st UNION ALL SELECT
 held AS (SELECT page_id, pos, stop, name, list_filter(texts[pos + 1:stop - 1], lambda k: k <> '') AS said FROM el JOIN tx USING (page_id))"""
 
 
+_TREE = _tree(strip(_decoded("k")))
+_PAGES = _tree(_strip_all(_every_reference("k")))
+
+
 def _tidy(x: str) -> str:
-    return strip(f"regexp_replace({x}, '\\s+', ' ', 'g')")
+    return _strip_all(f"regexp_replace({x}, '{_SPACE}+', ' ', 'g')")
 
 
 _NAMES = "nm AS (SELECT page_id, arg_min(array_to_string(said, ' '), pos) AS name FROM held WHERE name = 'h1' GROUP BY page_id)"
