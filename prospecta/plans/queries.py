@@ -243,7 +243,7 @@ def page_elements(spark, d):
     return found.filter(~F.col("name").isin(*markup.VOID, *markup.RAW)).select("page_id", "pos", "end", "name", "text")
 
 
-@query(f"WITH RECURSIVE {_TREE}, {_NAMES} SELECT page_id, coalesce(name, '') AS name FROM tk LEFT JOIN nm USING (page_id)")
+@query(f"WITH RECURSIVE {_PAGES}, {_NAMES} SELECT page_id, coalesce(name, '') AS name FROM tk LEFT JOIN nm USING (page_id)")
 def extract_name(spark, d):
     return _fields(spark, d).select("page_id", "name")
 
