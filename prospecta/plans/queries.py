@@ -258,10 +258,10 @@ def page_fields(spark, d):
     return _fields(spark, d)
 
 
-@query(f"""WITH RECURSIVE {_TREE}, {_NAMES}
+@query(f"""WITH RECURSIVE {_PAGES}, {_NAMES}
 SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'Name of ' || page_id::VARCHAR ELSE coalesce(name, 'Name of ' || page_id::VARCHAR) END AS name, CASE WHEN page_id % 4 = 3 THEN '' ELSE 'Professor of Sums' END AS title,
 CASE page_id % 4 WHEN 0 THEN 'm' || page_id::VARCHAR || '@x.org' WHEN 1 THEN 'a' || page_id::VARCHAR || '@x.org' ELSE '' END AS email,
-CASE WHEN page_id % 3 = 0 THEN 'engines | notes and more' ELSE {strip("substring(" + _tidy("array_to_string(list_concat(['Long ' || page_id::VARCHAR], list_filter(texts, lambda k: k <> '')), ' ')") + ", 1, 1200)")} END AS research_summary,
+CASE WHEN page_id % 3 = 0 THEN 'engines | notes and more' ELSE {_strip_all("substring(" + _tidy("array_to_string(list_concat(['Long ' || page_id::VARCHAR], list_filter(texts, lambda k: k <> '')), ' ')") + ", 1, 1200)")} END AS research_summary,
 CASE WHEN page_id % 2 = 0 THEN 'https://lab' || page_id::VARCHAR || '.org/' ELSE '' END AS lab_website, CASE WHEN page_id % 2 = 1 THEN 'https://scholar.google.com/citations?user=U' || page_id::VARCHAR || '&hl=en' ELSE '' END AS google_scholar,
 regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || '/p' || page_id::VARCHAR || '.jpg' AS photo_url, '555-' || page_id::VARCHAR AS phone, 'R ' || page_id::VARCHAR AS office FROM tx LEFT JOIN nm USING (page_id)""")
 def profile_page_fields(spark, d):
