@@ -236,7 +236,7 @@ def _tidy(x: str) -> str:
 _NAMES = "nm AS (SELECT page_id, arg_min(array_to_string(said, ' '), pos) AS name FROM held WHERE name = 'h1' GROUP BY page_id)"
 
 
-@query(f"WITH RECURSIVE {_TREE} SELECT page_id, pos - 1 AS pos, stop - 1 AS \"end\", name, array_to_string(said, ' ') AS text FROM held")
+@query(f"WITH RECURSIVE {_PAGES} SELECT page_id, pos - 1 AS pos, stop - 1 AS \"end\", name, array_to_string(said, ' ') AS text FROM held")
 def page_elements(spark, d):
     """Every element of every page but those that hold nothing."""
     found = elements.table(blocks.spread(bindings.read(spark, d, "pages").select("page_id", "html")))
