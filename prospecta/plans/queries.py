@@ -248,10 +248,10 @@ def extract_name(spark, d):
     return _fields(spark, d).select("page_id", "name")
 
 
-@query(f"""WITH RECURSIVE {_TREE}, {_NAMES},
+@query(f"""WITH RECURSIVE {_PAGES}, {_NAMES},
 ps AS (SELECT page_id, pos, {_tidy("array_to_string(said, ' ')")} AS p FROM held WHERE name = 'p' AND length(array_to_string(said, '')) > 100),
 lo AS (SELECT page_id, arg_min(p, (-length(p), pos)) AS p FROM ps GROUP BY page_id)
-SELECT page_id, url, coalesce(name, '') AS name, '' AS title, '' AS email, coalesce({strip("substring(p, 1, 1200)")}, '') AS research_summary,
+SELECT page_id, url, coalesce(name, '') AS name, '' AS title, '' AS email, coalesce({_strip_all("substring(p, 1, 1200)")}, '') AS research_summary,
 '' AS lab_website, '' AS google_scholar, '' AS photo_url, '' AS phone, '' AS office FROM tk LEFT JOIN nm USING (page_id) LEFT JOIN lo USING (page_id)""")
 def page_fields(spark, d):
     """The tables' pages have a heading and paragraphs, some never closed; other fields are in ``profile_page_fields`` and the tests."""

@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as entry
 
 PAGES = ["cut &amp", "a &amp;amp b", "&ampx; and &nosuch; &eacute &Eacute;t&eacute;&amp", "&#150;&#x41&#0;&#55296; &#99999999999; &#1114112;", "\u2003&nbsp;wide &nbsp; &quot;&apos;&lt b&gt;", "&notin;&not.x &CounterClockwiseContourIntegral;", "none & & &;"]
-QUERIES = ["assemble_profiles", "extract_name", "profile_page_fields", "page_elements"]
+QUERIES = ["assemble_profiles", "extract_name", "profile_page_fields", "page_elements", "page_fields"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
