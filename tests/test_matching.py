@@ -1,11 +1,13 @@
+import os
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from prospecta.functions.text import tokenize
 from prospecta.operators import matching
-from prospecta.plans import bindings, word_index
+from prospecta.plans import bindings, blocks, word_index
 from tests.conftest import DATA
 from tests.test_text import tokens
 
@@ -109,3 +111,19 @@ def test_word_index_agrees(spark, tmp_path):
                 assert sorted(got[s]) == [(k + 1, c, round(-a, 4)) for k, (a, _, c) in enumerate(scored[: min(n, 50)])], (s, i, res, n)
     asked = spark.createDataFrame([(s, i) for s, i, _ in more], "query_id string, query string")
     assert sorted(map(tuple, matching.search_batch(profiles, asked, 7, index=path).collect())) == sorted(map(tuple, matching.search_batch(profiles, asked, 7).collect()))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_tokens_of_words(monkeypatch, seed):
+    """Tokens of any length in words of any length, found for many texts at once, with words forgotten on the way."""
+    r = random.Random(seed)
+    monkeypatch.setattr(blocks, "WORDS_HELD", r.choice([3, 1000]))
+    make = lambda most, letters=r.choice(["ab", "ab1", "az09"]): "".join(r.choice(letters) for _ in range(r.randint(1, most)))
+    asked = sorted({make(r.choice([3, 20])) for _ in range(40 * (seed > 0))})
+    held = blocks.Tokens(asked)
+    for _ in range(5):
+        texts = ["", *(" -é".join(make(40) for _ in range(r.randint(0, 9))) for _ in range(8))]
+        found = held.counts(blocks.words_of_texts(pa.array(texts)), len(texts))
+        assert found.tolist() == [[t.count(x) for x in asked] for t in texts]
+        # What is remembered lies in flat lists, not in arrays of their own for each word.
+        assert len(held.inside) == len(held.times) == held.ends[-1] and len(held.ends) == len(held.place) + 1
