@@ -101,9 +101,9 @@ def match_scores(profiles: DataFrame, seekers: DataFrame, n: int = TOP, index: s
     With ``index``, the path of these profiles' word index, texts aren't read.
     """
     wanted = _weights(seekers, "session_id", interest="interest_tokens", resume="resume_tokens").withColumnRenamed("seeker", "key")
-    if index:
-        return word_index.best(profiles.sparkSession, index, wanted, word_index.matching(RESUME_WEIGHT, LEAST_SCORE), n).withColumnRenamed("key", "session_id")
-    return blocks.best(profiles, wanted, ["interest", "resume"], _match, ["summary", "name", "department"], n, LEAST_SCORE).withColumnRenamed("key", "session_id")
+    how = (wanted, ["interest", "resume"], _match, ["summary", "name", "department"], n, LEAST_SCORE)
+    found = word_index.best(profiles.sparkSession, index, *how) if index else blocks.best(profiles, *how)
+    return found.withColumnRenamed("key", "session_id")
 
 
 def _or_first(best: DataFrame, keys: DataFrame, key: str, profiles: DataFrame, n: int) -> DataFrame:
@@ -149,10 +149,8 @@ def search_batch(profiles: DataFrame, queries: DataFrame, k: int = 24, index: st
     """(query_id, id, score, rank): the best ``k`` profiles for each row of ``queries`` (query_id, query); with ``index`` texts aren't read."""
     asked = queries.select("query_id", tokenize(F.col("query")).alias("tokens"))
     wanted = _weights(asked, "query_id", times="tokens").withColumnRenamed("seeker", "key")
-    if index:
-        found = word_index.best(profiles.sparkSession, index, wanted, word_index.searching(0.5), k)
-    else:
-        found = blocks.best(profiles, wanted, ["times"], _search, list(blocks.FIELDS), k, 0.5)
+    how = (wanted, ["times"], _search, list(blocks.FIELDS), k, 0.5)
+    found = word_index.best(profiles.sparkSession, index, *how) if index else blocks.best(profiles, *how)
     found = found.withColumnRenamed("key", "query_id")
     none = asked.filter(F.size("tokens") == 0)
     return _or_first(ranked(found, "query_id", k, ["seed_ord"]), none, "query_id", profiles, k)

@@ -127,3 +127,14 @@ def test_tokens_of_words(monkeypatch, seed):
         assert found.tolist() == [[t.count(x) for x in asked] for t in texts]
         # What is remembered lies in flat lists, not in arrays of their own for each word.
         assert len(held.inside) == len(held.times) == held.ends[-1] and len(held.ends) == len(held.place) + 1
+
+
+def test_index_is_a_row_for_each_profile(spark, tmp_path):
+    """No row for each token or word of a profile is written or shuffled: these grow with profiles times tokens."""
+    _, _, profiles, asked = fixture(spark)
+    word_index.build(profiles, str(tmp_path / "index"))
+    assert word_index.indexed(spark, str(tmp_path / "index")).count() == 60
+    before = set(os.listdir(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")))
+    plan = matching.match_scores(profiles, asked, 5, str(tmp_path / "index"))._jdf.queryExecution().executedPlan().toString()
+    assert set(os.listdir(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))) == before
+    assert "Join" not in plan and "HashAggregate" not in plan
