@@ -136,10 +136,13 @@ def _best(score: Score, fields: list[str], n: int, least: float, shared, words:
     return run
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores where it has fewer partitions than there are (a file of one row group): rows are cheap to move and dear to score. A large table stays as it lies."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def spread(df: DataFrame, each: int = 1) -> DataFrame:
+    """``df`` over all cores where it has fewer partitions than ``each`` a core (a file of one row group): rows are cheap to move and dear to score. A larger table stays as it lies.
+
+    With more than one a core, where a row costs milliseconds, no task takes long and cores don't wait for the last one.
+    """
+    parts = df.sparkSession.sparkContext.defaultParallelism * each
+    return df.repartition(parts) if df.rdd.getNumPartitions() < parts else df
 
 
 def best(profiles: DataFrame, queries: DataFrame, weights: list[str], score: Score, fields: list[str], n: int, least: float) -> DataFrame:

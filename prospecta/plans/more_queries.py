@@ -162,7 +162,7 @@ def parse_scholar_pages(spark, d):
     cell = lambda i: F.concat(F.lit('<tr class="gsc_a_tr"><td class="x gsc_a_t"><div><a href="#" class="gsc_a_at">'), F.when(i > 0, F.concat(F.lit("t"), i.cast("string"), F.lit(" <i>&amp; more</i>"))).otherwise(F.lit("")), F.lit('</a></div></td><td class="gsc_a_c"><p><a>'), F.when(i % 4 == 0, F.lit("*")).otherwise(i.cast("string")), F.lit("</a></td>"), F.when(i % 3 == 0, F.lit('<td class="gsc_a_y"></td>')).otherwise(F.concat(F.lit('<td class="gsc_a_y"><span>'), (i + 1900).cast("string"), F.lit("</span></td>"))), F.lit("</tr>"))
     rows = F.when(n % 23 > 0, F.array_join(F.transform(F.sequence(F.lit(0), (n % 23).cast("int") - 1), cell), "")).otherwise(F.lit(""))
     own = F.replace(text.or_empty(F.col("html")), F.lit("<nav>"), F.lit('<nav id="gsc_prf_int">'))
-    read = pages.parse_scholar_pages(blocks.spread(bindings.read(spark, d, "pages")).select(n.cast("string").alias("id"), F.concat(own, F.lit("<table>"), rows, F.lit("</table>")).alias("html")))
+    read = pages.parse_scholar_pages(blocks.spread(bindings.read(spark, d, "pages"), 8).select(n.cast("string").alias("id"), F.concat(own, F.lit("<table>"), rows, F.lit("</table>")).alias("html")))
     work = lambda w: F.concat_ws(",", w["title"], F.coalesce(w["year"], F.lit("-")), F.coalesce(w["cited_by"].cast("string"), F.lit("-")))
     return read.select("id", F.array_join("scholar_interests", "|").alias("interests"), F.array_join(F.transform("publications", work), "|").alias("works"))
 

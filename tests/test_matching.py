@@ -138,3 +138,10 @@ def test_index_is_a_row_for_each_profile(spark, tmp_path):
     plan = matching.match_scores(profiles, asked, 5, str(tmp_path / "index"))._jdf.queryExecution().executedPlan().toString()
     assert set(os.listdir(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))) == before
     assert "Join" not in plan and "HashAggregate" not in plan
+
+
+def test_dear_rows_are_dealt_to_many_tasks(spark):
+    cores = spark.sparkContext.defaultParallelism
+    one = spark.range(200).coalesce(1)
+    assert [blocks.spread(one, n).rdd.getNumPartitions() for n in (1, 3)] == [cores, 3 * cores]
+    assert sorted(r.id for r in blocks.spread(one, 3).collect()) == list(range(200))
