@@ -8,13 +8,12 @@ bands of ``SHORT_ROWS``, since so few can't hold longer runs in common; the long
 sets always have a kind in common.
 
 Lines that share a band are candidates. In a band's bucket all lines are compared with its leader, then, round by round,
-with 8, 64, ... further leaders, the most central ones first, until a bucket is one component or all its lines have led. Left out are only pairs that are in one component by then, and pairs that can't link: by their sets' sizes, or
-by the triangle inequality with the first leader. So every pair of candidates is decided. A comparison is exact: the
-Jaccard similarity of the sets. Union-find joins the links, and of each component the first line stays.
+with 8, 64, ... further leaders, the most central ones first, until a bucket is one component or all its lines have led. Left out are only pairs that are in one component by then, and pairs that can't link: by their sets' sizes,
+by the triangle inequality with the first leader, or by the parities of their sets, which differ in no more places than the sets
+do. So every pair of candidates is decided. A comparison is exact: the Jaccard similarity of the sets. Union-find joins the links, and of each component the first line stays.
 
-Spark splits, groups and joins; numpy makes the bands and compares sets, a batch of rows at a time (the README says why
-this isn't made of DataFrame functions alone). Of a band that only one line has, nothing but the key is shuffled. Texts
-move for candidates alone. Members of a leader are dealt out in blocks of ``BLOCK``, each with a copy of the leader.
+All of it is DataFrame functions. A line's set is made by one expression on its own row, so nothing is shuffled for it; of a band
+that only one line has, nothing but the key is shuffled. Texts move for candidates alone. Members of a leader are dealt out in blocks of ``BLOCK``, each with a copy of the leader.
 
 Defined results: a null text has no lines; spaces, tabs and CR at a line's ends don't count; blank lines are no
 duplicates of anything and always stay (their class is null); lines shorter than a shingle are one shingle; the
@@ -25,10 +24,9 @@ is that of the reversed line.
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, Window
+from array import array
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prospecta.llm.components import components, extended
@@ -40,133 +38,52 @@ FEW, LONG_FROM, SHORT_ROWS = 24, 15, 2
 #: Leaders of a bucket in the second round; as many times more in each that follows.
 LEADERS = 8
 BLOCK = 256
+#: A set's parities have so many words of 64 bits.
+WORDS = 16
 #: A table of keys or lines under this many bytes may be sent to every task.
 KEY_BYTES = 48 << 20
 
-_U = np.uint64
-_FACTORS = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1) ** 5 | 1) % 2**64 for i in range(64)], dtype=np.uint64)
-_BITS = 44
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> _U(27))) * _U(0x94D049BB133111EB)
-    return h ^ (h >> _U(31))
-
-
-def hashed(lines: list[str], chars: int = CHARS) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all shingles of ``lines``, one line's after the other's, and how many each line has. A shorter line is one shingle."""
-    points = np.frombuffer(("".join(lines) + "\0" * chars).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64) + _U(1)
-    lengths = np.array([len(t) for t in lines], dtype=np.int64)
-    counts = np.maximum(lengths - chars + 1, 1)
-    before = np.cumsum(counts) - counts
-    starts = np.cumsum(lengths) - lengths
-    every = np.zeros(len(points) - chars, dtype=np.uint64)
-    for j in range(chars):
-        every += points[j : len(every) + j] * _FACTORS[j]
-    h = every[np.arange(counts.sum()) + np.repeat(starts - before, counts)]
-    for i in np.flatnonzero(lengths < chars):
-        own = points[starts[i] : starts[i] + lengths[i]]
-        h[before[i]] = (own * _FACTORS[: len(own)]).sum(dtype=np.uint64) + _U(len(own))
-    return _mix(h), counts
-
-
-def _distinct(values: np.ndarray) -> np.ndarray:
-    """Sorted and distinct; a plain sort is far quicker here than ``np.unique``."""
-    values = np.sort(values)
-    fresh = np.ones(len(values), dtype=bool)
-    np.not_equal(values[1:], values[:-1], out=fresh[1:])
-    return values[fresh]
-
-
-def _runs(sets: np.ndarray, first: np.ndarray, sizes: np.ndarray, start: np.ndarray, owner: np.ndarray, rows: int) -> np.ndarray:
-    """A key for each (start, owner): the ``rows`` hashes from there on, in the owner's circle."""
-    key = np.full(len(start), rows, dtype=np.uint64)
-    for j in range(rows):
-        key = _mix(key * _U(0xD6E8FEB86659FD93) + sets[first[owner] + (start - first[owner] + j) % sizes[owner]])
-    return key
-
-
-def bands(lines: list[str], chars: int = CHARS, marks: int = BANDS, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(size of the set by line; line, key: the bands of all lines)."""
-    h, counts = hashed(lines, chars)
-    line = np.repeat(np.arange(len(lines), dtype=np.uint64), counts)
-    every = _distinct(line << _U(_BITS) | h >> _U(64 - _BITS))
-    owner = (every >> _U(_BITS)).astype(np.int64)
-    sets = every & _U((1 << _BITS) - 1)
-    sizes = np.bincount(owner, minlength=len(lines))
-    first = np.cumsum(sizes) - sizes
-    many = np.flatnonzero(sizes > marks)
-    wanted = (np.repeat(many.astype(np.uint64), marks) << _U(_BITS)) + np.tile(np.arange(marks, dtype=np.uint64) * _U((1 << _BITS) // marks), len(many))
-    start, of = [np.searchsorted(every, wanted)], [np.repeat(many, marks)]
-    whole = np.flatnonzero(sizes[owner] <= marks)
-    start.append(whole)
-    of.append(owner[whole])
-    start, of = np.concatenate(start), np.concatenate(of)
-    long, few = sizes[of] > LONG_FROM, np.flatnonzero(sizes[owner] <= FEW)
-    keys = np.concatenate([_runs(sets, first, sizes, start[long], of[long], rows), _runs(sets, first, sizes, few, owner[few], SHORT_ROWS)])
-    return sizes, np.concatenate([of[long], owner[few]]), keys
-
-
-def _sign(chars: int, marks: int, rows: int):
-    """(doc, text) to a row for each line: doc, line_no, h, g, size, keys; all null from h on for a blank line."""
-
-    def slices(batch, most: int = 1 << 20):
-        lo, held = 0, 0
-        for i, n in enumerate(pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).to_numpy()):
-            held += n
-            if held > most or i - lo >= 4096:
-                yield batch.slice(lo, i - lo + 1)
-                lo, held = i + 1, 0
-        yield batch.slice(lo)
-
-    def make(batches):
-        for batch in batches:
-            for part in slices(batch):
-                doc, number, lines = [], [], []
-                for i, text in enumerate(part.column(1).to_pylist()):
-                    if text is not None:
-                        own = [t.strip(" \t\r") for t in text.split("\n")]
-                        doc += [i] * len(own)
-                        number += range(len(own))
-                        lines += own
-                # A batch's equal lines are signed once.
-                distinct = dict.fromkeys(t for t in lines if t)
-                at = {t: i for i, t in enumerate(distinct)}
-                sizes, owner, keys = bands(list(distinct), chars, marks, rows) if distinct else (np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.uint64))
-                order = np.lexsort((keys, owner))
-                owner, keys = owner[order], keys[order]
-                fresh = np.ones(len(keys), dtype=bool)
-                fresh[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
-                owner, keys = owner[fresh], keys[fresh]
-                ends = np.cumsum(np.bincount(owner, minlength=len(distinct)))
-                names = [(xxhash.xxh64_intdigest(t.encode(), 42), xxhash.xxh64_intdigest(t[::-1].encode(), 42)) for t in distinct]
-                names = np.array(names, dtype=np.uint64).reshape(-1, 2).view(np.int64)
-                which = np.array([at.get(t, -1) for t in lines], dtype=np.int64)
-                blank = which < 0
-                leads = np.zeros(len(lines), dtype=bool)
-                leads[np.unique(which, return_index=True)[1]] = True
-                leads &= ~blank
-                spans = [keys[(ends[w - 1] if w else 0) : ends[w]] if lead else keys[:0] for w, lead in zip(which, leads, strict=True)]
-                offsets = np.zeros(len(lines) + 1, dtype=np.int32)
-                np.cumsum([len(s) for s in spans], out=offsets[1:])
-                flat = np.concatenate(spans) if spans else keys[:0]
-                pick = np.where(blank, 0, which)
-                column = lambda v, kind: pa.array(v[pick] if len(v) else np.zeros(len(lines), v.dtype), kind, mask=blank)  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(doc, pa.int64())), pa.array(number, pa.int32()), column(names[:, 0], pa.int64()), column(names[:, 1], pa.int64()), column(sizes.astype(np.int32), pa.int32()),
-                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))],
-                    names=["doc", "line_no", "h", "g", "size", "keys"],
-                )
-
-    return make
+
+def _shingles(line: str, chars: int) -> str:
+    """SQL: an array whose one item is the array of the hashes of all shingles of ``line``. A shorter line is one shingle.
+
+    Characters take four bytes here, so one is found by its place. The bytes are a variable of the outer function: as a
+    column of a row they would be copied for each shingle.
+    """
+    wide = 4 * chars
+    return f"transform(array(encode({line}, 'UTF-32')), v -> transform(sequence(1, greatest(length(v) - {wide - 1}, 1), 4), i -> xxhash64(substring(v, i, {wide}))))"
+
+
+def _banded(lines: DataFrame, chars: int, marks: int, rows: int) -> DataFrame:
+    """``lines`` (line, ...) with ``place``, size and key in place of the line: a row of place -1 for the line, then one for each of its bands."""
+    others = [c for c in lines.columns if c != "line"]
+    hashed = lines.select(*others, (F.col("line") != "").alias("full"), F.expr(f"explode({_shingles('line', chars)})").alias("every"))
+    sets = hashed.select(*others, "full", F.sort_array(F.array_distinct("every")).alias("s")).withColumn("size", F.size("s"))
+    # Places from size on are those of the short bands.
+    places = sets.select(*others, "full", "s", "size", F.expr(f"explode(sequence(-1, CASE WHEN NOT full THEN -1 WHEN size <= {FEW} THEN 2 * size - 1 ELSE size - 1 END))").alias("place"))
+    at = lambda k: f"s[(place + {k}) % size]"
+    part = lambda k: f"shiftright(shiftrightunsigned({at(k)}, 32) * {marks}, 32)"
+    starts = f"place = -1 OR place >= size OR (size > {LONG_FROM} AND {part(0)} <> {part('size - 1')})"
+    run = lambda n: f"xxhash64({', '.join(at(k) for k in range(n))})"
+    key = F.expr(f"CASE WHEN place >= size THEN {run(SHORT_ROWS)} WHEN place >= 0 THEN {run(rows)} END")
+    return places.filter(starts).select(*others, "place", "size", key.alias("key"))
+
+
+def bands(lines: list[str], chars: int = CHARS, marks: int = BANDS, rows: int = ROWS) -> tuple[array, array, array]:
+    """(size of the set by line; line, key: the bands of all lines) of a few lines, for a look at the scheme."""
+    made = _banded(SparkSession.builder.getOrCreate().createDataFrame(list(enumerate(lines)), "id int, line string"), chars, marks, rows).collect()
+    sizes = array("q", [n for _, n in sorted((r["id"], r["size"]) for r in made if r["place"] == -1)])
+    keyed = [r for r in made if r["key"] is not None]
+    return sizes, array("q", [r["id"] for r in keyed]), array("q", [r["key"] for r in keyed])
 
 
 def signed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars: int = CHARS, marks: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """A row for each line: doc, line_no, h (its name), g (another), size, keys (of one of a batch's equal lines); the names that different lines had in common; and those that several lines have."""
-    of = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("text"))
-    schema = f"doc {of.schema['doc'].dataType.simpleString()}, line_no int, h long, g long, size int, keys array<long>"
-    signed = written(of.mapInArrow(_sign(chars, marks, rows), schema), "line-signatures")
+    """A row for each line: doc, line_no, h (its name), g (another), both null for a blank line; and one for each of its bands: h, g, size, key, with neither doc nor line_no. The names that different lines had in common; and those that several lines have."""
+    lines = docs.select(F.col(f"`{id_col}`").alias("doc"), F.posexplode(F.split(F.col(f"`{text_col}`"), "\n")).alias("line_no", "line")).withColumn("line", F.btrim("line", F.lit(" \t\r")))
+    full = lambda name: F.when(F.col("line") != "", name)
+    banded = _banded(lines.select("doc", "line_no", full(F.xxhash64("line")).alias("h"), full(F.xxhash64(F.reverse("line"))).alias("g"), "line"), chars, marks, rows)
+    of_line = lambda c: F.when(F.col("place") == -1, F.col(c)).alias(c)
+    signed = written(banded.select(of_line("doc"), of_line("line_no"), "h", "g", "size", "key"), "line-signatures")
     names = _names(signed)
     shared = names.filter("lo <> hi").select("h")
     if not shared.isEmpty():
@@ -178,7 +95,7 @@ def signed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def _names(signed: DataFrame) -> DataFrame:
     """(h, n, lo, hi) of the names that several lines have, n times in all; lo and hi differ if the lines do."""
-    counted = signed.filter("h is not null").groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("g").alias("lo"), F.max("g").alias("hi"))
+    counted = signed.filter("line_no is not null and h is not null").groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("g").alias("lo"), F.max("g").alias("hi"))
     return written(counted.filter("n > 1"), "line-names")
 
 
@@ -198,7 +115,7 @@ def texts_of(docs: DataFrame, wanted: DataFrame, shared: DataFrame, text_col: st
 
 def linked(docs: DataFrame, signed: DataFrame, shared: DataFrame, text_col: str = "text", chars: int = CHARS, percent: int = PERCENT) -> DataFrame:
     """(node, component) of distinct lines that link with others."""
-    keyed = signed.select("h", "size", F.explode("keys").alias("key"))
+    keyed = signed.filter("key is not null").select("h", "size", "key")
     held = keyed.groupBy("key").agg(F.min("h").alias("least"), F.max("h").alias("most"), F.count(F.lit(1)).alias("n")).filter("least <> most").select("key", "n")
     members = keyed.join(checked(written(held, "line-buckets"), KEY_BYTES), "key").groupBy("h", "size").agg(F.sum("n").alias("weight"), F.collect_set("key").alias("keys"))
     members = written(members, "line-members")
@@ -218,22 +135,40 @@ def linked(docs: DataFrame, signed: DataFrame, shared: DataFrame, text_col: str
     left = left.join(first.select(F.col("a").alias("leader"), F.col("b").alias("line_id"), "apart"), ["leader", "line_id"], "left").select("bucket", "line_id", "component", "size", "weight", "apart")
     known = first.filter("not linked").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     far, most = 1 - percent / 100 + 1e-9, LEADERS
+    left = written(left, "line-left")
+    parities = _parities(texts, written(left.select("line_id").distinct(), "line-later"), chars)
+    left = left.join(checked(parities, KEY_BYTES), "line_id")
+    words = [f"w{k}" for k in range(WORDS)]
     while True:
         rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.col("weight").desc(), "line_id"))
         left = written(left.withColumn("rank", rank), "line-left")
         if left.isEmpty():
             return joined
-        heads = left.filter(F.col("rank") <= most).select("bucket", *[F.col(c).alias(f"_{c}") for c in ("line_id", "apart", "size", "component", "rank")])
+        heads = left.filter(F.col("rank") <= most).select("bucket", *[F.col(c).alias(f"_{c}") for c in ("line_id", "apart", "size", "component", "rank", *words)])
         near = F.coalesce(F.abs(F.col("apart") - F.col("_apart")) <= far, F.lit(True))
-        across = heads.join(left, "bucket").filter((F.col("_rank") < F.col("rank")) & (F.col("_component") != F.col("component")) & near & fits)
+        across = heads.join(left, "bucket").filter((F.col("_rank") < F.col("rank")) & (F.col("_component") != F.col("component")) & near & fits & _alike(percent))
         pairs = across.select(F.least("line_id", "_line_id").alias("a"), F.greatest("line_id", "_line_id").alias("b")).distinct()
         compared = _compare(written(pairs.join(checked(known, KEY_BYTES), ["a", "b"], "left_anti"), "line-pairs"), texts, chars, percent)
         joined = extended(joined, compared.filter("linked"))
         known = written(known.union(compared.filter("not linked").select("a", "b")), "line-known-pairs")
-        left = _open(left.filter(F.col("rank") > most).select("bucket", "line_id", "size", "weight", "apart"), joined)
+        left = _open(left.filter(F.col("rank") > most).select("bucket", "line_id", "size", "weight", "apart", *words), joined)
         most *= LEADERS
 
 
+def _parities(texts: DataFrame, wanted: DataFrame, chars: int) -> DataFrame:
+    """(line_id, w0, w1, ...): which of 64 * WORDS classes hold an odd number of the hashes of a line's set, for the lines ``wanted`` (line_id)."""
+    lines = texts.join(checked(wanted, KEY_BYTES), texts["h"] == wanted["line_id"]).select("line_id", "line")
+    one = lines.select("line_id", F.explode(F.array_distinct(F.expr(_shingles("line", chars))[0])).alias("x"))
+    words = one.groupBy("line_id", F.expr(f"cast(pmod(shiftright(x, 6), {WORDS}) as int)").alias("at")).agg(F.bit_xor(F.expr("shiftleft(1L, cast(x & 63 as int))")).alias("word"))
+    return written(words.groupBy("line_id").agg(*[F.sum(F.when(F.col("at") == k, F.col("word")).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in range(WORDS)]), "line-parities")
+
+
+def _alike(percent: int) -> Column:
+    """Whether two sets can be similar. Each hash that only one of them has changes one parity, so there are no fewer of such hashes than of parities that differ."""
+    differ = " + ".join(f"bit_count(w{k} ^ _w{k})" for k in range(WORDS))
+    return F.expr(f"{100 + percent} * ({differ}) <= {100 - percent} * (size + _size)")
+
+
 def _open(rows: DataFrame, joined: DataFrame) -> DataFrame:
     """``rows`` (bucket, line_id, ...) of buckets whose lines aren't of one component yet, with their component."""
     placed = rows.join(checked(joined.withColumnRenamed("node", "line_id"), KEY_BYTES), "line_id", "left").withColumn("component", F.coalesce("component", "line_id"))
@@ -241,49 +176,24 @@ def _open(rows: DataFrame, joined: DataFrame) -> DataFrame:
     return placed.join(checked(written(several, "line-open"), KEY_BYTES), "bucket", "left_semi")
 
 
-def _jaccard(chars: int, percent: int):
-    """Rows sorted by (a, block, role), the leader first, to (a, b, linked, apart)."""
-
-    def make(batches):
-        at, lead = None, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            h, counts = hashed(batch.column(4).to_pylist(), chars)
-            sets = np.split(h, np.cumsum(counts)[:-1])
-            a, block, role, b = (batch.column(i).to_numpy() for i in range(4))
-            out = []
-            for i in range(batch.num_rows):
-                own = _distinct(sets[i])
-                if role[i] == 0:
-                    at, lead = (a[i], block[i]), own
-                elif at == (a[i], block[i]):
-                    place = np.searchsorted(lead, own)
-                    place[place == len(lead)] = 0
-                    n = int((lead[place] == own).sum())
-                    union = len(lead) + len(own) - n
-                    out.append((int(a[i]), int(b[i]), 100 * n >= percent * union, 1 - n / union))
-            columns = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.bool_(), pa.float64()), strict=True)], names=["a", "b", "linked", "apart"])
-
-    return make
-
-
 def _compare(pairs: DataFrame, texts: DataFrame, chars: int, percent: int) -> DataFrame:
     """(a, b, linked, apart) of distinct pairs (a, b), by their whole sets; ``apart`` is their Jaccard distance."""
     blocks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
     dealt = written(pairs.join(blocks, "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), "b"), "line-dealt")
     visits = dealt.select(F.col("a").alias("h"), "a", "block", F.lit(0).alias("role")).distinct().union(dealt.select(F.col("b").alias("h"), "a", "block", F.lit(1).alias("role")))
     rows = texts.join(checked(written(visits, "line-visits"), KEY_BYTES), "h").select("a", "block", "role", "h", "line")
-    sorted_ = rows.repartition("a", "block").sortWithinPartitions("a", "block", "role")
-    return written(sorted_.mapInArrow(_jaccard(chars, percent), "a long, b long, linked boolean, apart double"), "line-compared")
+    # The leader's set is made once for each of its blocks, the members' once for each visit, after the shuffle.
+    sets = rows.repartition("a", "block").sortWithinPartitions("a", "block", "role").select("a", "block", "role", "h", F.array_distinct(F.expr(_shingles("line", chars))[0]).alias("own"))
+    met = sets.withColumn("lead", F.first("own").over(Window.partitionBy("a", "block").orderBy("role"))).filter("role = 1")
+    both = met.select("a", F.col("h").alias("b"), F.size("lead").alias("x"), F.size("own").alias("y"), F.size(F.array_intersect("lead", "own")).alias("n"))
+    return written(both.select("a", "b", F.expr(f"100 * n >= {percent} * (x + y - n)").alias("linked"), F.expr("1 - n / (x + y - n)").alias("apart")), "line-compared")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars: int = CHARS, marks: int = BANDS, rows: int = ROWS, percent: int = PERCENT) -> DataFrame:
     """One row per line: id, line_no, class_id (null for blank lines), class_size, keep_id, keep_line, kept."""
     signed, shared, names = signed_lines(docs, id_col, text_col, chars, marks, rows)
     joined = linked(docs, signed, shared, text_col, chars, percent)
-    lines = signed.select("doc", "line_no", "h")
+    lines = signed.filter("line_no is not null").select("doc", "line_no", "h")
     # Only lines that others equal or link with have a class to look up: few, so most lines aren't grouped by it.
     repeated = names.withColumnRenamed("h", "node")
     of = written(repeated.join(joined, "node", "full_outer").select("node", F.coalesce("component", "node").alias("_class")), "line-classes")

@@ -400,6 +400,42 @@ def test_line_dedup_decides_every_pair_of_a_bucket(spark):
     assert len({(got[i], want[i]) for i in got}) == len(set(got.values())) == len(set(want.values()))
 
 
+def test_line_dedup_runs_no_python_and_skips_pairs_that_cannot_link(spark, monkeypatch):
+    r = random.Random(12)
+    base = " ".join("".join(r.choice("abcdefghijkl") for _ in range(7)) for _ in range(20))
+
+    def variant():
+        t = list(base)
+        for at in r.sample(range(len(t)), 3):
+            t[at] = r.choice("QRSTUVW")
+        return "".join(t)
+
+    lines = [*(variant() for _ in range(150)), "é漢字\U0001f600 x", "", "abcd"]
+    write, plans, pairs = line_dedup.written, [], []
+
+    def watched(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        made = write(df, label)
+        if label == "line-pairs":
+            pairs.append(made.count())
+        return made
+
+    monkeypatch.setattr(line_dedup, "written", watched)
+    found = line_dedup.classes(documents(spark, list(enumerate(lines))))
+    got = {g.doc_id: g.class_id for g in found.collect() if lines[g.doc_id]}
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert not [p for p in plans if "ArrowEvalPython" in p or "MapInArrow" in p or "MapInPandas" in p or "BatchEvalPython" in p]
+    sets = {i: char_sets(lines[i]) for i in got}
+    monkeypatch.undo()
+    _, owner, keys = line_dedup.bands([lines[i] for i in sorted(got)])
+    held = defaultdict(set)
+    for o, k in zip(owner.tolist(), keys.tolist(), strict=True):
+        held[sorted(got)[o]].add(k)
+    want = classes_of({i: [j for j, y in sets.items() if held[i] & held[j] and 100 * len(x & y) >= 80 * len(x | y)] for i, x in sets.items()})
+    assert len({(got[i], want[i]) for i in got}) == len(set(got.values())) == len(set(want.values())) > 20
+    assert sum(pairs) < 150 * 149 // 2 // 3, pairs
+
+
 def test_line_dedup_finds_short_lines_and_pairs_at_the_border(spark):
     r = random.Random(6)
     words = lambda n: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(n))
