@@ -87,9 +87,10 @@ _NAME = _strip_all(_every_reference("regexp_extract(html, '<h1>([^<]*)</h1>', 1)
 
 @query(f"SELECT substr(md5(url), 1, 12) AS id, {_NAME} AS name, coalesce(list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/?#]*/?([^?#]*)', 1), '/'), lambda x: x NOT IN ('', 'engineering', 'profiles', 'index.html') AND NOT ends_with(x, '.html'))[1], 'unknown') AS department, url AS profile_url, page_id AS seed_ord, '' AS ai_review, 0 AS interests FROM pages")
 def assemble_profiles(spark, d):
-    source = bindings.read(spark, d, "pages")
-    links = source.select(F.col("url").alias("profile_url"), F.col("page_id").alias("seed_ord"), F.col("url").alias("seed_url"))
-    made = pages.assemble_profiles(links.dropDuplicates(["seed_ord"]), pages.extract_fields(source).drop("page_id"))
+    # Pages may share a URL, so a link is to a page, not to all with its URL. Within a struct nulls are equal, and none is lost.
+    source = bindings.read(spark, d, "pages").withColumn("page", F.struct("page_id", "url"))
+    links = source.select("page", F.col("url").alias("profile_url"), F.col("page_id").alias("seed_ord"), F.col("url").alias("seed_url")).distinct()
+    made = pages.assemble_profiles(links, pages.extract_fields(source).drop("page_id", "url"), "page")
     return made.select("id", "name", "department", "profile_url", "seed_ord", "ai_review", F.size("scholar_interests").alias("interests"))
 
 
