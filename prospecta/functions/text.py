@@ -50,11 +50,16 @@ def token_hits(tokens: Column, text: Column, presence: float = 1.5) -> Column:
     return F.aggregate(each, F.lit(0.0), lambda acc, n: acc + n + F.when(n > 0, F.lit(presence)).otherwise(F.lit(0.0)))
 
 
-def title_case(c: Column) -> Column:
-    """Each word capitalised; small words stay as they are unless they come first."""
+def capital(c: Column) -> Column:
+    """A character's capital that is one character too. Where ``upper`` makes more (``SS`` of ``ß``), it is the single one there is (``ẞ``), else the character stays."""
+    return F.when(F.length(F.upper(c)) == 1, F.upper(c)).when(c == "ß", F.lit("ẞ")).when(F.length(F.initcap(c)) == 1, F.initcap(c)).otherwise(c)
+
+
+def title_case(c: Column, upper: Callable[[Column], Column] = F.upper) -> Column:
+    """Each word capitalised, its first character by ``upper``; small words stay as they are unless they come first."""
     parts = F.regexp_extract_all(c, F.lit(r"(\w+|\W+)"), F.lit(1))
-    capital = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2)))
-    return F.array_join(F.transform(parts, lambda w, i: F.when((i > 0) & w.isin(SMALL_WORDS), w).otherwise(capital(w))), "")
+    titled = lambda w: F.concat(upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2)))
+    return F.array_join(F.transform(parts, lambda w, i: F.when((i > 0) & w.isin(SMALL_WORDS), w).otherwise(titled(w))), "")
 
 
 def add_missing(text: Column, chips: Column, separator: str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prospecta.functions.text import is_generic, or_empty, strip, title_case
+from prospecta.functions.text import capital, is_generic, or_empty, strip, title_case
 
 
 def profile_topics(profiles: DataFrame) -> DataFrame:
@@ -18,10 +18,15 @@ def profile_topics(profiles: DataFrame) -> DataFrame:
     return profiles.select("id", "seed_ord", F.posexplode(topics).alias("pos", "topic"))
 
 
+def label(topic: Column) -> Column:
+    """A topic as it is shown; no character of it becomes two."""
+    return title_case(topic, capital)
+
+
 def top_topics(profiles: DataFrame, n: int = 30) -> DataFrame:
     """(label, q, count): topics by how many profiles have them; ties by first appearance."""
     counted = profile_topics(profiles).groupBy(F.col("topic").alias("q")).agg(F.count(F.lit(1)).alias("count"), F.min(F.struct("seed_ord", "pos")).alias("first"))
-    return counted.orderBy(F.col("count").desc(), "first").limit(n).select(title_case(F.col("q")).alias("label"), "q", "count", "first")
+    return counted.orderBy(F.col("count").desc(), "first").limit(n).select(label(F.col("q")).alias("label"), "q", "count", "first")
 
 
 def searched_words(query: Column) -> Column:
@@ -43,5 +48,5 @@ def merge_topics(topics: DataFrame, searches: DataFrame, n: int = 15, with_first
     both = topics.select("q", "label", "count", "first").join(searches, "q", "full_outer")
     score = F.coalesce("count", F.lit(0)) + 3 * F.coalesce("n", F.lit(0))
     kept = both.filter(F.col("label").isNotNull() | ((F.col("n") >= 2) & (F.length("q") >= 3)))
-    best = top(kept.select(F.coalesce("label", title_case(F.col("q"))).alias("label"), "q", score.alias("score"), "first"), n)
+    best = top(kept.select(F.coalesce("label", label(F.col("q"))).alias("label"), "q", score.alias("score"), "first"), n)
     return best if with_first else best.select("label", "q", "score")
